@@ -122,12 +122,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     urls = pages.withColumns({"host": host, "path": path}).withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), lengths))
     universe = urls.select(F.explode(F.transform("__keys", lambda k: k["key"])).alias("key"))
     keys = rules.select("verdict", F.concat("host", "path").alias("key"))
-    hits = []
-    for verdict in ("block", "allow"):
+
+    def hits(verdict: str) -> Column:
         cascade = build_cascade(keys.where(F.col("verdict") == verdict), universe)
-        found = F.filter("__keys", lambda k, c=cascade: c.holds(k["key"]))
-        hits.append(F.transform(found, lambda k, v=verdict: F.struct(k["size"], k["host_size"], F.lit(v == "block").alias("blocks"), k["key"].alias("key"))))
-    best = F.array_max(F.concat(*hits))
+        found = F.filter("__keys", lambda k: cascade.holds(k["key"]))
+        return F.transform(found, lambda k: F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), F.lit(verdict == "block").alias("blocks"), k["key"].alias("key")))
+
+    best = F.array_max(F.concat(hits("block"), hits("allow")))
     out = urls.withColumn("__best", best)
     out = out.withColumns({"rule": F.col("__best.key"), "verdict": F.when(F.col("__best.blocks").isNull(), default).when(F.col("__best.blocks"), "block").otherwise("allow")})
     return out.drop("__keys", "__best")
