@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,22 @@ def held_out(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == 2
 
 
+def join_trees(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of the pairs (a, b) that join two trees; labels, the root of each row, is updated."""
+    chosen, live, place = [], np.arange(len(a)), np.empty(len(labels), np.int64)
+    while len(live):
+        x, y = labels[a[live]], labels[b[live]]
+        differ = x != y
+        live, high, low = live[differ], np.maximum(x, y)[differ], np.minimum(x, y)[differ]
+        place[high] = np.arange(len(high))  # one hook for each root
+        hook = np.unique(place[high]) if len(high) < len(labels) else np.flatnonzero(np.arange(len(high)) == place[high])
+        chosen.append(live[hook])
+        labels[high[hook]] = low[hook]
+        while (labels[labels] != labels).any():
+            labels[:] = labels[labels]
+    return np.concatenate(chosen) if chosen else live
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest node reachable.
 

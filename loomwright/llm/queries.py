@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from loomwright.llm import packing, phrases, quality, simhash, tokens, url_cascade
+from loomwright.llm import bpe, embed_dedup, packing, phrases, quality, simhash, tokens, topk, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,23 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 #: Host, path and verdict of the rules that op9_url_filter applies.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -50,7 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
+    "op4_embedding": op4_embedding,
     "op5_packing": op5_packing,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_top_k": op7_top_k,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import connected_components, kept_rows, mapped, stored, words_of
+from loomwright.llm.common import connected_components, join_trees, kept_rows, mapped, stored, words_of
 
 SEED = 42
 RADIUS = 3
@@ -84,36 +84,24 @@ def grid_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cells), np.concatenate(own)
 
 
-def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> Iterator[tuple[int, int]]:
-    """The links (a, b) that join two trees of parent, which it updates."""
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := root(x)) != (q := root(y)):
-            parent[max(p, q)] = min(p, q)
-            yield x, y
-
-
-def links_within(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+def links_within(fps: np.ndarray, radius: int) -> Iterator[np.ndarray]:
     """A spanning forest of the links among distinct fingerprints of one cell, in blocks of rows."""
-    parent: dict[int, int] = {}
-    groups = [fps]
+    labels, groups = np.arange(len(fps)), [np.arange(len(fps))]
     if len(fps) > LARGE and radius < 4:  # within 3 bits, one of four 16-bit bands is equal
         groups = []
         for band in range(4):
             key = (fps >> np.uint64(16 * band)) & np.uint64(0xFFFF)
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.diff(key[order])) + 1
-            groups += [fps[g] for g in np.split(order, cuts) if len(g) > 1]
+            groups += [g for g in np.split(order, cuts) if len(g) > 1]
     for group in groups:
         for at in range(0, len(group), 256):
-            i, j = np.nonzero(np.bitwise_count(group[at : at + 256, None] ^ group[None, at:]) <= radius)
+            i, j = np.nonzero(np.bitwise_count(fps[group[at : at + 256], None] ^ fps[None, group[at:]]) <= radius)
             new = j > i
-            yield from forest(group[at + i[new]], group[at + j[new]], parent)
+            i, j = group[at + i[new]], group[at + j[new]]
+            chosen = join_trees(labels, i, j)
+            if len(chosen):
+                yield np.stack([fps[i[chosen]], fps[j[chosen]]], 1)
 
 
 def cell_links(cells: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -131,8 +119,7 @@ def cell_links(cells: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int)
             yield f[gap:][near], f[:-gap][near]
     for k in np.flatnonzero(sizes > 32):
         group = np.unique(fps[starts[k] : starts[k] + sizes[k]])
-        found = np.array(list(links_within(group, radius)), np.uint64).reshape(-1, 2)
-        if len(found):
+        for found in links_within(group, radius):
             yield found[:, 0], found[:, 1]
 
 
