@@ -41,22 +41,26 @@ ODD1, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Vocabulary(dict):
-    """Numbers words as they come; `hashes` has the XXH64 of each."""
+    """Numbers words as they come; hashed() has the hash of each."""
 
     def __init__(self):
-        self.hashes = np.zeros(0, np.uint64)
+        self.fresh: list[bytes] = []
+        self.hashes, self.known = np.zeros(1024, np.uint64), 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
+        self.fresh.append(word)
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def hashed(self, numbers: np.ndarray) -> np.ndarray:
-        if len(self.hashes) < len(self):
-            fresh = list(self)[len(self.hashes) :]
-            self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))])
+        if self.fresh:
+            if len(self) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes[: self.known], np.zeros(2 * len(self) - self.known, np.uint64)])
+            self.hashes[self.known : len(self)] = np.fromiter(map(xxhash.xxh3_64_intdigest, self.fresh), np.uint64, len(self.fresh))
+            self.known, self.fresh = len(self), []
         return self.hashes[numbers]
 
 
