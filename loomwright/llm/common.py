@@ -58,6 +58,39 @@ def mapped(df: DataFrame, over: Callable[[pa.RecordBatch], Iterator[dict]], sche
     return df.mapInArrow(run, schema)
 
 
+def by_key(df: DataFrame, key: str, columns: list[str], over: Callable[..., Iterator[dict]], schema: str, rows: int = 100_000) -> DataFrame:
+    """over, applied to arrays of the columns, sorted by key; the rows of a key come together, with other keys'.
+
+    For many small groups: a call handles about `rows` rows of a partition at once and holds no more than one key besides.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
+            keys, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = len(keys) if last else int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            held[:] = [] if last else [[keys[end:], *(v[end:] for v in values)]]
+            for found in over(*(v[:end] for v in values)) if end else ():
+                yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in arrow], schema=arrow)
+
+        waiting = 0
+        for batch in batches:
+            held.append([np.array(c) for c in batch.columns])
+            waiting += batch.num_rows
+            if waiting >= rows:
+                yield from out(False)
+                waiting = 0
+        if held:
+            yield from out(True)
+
+    dealt = df.repartition(key).sortWithinPartitions(key).select(F.col(key).alias("__key"), *columns)
+    return dealt.mapInArrow(run, schema)
+
+
 def held_out(doc_id: str, modulus: int) -> Column:
     """True where crc32 of the id as text leaves 2; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == 2

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from loomwright.llm import bpe, embed_dedup, packing, phrases, quality, simhash, tokens, topk, url_cascade
+from loomwright.llm import bpe, embed_dedup, mixing, packing, phrases, quality, simhash, tokens, topk, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_documents(table(spark, sf_dir, "documents"))
+
+
 #: Host, path and verdict of the rules that op9_url_filter applies.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_top_k": op7_top_k,
+    "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,

@@ -5,7 +5,14 @@ bit changes one count by one, so the Manhattan distance of two embeddings never
 fingerprints. Fingerprints within 3 bits therefore differ by at most 1 in the embedding of one of their halves (16
 segments each). That is a range join on a grid with a cell for each vector of half an embedding: a fingerprint enters
 its own cell in each half, and the cells one step up from it; any two within range meet in a cell. What meets is
-verified on the fingerprints themselves. A cell passes on a spanning forest of its links, not all of them: that keeps
+verified on the fingerprints themselves.
+
+Three bits of 64 find nearly equal texts only: of pairs with a Jaccard similarity of 0.8 to 0.85 on five-word shingles
+they hold one in a hundred, and such pairs differ by up to 20 bits, where no lower bound on 64 bits thins out a corpus.
+similar_groups() therefore adds views: the least hashes of a text's shingles, of which two texts that similar share most.
+Texts that share two neighbouring views, and differ by at most WIDE bits, are compared by their whole shingle sets.
+
+A cell passes on a spanning forest of its links, not all of them: that keeps
 every component and grows with the rows of the cell, however many copies meet there.
 """
 
@@ -19,10 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import connected_components, join_trees, kept_rows, mapped, stored, words_of
+from loomwright.llm.common import by_key, connected_components, join_trees, kept_rows, mapped, stored, words_of
 
 SEED = 42
 RADIUS = 3
+#: Bits that candidates of similar_groups() may differ by, and the views of a text.
+WIDE, VIEWS = 20, 16
+#: A list of ids up to this long is broadcast; a longer one is joined.
+SHORT = 1_000_000
 #: A cell with more rows than this is split by 16-bit bands before its links are sought.
 LARGE = 1024
 
@@ -133,31 +144,15 @@ def grid_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         rows, cells, own = grid_rows(fps)
         yield {"cell": np.where(own, cells, ~cells), "fp": fps[rows].view(np.int64)}
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out(last: bool) -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            marked, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            cells, own = np.where(marked < 0, ~marked, marked), marked >= 0
-            end = len(cells) if last else int(np.searchsorted(cells, cells[-1]))  # the last cell may go on
-            held[:] = [] if last else [(marked[end:], fps[end:])]
-            if end:
-                for a, b in cell_links(cells[:end], fps[:end], own[:end], radius):
-                    yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-        for batch in batches:
-            held.append((np.array(batch.column(0)), np.array(batch.column(1)).view(np.uint64)))
-            if sum(len(x) for x, _ in held) >= 100_000:
-                yield from out(False)
-        yield from out(True)
+    def meet(marked: np.ndarray, fps: np.ndarray) -> Iterator[dict]:
+        cells = np.where(marked < 0, ~marked, marked)
+        for a, b in cell_links(cells, fps.view(np.uint64), marked >= 0, radius):
+            yield {"a": a.view(np.int64), "b": b.view(np.int64)}
 
     # A cell is dealt by its number; ~cell marks a neighbour's entry and sorts with the cell.
     entries = mapped(distinct.select("fp"), spread, "cell long, fp long", 4096)
     place = F.when(F.col("cell") < 0, F.bitwise_not("cell")).otherwise(F.col("cell"))
-    dealt = entries.withColumn("place", place).repartition("place").sortWithinPartitions("place").select("cell", "fp")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return by_key(entries.withColumn("place", place), "place", ["cell", "fp"], meet, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -174,3 +169,98 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = RADIUS) ->
     named = smallest.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = smallest.join(named, "component").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def pair_key(views: np.ndarray) -> np.ndarray:
+    """A key of every two neighbouring views; of the only one, if there is one."""
+    if len(views) < 2:
+        return views
+    mixed = (views[:-1] ^ (views[1:] >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15) + views[1:]
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def close_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes with one key within WIDE bits: all of a small group; of a large one a forest, nearest pairs first."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    small = np.repeat(sizes <= 32, sizes)
+    k, n, f = keys[small], nodes[small], fps[small]
+    for gap in range(1, int(sizes[sizes <= 32].max(initial=1))):
+        near = (k[gap:] == k[:-gap]) & (np.bitwise_count(f[gap:] ^ f[:-gap]) <= WIDE)
+        if near.any():
+            yield n[gap:][near], n[:-gap][near]
+    for s in np.flatnonzero(sizes > 32):
+        group = slice(starts[s], starts[s] + sizes[s])
+        n, f = nodes[group], fps[group]
+        labels = np.arange(len(n))
+        for radius in range(4, WIDE + 1, 4):
+            for at in range(0, len(n), 256):
+                i, j = np.nonzero(np.bitwise_count(f[at : at + 256, None] ^ f[None, at:]) <= radius)
+                chosen = join_trees(labels, i + at, j + at)
+                if len(chosen):
+                    yield n[at + i[chosen]], n[at + j[chosen]]
+
+
+def joined_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined on doc_id; the ids are broadcast only where they are few."""
+    few = ids.limit(SHORT + 1).count() <= SHORT
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of the documents that have others as similar: component_id is the smallest doc_id linked.
+
+    Two documents link if their sets of shingles have a Jaccard similarity of at least `similarity`, computed exactly on
+    candidates from the grid join and from shared views; texts with equal sets are one node, and texts without words are
+    alike. Groups of over 32 candidates under one key are compared along a forest of their nearest pairs. Rows without a
+    doc_id take no part; rows that share one are one document.
+    """
+    if not 0.8 <= similarity <= 1:
+        raise ValueError("views are sized for similarities of 0.8 and more")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def over(batch: pa.RecordBatch) -> Iterator[dict]:
+        out = {"doc_id": batch.column(0), "fp": [], "same": [], "views": []}
+        for text in batch.column(1).to_pylist():
+            hashes = shingle_hashes(text, size)
+            least = np.unique(hashes)
+            out["fp"].append(fingerprint(hashes))
+            out["same"].append(xxhash.xxh3_128_digest(least.tobytes()))
+            out["views"].append(pair_key(least[:VIEWS]).view(np.int64))
+        out["fp"] = np.array(out["fp"], np.uint64).view(np.int64)
+        yield out
+
+    prints = stored(mapped(rows, over, "doc_id long, fp long, same binary, views array<long>"))
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("views").alias("views"))
+    nodes = kept_rows(nodes.select("node", "fp", "views"))
+
+    def meet(keys: np.ndarray, node: np.ndarray, fps: np.ndarray) -> Iterator[dict]:
+        for a, b in close_pairs(keys, node, fps.view(np.uint64)):
+            yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+    viewed = by_key(nodes.select(F.explode("views").alias("view"), "node", "fp"), "view", ["view", "node", "fp"], meet, "a long, b long")
+    links = grid_links(nodes.select("fp").distinct())
+    named = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    equal = nodes.join(named.withColumnRenamed("node", "first"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    grid = links.join(named.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    pairs = viewed.union(equal).union(grid.select(F.least("x", "y"), F.greatest("x", "y"))).where("a <> b").distinct()
+    pairs = stored(pairs)
+    needed = kept_rows(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+
+    def sets(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield {"doc_id": batch.column(0), "shingles": [np.unique(shingle_hashes(x, size)).view(np.int64) for x in batch.column(1).to_pylist()]}
+
+    found = mapped(joined_by_id(rows, needed, "left_semi").dropDuplicates(["doc_id"]), sets, "doc_id long, shingles array<long>")
+    left, right = (found.select(F.col("doc_id").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
+    common = F.size(F.array_intersect("sa", "sb"))
+    verified = pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    member = connected_components(verified)
+    equal_sets = prints.join(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "same")
+    grouped = equal_sets.join(member, "node", "left").where("copies > 1 or component is not null")
+    return grouped.select("doc_id", F.coalesce("component", "node").alias("component_id")).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, without the documents that link, directly or through others, to one with a smaller doc_id."""
+    gone = kept_rows(similar_groups(docs, size, similarity).groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id > c").select("doc_id"))
+    return joined_by_id(docs, gone, "left_anti").select(docs.columns)
