@@ -8,8 +8,8 @@ with a smaller doc_id, or earlier in the same one.
    text twice, recur.
 2. Confirmation. Only windows with a recurring anchor are dealt by their 96-bit hash. Each window that recurs gets the
    place of its first occurrence, and every shard of documents that holds it is told.
-3. Automata. A shard strings its confirmed windows into passages, compiles an Aho-Corasick automaton over the words of
-   every passage's ANCHOR_STEP-word pieces and streams all its documents through it. Each hit is extended on the words
+3. Automata. A shard strings its confirmed windows into passages, compiles an Aho-Corasick automaton of
+   the passages' pieces of half a window and streams the documents that hold a confirmed window through it. Each hit is extended on the words
    themselves; every occurrence of `size` words or more but the first is removed.
 
 A shard is a hash bucket of documents, so the automata together hold what recurs and each is as small as its shard. Exact
@@ -28,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from loomwright.llm.common import WORD, kept_rows, mapped, words_of
 
@@ -41,27 +43,18 @@ ODD1, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Vocabulary(dict):
-    """Numbers words as they come; hashed() has the hash of each."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-        self.hashes, self.known = np.zeros(1024, np.uint64), 0
+    """Numbers words as they come."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
-        self.fresh.append(word)
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
 
-    def hashed(self, numbers: np.ndarray) -> np.ndarray:
-        if self.fresh:
-            if len(self) > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes[: self.known], np.zeros(2 * len(self) - self.known, np.uint64)])
-            self.hashes[self.known : len(self)] = np.fromiter(map(xxhash.xxh3_64_intdigest, self.fresh), np.uint64, len(self.fresh))
-            self.known, self.fresh = len(self), []
-        return self.hashes[numbers]
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -107,6 +100,26 @@ def recurs(anchors: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with the text compressed on its own, to be dealt."""
+    at, schema = docs.columns.index("text"), docs.schema
+    schema = StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in schema])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                small = [press(x.as_buffer()) if x.is_valid else None for x in part.column(at)]
+                yield part.set_column(at, "text", pa.array(small, pa.binary()))
+
+    return docs.mapInArrow(over, schema)
+
+
+def unpacked(text: bytes | None) -> str | None:
+    return None if text is None else zstandard.decompress(text).decode()
+
+
 def shard_of(doc_id: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("int")
 
@@ -115,10 +128,9 @@ def anchor_rows(docs: DataFrame, size: int) -> DataFrame:
     """(anchor, text_hash, shard) for each text; one that holds an anchor twice sends it under two hashes."""
 
     def over(batch: pa.RecordBatch):
-        words = Vocabulary()
         found = []
         for text, key, shard in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            hashes = words.hashed(words.numbers(words_of(text)))
+            hashes = hashed(words_of(text))
             short, at = anchors_of(hashes, size)
             if len(at):
                 anchors, times = np.unique(short[np.unique(at)], return_counts=True)
@@ -173,11 +185,11 @@ def window_rows(docs: DataFrame, told: DataFrame, size: int) -> DataFrame:
         kind, key = np.asarray(told.column("kind")), np.asarray(told.column("key"))
         anchors, copies = np.sort(key[kind == 0]).view(np.uint64), set(key[kind == 1].tolist())
         anchors = np.sort(anchors)
-        words, parts = Vocabulary(), []
+        parts = []
         for doc_id, text in zip(texts.column("__doc").to_pylist(), texts.column("text"), strict=True):
             if doc_id in copies or not len(anchors):
                 continue
-            hashes = words.hashed(words.numbers(words_of(text.as_py())))
+            hashes = hashed(words_of(unpacked(text.as_py())))
             short, at = anchors_of(hashes, size)
             starts = np.flatnonzero(member(short, anchors)[0][at])
             if len(starts):
@@ -222,6 +234,11 @@ def recurring_windows(rows: DataFrame) -> DataFrame:
     return rows.repartition("window").mapInArrow(over, "doc_id long, window long, first_doc long, first_start long")
 
 
+def spelled(words: list[bytes]) -> str:
+    """Words between single spaces, a character for each byte: an automaton finds whole words only."""
+    return (b" %b " % b" ".join(words)).decode("latin-1")
+
+
 class Passages:
     """The passages of a shard: runs of confirmed windows whose first places also follow one another."""
 
@@ -230,14 +247,15 @@ class Passages:
         self.size, self.windows, self.first_doc, self.first_start = size, windows[order], first_doc[order], first_start[order]
         self.seen = np.zeros(len(windows), bool)
         self.found: list[tuple[np.ndarray, int, int]] = []
-        self.pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.pieces: dict[str, list[tuple[int, int]]] = {}
         self.step = size // 2  # every window holds one whole piece
 
-    def add(self, numbers: np.ndarray, hashes: np.ndarray) -> bool:
-        """Passages of this document with windows that no passage holds yet; whether the document has any window at all."""
-        hit, at = member(runs_of(hashes, self.size, ODD1), self.windows)
+    def add(self, words: list[bytes], vocabulary: Vocabulary) -> np.ndarray | None:
+        """Adds the passages of a document with windows that none holds yet; its words' numbers if it has a window at all."""
+        hit, at = member(runs_of(hashed(words), self.size, ODD1), self.windows)
         if not hit.any():
-            return False
+            return None
+        numbers = vocabulary.numbers(words)
         starts = np.flatnonzero(hit)
         at = at[starts]
         fresh = ~self.seen[at]
@@ -249,36 +267,37 @@ class Passages:
                     continue
                 self.seen[at[run]] = True
                 begin, end = int(starts[run[0]]), int(starts[run[-1]]) + self.size
-                words = numbers[begin:end]
                 number = len(self.found)
-                self.found.append((words, int(self.first_doc[at[run[0]]]), int(self.first_start[at[run[0]]])))
-                for k in range(0, len(words) - self.step + 1, self.step):
-                    self.pieces.setdefault(tuple(words[k : k + self.step].tolist()), []).append((number, k))
-        return True
+                self.found.append((numbers[begin:end], int(self.first_doc[at[run[0]]]), int(self.first_start[at[run[0]]])))
+                for k in range(0, end - begin - self.step + 1, self.step):
+                    self.pieces.setdefault(spelled(words[begin + k : begin + k + self.step]), []).append((number, k))
+        return numbers
 
     def automaton(self) -> ahocorasick.Automaton | None:
         if not self.pieces:
             return None
-        out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        out = ahocorasick.Automaton()
         for piece, places in self.pieces.items():
             out.add_word(piece, places)
         out.make_automaton()
         return out
 
-    def removed(self, automaton: ahocorasick.Automaton, numbers: np.ndarray, doc_id: int) -> np.ndarray | None:
+    def removed(self, automaton: ahocorasick.Automaton, words: list[bytes], numbers: np.ndarray, doc_id: int) -> np.ndarray | None:
         """True for every word of the document to remove; None for none."""
         out, tried, n = None, set(), len(numbers)
-        for end, places in automaton.iter(tuple(numbers.tolist())):
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+        for end, places in automaton.iter(spelled(words)):
+            last = int(np.searchsorted(ends, end))
             for number, offset in places:
-                origin = end - self.step + 1 - offset  # where the passage would begin in this document
+                origin = last - self.step + 1 - offset  # where the passage would begin in this document
                 if (number, origin) in tried:
                     continue
                 tried.add((number, origin))
-                words, first_doc, first_start = self.found[number]
+                passage, first_doc, first_start = self.found[number]
                 if first_doc == doc_id and first_start == origin:
                     continue
-                begin, stop = max(0, origin), min(n, origin + len(words))
-                differs = np.flatnonzero(numbers[begin:stop] != words[begin - origin : stop - origin])
+                begin, stop = max(0, origin), min(n, origin + len(passage))
+                differs = np.flatnonzero(numbers[begin:stop] != passage[begin - origin : stop - origin])
                 edges = np.concatenate([[-1], differs, [stop - begin]])
                 for left, right in zip(edges[:-1] + 1, edges[1:], strict=True):
                     if right - left >= self.size:
@@ -319,7 +338,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     blank = [F.lit(0).cast("long").alias("first_doc"), F.lit(0).cast("long").alias("first_start")]
     anchors = recurring_anchors(anchor_rows(keyed.withColumn("__text", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")), size))
     told = copies.union(anchors.select("shard", F.lit(0), "anchor"))
-    windows = recurring_windows(window_rows(keyed.select("__doc", "text", "__shard"), told, size))
+    windows = recurring_windows(window_rows(packed(keyed.select("__doc", "text", "__shard")), told, size))
     confirmed = windows.select(shard_of("doc_id", shards).alias("shard"), F.lit(2).alias("kind"), F.col("window").alias("key"), "first_doc", "first_start")
     told = copies.select("*", *blank).union(confirmed)
     extra = "n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -332,32 +351,31 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
         kind, key = np.asarray(told.column("kind")), np.asarray(told.column("key"))
         copies, sure = set(key[kind == 1].tolist()), kind == 2
         passages = Passages(size, key[sure].view(np.uint64), np.asarray(told.column("first_doc"))[sure], np.asarray(told.column("first_start"))[sure])
-        words = Vocabulary()
-        ids = texts.column("__doc").to_pylist()
-        held = {}
-        for k, (doc_id, text) in enumerate(zip(ids, texts.column("text"), strict=True)):
-            if doc_id not in copies and text.is_valid:
-                numbers = words.numbers(words_of(text.as_py()))
-                held[k] = numbers.astype(np.int32)
-                if len(passages.windows):
-                    passages.add(numbers, words.hashed(numbers))
+        vocabulary = Vocabulary()
+        ids, plain = texts.column("__doc").to_pylist(), [unpacked(x.as_py()) for x in texts.column("text")]
+        out, hits = {n: [] for n in ("n_words", "n_removed", "kept_sha256", "kept_text")}, []
+        for k, (doc_id, text) in enumerate(zip(ids, plain, strict=True)):
+            words = words_of(text)
+            whole = doc_id in copies and len(words) >= size
+            if doc_id not in copies and len(passages.windows):
+                numbers = passages.add(words, vocabulary)
+                if numbers is not None:
+                    hits.append((k, numbers))
+            out["n_words"].append(len(words))
+            out["n_removed"].append(len(words) if whole else 0)
+            out["kept_sha256"].append(hashlib.sha256(b"" if whole else b" ".join(words)).hexdigest())
+            out["kept_text"].append(cut(text, np.ones(len(words), bool)) if whole else text)
         automaton = passages.automaton()
-        out = {n: [] for n in ("n_words", "n_removed", "kept_sha256", "kept_text")}
-        for k, (doc_id, text) in enumerate(zip(ids, texts.column("text"), strict=True)):
-            text = text.as_py()
-            parts = words_of(text)
-            gone = None
-            if doc_id in copies:
-                gone = np.full(len(parts), len(parts) >= size) if len(parts) >= size else None
-            elif automaton is not None and k in held:
-                gone = passages.removed(automaton, held[k], doc_id)
-            n = 0 if gone is None else int(gone.sum())
-            kept = parts if not n else [w for w, g in zip(parts, gone.tolist(), strict=True) if not g]
-            out["n_words"].append(len(parts))
-            out["n_removed"].append(n)
-            out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            out["kept_text"].append(text if not n else cut(text, gone))
+        for k, numbers in hits:  # a document without a confirmed window has no occurrence
+            words = words_of(plain[k])
+            gone = passages.removed(automaton, words, numbers, ids[k])
+            if gone is not None:
+                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                out["n_removed"][k] = len(words) - len(kept)
+                out["kept_sha256"][k] = hashlib.sha256(b" ".join(kept)).hexdigest()
+                out["kept_text"][k] = cut(plain[k], gone)
+        texts = texts.set_column(texts.column_names.index("text"), "text", pa.array(plain, pa.string()))
         arrays = [pc.cast(texts.column(c), arrow.field(c).type) for c in columns] + [pa.array(out[c], arrow.field(c).type) for c in out]
         return pa.Table.from_arrays(arrays, schema=arrow)
 
-    return keyed.groupBy("__shard").cogroup(told.groupBy("shard")).applyInArrow(over, schema)
+    return packed(keyed).groupBy("__shard").cogroup(told.groupBy("shard")).applyInArrow(over, schema)
