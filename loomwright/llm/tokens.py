@@ -33,18 +33,22 @@ FRAME = 1 << 16
 #: Magic numbers of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
-SIMPLE = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+#: ASCII and Latin-1 letters, in UTF-8, with or without punctuation after them.
+SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+#: The byte-level alphabet: printable characters of Latin-1 stand for their bytes, the other bytes follow from 256 on.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: b for b in PLAIN} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PLAIN)}
 
 
 class WordCodec:
     """Encodes texts word by word, each distinct word once.
 
     The tokenizer drops white space and neither normalises nor merges across it, so the ids of a text are those of its
-    words in order. Words of ASCII letters, with punctuation or not, need no normaliser and go to the BPE model
-    directly. What is known is dropped when it exceeds `most` words.
+    words in order. Words of Latin letters, with punctuation or not, need only lower case and go to the BPE model
+    directly. Of what is known, the words seen least are dropped when there are more than `most`.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.whole, self.most = Tokenizer.from_file(path), most
         self.model = self.whole.model
         self.clear()
@@ -52,8 +56,36 @@ class WordCodec:
     def clear(self) -> None:
         self.rows: dict[bytes, int] = Rows()
         self.starts, self.counts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.hits = np.zeros(1024, np.int64)
         self.known = self.used = 0
 
+    def shrink(self) -> None:
+        """Keeps the words seen most, at most half of the limit."""
+        hits = self.hits[: self.known]
+        least = 2
+        while (hits >= least).sum() > self.most // 2:
+            least *= 2
+        kept = np.flatnonzero(hits >= least)
+        words = list(self.rows)
+        starts, counts = self.starts[kept], self.counts[kept]
+        ids, hits = [self.ids[a : a + n] for a, n in zip(starts.tolist(), counts.tolist(), strict=True)], hits[kept] // 2
+        self.clear()
+        self.rows.update(zip((words[k] for k in kept.tolist()), range(len(kept)), strict=True))
+        self.store(counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32), hits)
+
+    def store(self, counts: np.ndarray, new: np.ndarray, hits: np.ndarray) -> None:
+        need, words = self.used + len(new), self.known + len(counts)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * need - self.used, np.uint32)])
+        if words > len(self.starts):
+            for name in ("starts", "counts", "hits"):
+                setattr(self, name, np.concatenate([getattr(self, name)[: self.known], np.zeros(2 * words - self.known, np.int64)]))
+        self.ids[self.used : need] = new
+        self.counts[self.known : words] = counts
+        self.hits[self.known : words] = hits
+        self.starts[self.known : words] = self.used + np.cumsum(counts) - counts
+        self.known, self.used = words, need
+
     def learn(self) -> None:
         fresh, self.rows.fresh = self.rows.fresh, []
         found: list[list[int] | None] = []
@@ -62,7 +94,10 @@ class WordCodec:
         for word in fresh:
             if m := SIMPLE.fullmatch(word):
                 letters, stops = m.groups()
-                ids = [t.id for t in tokens(letters.lower().decode())]
+                plain = letters.lower().decode()
+                if not plain.isascii():
+                    plain = plain.lower().encode().decode("latin-1").translate(ALPHABET)
+                ids = [t.id for t in tokens(plain)]
                 found.append(ids + [t.id for t in tokens(stops.decode())] if stops else ids)
             else:
                 hard.append(word.decode())
@@ -71,21 +106,12 @@ class WordCodec:
         found = [next(rest).ids if x is None else x for x in found]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         new = np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
-        need, words = self.used + len(new), self.known + len(found)
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * need - self.used, np.uint32)])
-        if words > len(self.starts):
-            self.starts = np.concatenate([self.starts[: self.known], np.zeros(2 * words - self.known, np.int64)])
-            self.counts = np.concatenate([self.counts[: self.known], np.zeros(2 * words - self.known, np.int64)])
-        self.ids[self.used : need] = new
-        self.counts[self.known : words] = counts
-        self.starts[self.known : words] = self.used + np.cumsum(counts) - counts
-        self.known, self.used = words, need
+        self.store(counts, new, np.zeros(len(counts), np.int64))
 
     def encode(self, texts: list[str | None], end: int | None = END) -> list[np.ndarray]:
         """The ids of each text, with `end` after them."""
         if len(self.rows) > self.most:
-            self.clear()
+            self.shrink()
         get = self.rows.__getitem__
         rows = []
         for text in texts:
@@ -93,6 +119,8 @@ class WordCodec:
             rows.append(np.fromiter(map(get, words), np.int64, len(words)))
         if self.rows.fresh:
             self.learn()
+        if rows:
+            self.hits[: self.known] += np.bincount(np.concatenate(rows), minlength=self.known)
         out = []
         for row in rows:
             counts = self.counts[row]
