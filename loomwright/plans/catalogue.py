@@ -1,4 +1,7 @@
-"""Every query of the reference's operators, by the inventory's ids, with the DuckDB SQL that checks it."""
+"""Every query of the library's core, by the inventory's ids, with the DuckDB SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from loomwright.plans import governance_queries, profile_queries, relational_queries, text_queries
+
+MODULES = (profile_queries, text_queries, relational_queries, governance_queries)
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE: dict = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
