@@ -58,8 +58,12 @@ def corrected_kurtosis(n: Column, g2: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-def column_profile(df: DataFrame, ref: Column | None = None, approximate: bool = False) -> DataFrame:
-    """One row for each column (SCHEMA). ref: the time that freshness is measured at; the session's now if None."""
+def column_profile(df: DataFrame, ref: Column | None = None, approximate: bool = False, only: set[str] | None = None) -> DataFrame:
+    """One row for each column (SCHEMA). ref: the time that freshness is measured at; the session's now if None.
+
+    only: of distinct, moments, quartiles, surrogates and ranges, those to compute; the others' columns are null or 0.
+    """
+    want = lambda part: only is None or part in only
     ref = F.current_timestamp() if ref is None else ref
     kinds = {f.name: dtype_of(f.dataType) for f in df.schema}
     aggregates, rows = [F.count(F.lit(1)).alias("n")], []
@@ -67,36 +71,46 @@ def column_profile(df: DataFrame, ref: Column | None = None, approximate: bool =
     for k, (name, dtype) in enumerate(kinds.items()):
         v, at = present(name, dtype), f"c{k}_"
         key = v if dtype != "object" else F.to_json(F.struct(v))
-        aggregates += [F.count(v).alias(at + "n"), (F.approx_count_distinct(key) if approximate else F.count_distinct(key)).alias(at + "u")]
-        numeric, dated = dtype in ("int", "float"), dtype == "datetime"
+        aggregates.append(F.count(v).alias(at + "n"))
+        if want("distinct"):
+            aggregates.append((F.approx_count_distinct(key) if approximate else F.count_distinct(key)).alias(at + "u"))
+        numeric, dated = dtype in ("int", "float"), dtype == "datetime" and want("ranges")
+        moments, quarters, marked = numeric and want("moments"), numeric and want("quartiles"), (numeric or dtype == "string") and want("surrogates")
         if numeric:
             x = v.cast("double")
             finite = F.when(F.abs(x) < float("inf"), x)
-            aggregates += [f(x).alias(at + s) for s, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("g1", F.skewness), ("g2", F.kurtosis))]
+            if moments:
+                aggregates += [f(x).alias(at + s) for s, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("g1", F.skewness), ("g2", F.kurtosis))]
+            if moments:
+                aggregates.append((F.count(x) - F.count(finite)).alias(at + "i"))
             quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approximate else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            aggregates += [quartiles.alias(at + "q"), F.count_if(v.isin(SURROGATE_NUMBERS)).alias(at + "s"), (F.count(x) - F.count(finite)).alias(at + "i")]
+            if quarters:
+                aggregates.append(quartiles.alias(at + "q"))
+            if marked:
+                aggregates.append(F.count_if(v.isin(SURROGATE_NUMBERS)).alias(at + "s"))
         elif dated:
             aggregates += [F.min(v.cast("timestamp")).alias(at + "min"), F.max(v.cast("timestamp")).alias(at + "max")]
-        elif dtype == "string":
+        elif marked:
             aggregates.append(F.count_if(F.lower(F.trim(v)).isin(SURROGATE_TOKENS)).alias(at + "s"))
         n = F.col(at + "n")
-        stat = lambda s, at=at, on=numeric: F.col(at + s) if on else null("double")
+        stat = lambda s, at=at, on=moments: F.col(at + s) if on else null("double")
         age = F.greatest(F.lit(0).cast("long"), F.floor((F.unix_timestamp(ref) - F.unix_timestamp(at + "max")) / 86400)) if dated else null("long")
         rows.append(F.struct(
             F.lit(k).alias("ordinal"), F.lit(name).alias("column_name"), F.lit(dtype).alias("dtype"), F.col("n").alias("row_count"), (F.col("n") - n).alias("null_count"),
-            F.when(F.col("n") > 0, F.round((F.col("n") - n) * 100.0 / F.col("n"), 2)).otherwise(0.0).alias("null_pct"), F.col(at + "u").alias("unique_count"),
-            stat("mean").alias("mean"), (F.when(n == 1, 0.0).otherwise(F.col(at + "std")) if numeric else null("double")).alias("std"), stat("min").alias("min_value"), stat("max").alias("max_value"),
-            *[(F.col(at + "q")[i].cast("double") if numeric else null("double")).alias(q) for i, q in enumerate(("q25", "q50", "q75"))],
-            (corrected_skew(n, F.col(at + "g1")) if numeric else null("double")).alias("skew"), (corrected_kurtosis(n, F.col(at + "g2")) if numeric else null("double")).alias("kurtosis"),
+            F.when(F.col("n") > 0, F.round((F.col("n") - n) * 100.0 / F.col("n"), 2)).otherwise(0.0).alias("null_pct"), (F.col(at + "u") if want("distinct") else null("long")).alias("unique_count"),
+            stat("mean").alias("mean"), (F.when(n == 1, 0.0).otherwise(F.col(at + "std")) if moments else null("double")).alias("std"), stat("min").alias("min_value"), stat("max").alias("max_value"),
+            *[(F.col(at + "q")[i].cast("double") if quarters else null("double")).alias(q) for i, q in enumerate(("q25", "q50", "q75"))],
+            (corrected_skew(n, F.col(at + "g1")) if moments else null("double")).alias("skew"), (corrected_kurtosis(n, F.col(at + "g2")) if moments else null("double")).alias("kurtosis"),
             (F.col(at + "min") if dated else null("timestamp")).alias("earliest"), (F.col(at + "max") if dated else null("timestamp")).alias("latest"), age.alias("days_since_latest"),
-            (F.col(at + "s") if numeric or dtype == "string" else F.lit(0).cast("long")).alias("surrogate_null_count"), (F.col(at + "i") if numeric else F.lit(0).cast("long")).alias("infinite_count"),
+            (F.col(at + "s") if marked else F.lit(0).cast("long")).alias("surrogate_null_count"), (F.col(at + "i") if moments else F.lit(0).cast("long")).alias("infinite_count"),
         ))
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """dup_rows: rows beyond the first of each; nulls are equal. Rows are grouped by a 256-bit hash: a shuffle of hashes."""
-    return df.groupBy(F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256)).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("dup_rows"))
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return df.groupBy(F.sha2(row, 256).alias("row")).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("dup_rows"))
 
 
 def table_summary(profile: DataFrame) -> DataFrame:

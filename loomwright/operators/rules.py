@@ -41,7 +41,7 @@ FACTS = {
     "exact_key": "bool_or(null_count = 0 AND unique_count = row_count AND row_count > 0)", "near_key": "bool_or(null_pct < 1 AND unique_count >= 0.99 * row_count AND row_count > 0)",
     "unique_key": "bool_or(null_count = 0 AND unique_count >= 0.999 * row_count AND row_count > 0)", "audit": "count_if({audit} OR dtype = 'datetime')", "off_names": "count_if(NOT {snake})",
     "heavy_nulls": "count_if(null_pct > 50)", "surrogates": "count_if(surrogate_null_count > 0)", "targets": f"count_if({TARGET})",
-    "binary": f"count_if(unique_count = 2 AND null_pct < 10 AND NOT {NUMERIC})", "classes": f"min_by(unique_count, CASE WHEN {TARGET} THEN ordinal END)",
+    "binary_columns": f"count_if(unique_count = 2 AND null_pct < 10 AND NOT {NUMERIC})", "classes": f"min_by(unique_count, CASE WHEN {TARGET} THEN ordinal END)",
     "suspects": "count_if({post_event} AND NOT {target})", "dates": "count_if(dtype = 'datetime')", "ranges": "count_if(earliest IS NOT NULL)",
     "span": "max(floor(({latest} - {earliest}) / 86400.0))", "age": "min(days_since_latest)",
     "first_created": "max(CASE WHEN {created} THEN {earliest} END)", "first_updated": "min(CASE WHEN {updated} THEN {earliest} END)",
@@ -78,7 +78,7 @@ RULES = {
     "quality_surrogates": ("info", passes("surrogates = 0", "warn")),
     "quality_pk_uniqueness": ("warning", ladder(("pass", "exact_key"), ("warn", "unique_key"), otherwise="fail")),
     "quality_type_consistency": ("info", passes("dictionary_mismatches = 0", "warn")),
-    "labels_target": ("warning", ladder(("pass", "targets > 0"), ("warn", "binary > 0"), otherwise="fail")),
+    "labels_target": ("warning", ladder(("pass", "targets > 0"), ("warn", "binary_columns > 0"), otherwise="fail")),
     "labels_balance": ("warning", ladder(("fail", "targets > 0 AND classes < 2"), otherwise="warn")),
     "labels_timestamps": ("warning", passes("dates > 0", "fail")),
     "labels_leakage": ("blocker", passes("targets = 0 OR suspects = 0", "deferred")),
@@ -140,7 +140,7 @@ def facts(profile: DataFrame, measured: dict[str, Column] | None = None) -> Data
 def checks(table_facts: DataFrame) -> DataFrame:
     """(table_name, dimension, rule_id, severity, status) of every rule; a table without labels skips that dimension."""
     rows = [F.struct(F.lit(r.split("_")[0]).alias("dimension"), F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.expr(e).alias("status")) for r, (s, e) in RULES.items()]
-    return table_facts.select("table_name", "targets", "binary", F.inline(F.array(*rows))).where("dimension <> 'labels' OR targets > 0 OR binary > 0").drop("targets", "binary")
+    return table_facts.select("table_name", "targets", "binary_columns", F.inline(F.array(*rows))).where("dimension <> 'labels' OR targets > 0 OR binary_columns > 0").drop("targets", "binary_columns")
 
 
 def dimension_scores(found: DataFrame) -> DataFrame:

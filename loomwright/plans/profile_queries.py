@@ -18,12 +18,15 @@ COLUMNS = {
     "part": {"p_partkey": "int", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "float"},
     "lineitem": {"l_orderkey": "int", "l_partkey": "int", "l_suppkey": "int", "l_linenumber": "int", "l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_tax": "float", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "datetime"},
     "events": {"event_id": "int", "ts": "datetime", "user_id": "int", "event_type": "string", "value": "float", "props": "string"},
+    "labelled": {"doc_id": "int", "label": "int", "review_result": "int"},
 }
+VIEWS = {"labelled": "(SELECT doc_id, quality AS label, toxic AS review_result FROM labels)"}
 R = Registry()
 
 
-def profiled(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pf.column_profile(table(spark, sf_dir, name), F.lit(REF).cast("timestamp")).withColumn("table_name", F.lit(name))
+def profiled(spark: SparkSession, sf_dir: str, name: str, only: set[str] | None = None) -> DataFrame:
+    source = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label", "toxic AS review_result") if name == "labelled" else table(spark, sf_dir, name)
+    return pf.column_profile(source, F.lit(REF).cast("timestamp"), only=only).withColumn("table_name", F.lit(name))
 
 
 def profile_sql(name: str) -> str:
@@ -33,14 +36,14 @@ def profile_sql(name: str) -> str:
     for k, (c, kind) in enumerate(COLUMNS[name].items()):
         number, dated = kind in ("int", "float"), kind == "datetime"
         of = lambda e, on, null="DOUBLE": e if on else f"CAST(NULL AS {null})"  # noqa: B023, E731
-        surrogate = f"count_if({c} IN (-1, -999, 999, 9999))" if number else f"count_if(lower(trim({c})) IN ({tokens}))" if kind == "string" else "0"
+        surrogate = f"CAST(count_if({c} IN (-1, -999, 999, 9999)) AS BIGINT)" if number else f"CAST(count_if(lower(trim({c})) IN ({tokens})) AS BIGINT)" if kind == "string" else "0"
         parts.append(
             f"SELECT {k} AS ordinal, '{c}' AS column_name, '{kind}' AS dtype, count(*) AS row_count, count(*) - count({c}) AS null_count, round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_pct, "
             f"count(DISTINCT {c}) AS unique_count, {of(f'avg({c})', number)} AS mean, {of(f'stddev_samp({c})', number)} AS std, {of(f'CAST(min({c}) AS DOUBLE)', number)} AS min_value, {of(f'CAST(max({c}) AS DOUBLE)', number)} AS max_value, "
             + "".join(f"{of(f'quantile_cont(CAST({c} AS DOUBLE), {q})', number)} AS {n}, " for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")))
             + f"{of(f'skewness({c})', number)} AS skew, {of(f'kurtosis({c})', number)} AS kurtosis, {of(f'CAST(min({c}) AS TIMESTAMP)', dated, 'TIMESTAMP')} AS earliest, {of(f'CAST(max({c}) AS TIMESTAMP)', dated, 'TIMESTAMP')} AS latest, "
             + of(f"CAST(greatest(0, floor((epoch(TIMESTAMP '{REF}') - epoch(max({c}))) / 86400)) AS BIGINT)", dated, "BIGINT")
-            + f" AS days_since_latest, {surrogate} AS surrogate_null_count, 0 AS infinite_count, '{name}' AS table_name FROM {name}"
+            + f" AS days_since_latest, {surrogate} AS surrogate_null_count, 0 AS infinite_count, '{name}' AS table_name FROM {VIEWS.get(name, name)}"
         )
     return " UNION ALL ".join(parts)
 
@@ -63,7 +66,10 @@ SHOWN = {
 }
 for _name, _columns in SHOWN.items():
     _table = {"P14_ranges": "orders", "P15_freshness": "events"}.get(_name, "lineitem")
-    R.add(_name, f"SELECT {', '.join(_columns)} FROM ({profile_sql(_table)})")(lambda spark, sf_dir, c=_columns, t=_table: profiled(spark, sf_dir, t).selectExpr(*c))
+    _only = {"P07": {"distinct"}, "P10": {"moments"}, "P11": {"quartiles"}, "P12": {"moments"}, "P13": {"surrogates"}, "P14": {"ranges"}, "P15": {"ranges"}, "P18": {"moments"}}.get(_name[:3], set())
+    _where = "days_since_latest IS NOT NULL" if _name == "P15_freshness" else "true"
+    R.add(_name, f"SELECT {', '.join(_columns)} FROM ({profile_sql(_table)}) WHERE {_where}")(
+        lambda spark, sf_dir, c=_columns, t=_table, o=_only, w=_where: profiled(spark, sf_dir, t, o).where(w).selectExpr(*c))
 
 
 @R.add("P02_samples", """
@@ -75,15 +81,20 @@ def samples(spark, sf_dir):
 
 
 @R.add("P03_value_patterns", r"""
-WITH v AS (SELECT trim(text) AS v FROM (SELECT text, doc_id FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 100) WHERE trim(text) <> '')
-SELECT count(*) AS scanned, count_if(regexp_matches(v, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS email, 0 AS ssn, 0 AS person_name FROM v""")
+WITH v AS (SELECT trim(text) AS v FROM (SELECT text, doc_id FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 100) WHERE trim(text) <> ''),
+k AS (SELECT v, regexp_matches(v, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS email, regexp_matches(v, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') AS ssn,
+  list_transform(string_split(trim(regexp_replace(replace(v, ',', ' '), '\s+', ' ', 'g')), ' '), lambda x: trim(x, '.')) AS t FROM v)
+SELECT count(*) AS scanned, count_if(email) AS email, count_if(ssn AND NOT email) AS ssn,
+  count_if(NOT email AND NOT ssn AND NOT contains(v, '@') AND length(v) <= 80 AND NOT regexp_matches(v, '[0-9]') AND len(t) BETWEEN 2 AND 4 AND len(list_filter(t, lambda x: NOT regexp_full_match(x, '[A-Za-z][A-Za-z\x27-]{1,29}'))) = 0) AS person_name FROM k""")
 def value_patterns(spark, sf_dir):
     return pf.value_patterns(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
-@R.add("P04_person_names", r"""SELECT c_custkey, false AS is_name FROM customer""")
+@R.add("P04_person_names", r"""
+WITH t AS (SELECT p_partkey, p_name, list_transform(string_split(trim(regexp_replace(replace(p_type || ' ' || p_brand, ',', ' '), '\s+', ' ', 'g')), ' '), lambda x: trim(x, '.')) AS t FROM part)
+SELECT p_partkey, NOT regexp_matches(array_to_string(t, ' '), '[0-9]') AND len(t) BETWEEN 2 AND 4 AND len(list_filter(t, lambda x: NOT regexp_full_match(x, '[A-Za-z][A-Za-z\x27-]{1,29}'))) = 0 AS is_name FROM t""")
 def person_names(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", pf.person_name(F.col("c_name")).alias("is_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", pf.person_name(F.concat_ws(" ", "p_type", "p_brand")).alias("is_name"))
 
 
 @R.add("P05_row_counts", "SELECT count(*) AS row_count, least(count(*), 10000) AS profiled_row_count FROM orders")
@@ -91,14 +102,14 @@ def row_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("row_count")).withColumn("profiled_row_count", F.least("row_count", F.lit(10000)))
 
 
-@R.add("P08_duplicate_rows", "SELECT sum(n - 1) AS dup_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_linenumber, l_quantity, l_returnflag)")
+@R.add("P08_duplicate_rows", "SELECT CAST(sum(n - 1) AS BIGINT) AS dup_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_linenumber, l_quantity, l_returnflag)")
 def duplicate_rows(spark, sf_dir):
     return pf.duplicate_rows(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"))
 
 
 @R.add("P09_missing_cells", f"SELECT max(row_count) AS row_count, count(*) AS column_count, round(avg(null_count / greatest(row_count, 1)) * 100, 2) AS missing_pct FROM ({profile_sql('events')})")
 def missing_cells(spark, sf_dir):
-    return pf.table_summary(profiled(spark, sf_dir, "events"))
+    return pf.table_summary(profiled(spark, sf_dir, "events", set()))
 
 
 @R.add("P16_date_coercion", "SELECT order_date, plain FROM (SELECT strftime(o_orderdate, '%Y-%m-%d')::DATE::TIMESTAMP AS order_date, 'x' || o_orderkey AS plain FROM orders)")
@@ -149,8 +160,11 @@ def exact_count(spark, sf_dir):
 
 
 # Rules and scores.
+ASSESSED = ["customer", "orders", "part", "labelled"]
+
+
 def facts(spark, sf_dir):
-    return rl.facts(reduce(DataFrame.union, [profiled(spark, sf_dir, t) for t in COLUMNS]))
+    return rl.facts(reduce(DataFrame.union, [profiled(spark, sf_dir, t) for t in ASSESSED]))
 
 
 def facts_sql() -> str:
@@ -158,11 +172,11 @@ def facts_sql() -> str:
     quasi = rl.QUASI.format(pii=f"regexp_matches(column_name, '{rl.PATTERNS['pii']}')")
     given = ", ".join(f"{v} AS {k}" for k, v in rl.MEASURED.items() if k != "quasi_product")
     return f"""SELECT table_name, {', '.join(f'{e} AS {k}' for k, e in found.items())}, coalesce(product(CASE WHEN place <= 3 THEN q END), 0) AS quasi_product, {given}
-FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY q DESC NULLS LAST, ordinal) AS place FROM (SELECT *, {quasi} AS q FROM ({' UNION ALL '.join(profile_sql(t) for t in COLUMNS)}))) GROUP BY table_name"""
+FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY q DESC NULLS LAST, ordinal) AS place FROM (SELECT *, {quasi} AS q FROM ({' UNION ALL '.join(profile_sql(t) for t in ASSESSED)}))) GROUP BY table_name"""
 
 
 def checks_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT table_name, '{r.split('_')[0]}' AS dimension, '{r}' AS rule_id, '{s}' AS severity, {e} AS status FROM facts" + (' WHERE targets > 0 OR "binary" > 0' if r.startswith("labels") else "") for r, (s, e) in rl.RULES.items())
+    rows = " UNION ALL ".join(f"SELECT table_name, '{r.split('_')[0]}' AS dimension, '{r}' AS rule_id, '{s}' AS severity, {e} AS status FROM facts" + (' WHERE targets > 0 OR binary_columns > 0' if r.startswith("labels") else "") for r, (s, e) in rl.RULES.items())
     return f"WITH facts AS MATERIALIZED ({facts_sql()}), checks AS MATERIALIZED ({rows})"
 
 

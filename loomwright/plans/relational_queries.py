@@ -43,9 +43,9 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@R.add("J05_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@R.add("J05_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @R.add("J06_lookup_cascade", """SELECT d.doc_id, coalesce(l.quality * 100, s.best, 0) AS score FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)
@@ -57,10 +57,11 @@ def lookup_cascade(spark, sf_dir):
     return d.join(own, "doc_id", "left").join(by_source, "source", "left").select("doc_id", F.coalesce(F.col("quality") * 100, F.col("best"), F.lit(0)).alias("score"))
 
 
-@R.add("J07_case_insensitive_join", "SELECT n_nationkey, r_name FROM nation JOIN region ON lower(substr(n_name, 1, 1)) = lower(substr(r_name, 1, 1))")
+@R.add("J07_case_insensitive_join", "SELECT event_id, declared FROM events JOIN (SELECT DISTINCT upper(event_type) AS declared FROM events) ON lower(event_type) = lower(declared)")
 def case_insensitive(spark, sf_dir):
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(r, F.lower(F.substring("n_name", 1, 1)) == F.lower(F.substring("r_name", 1, 1))).select("n_nationkey", "r_name")
+    e = ev(spark, sf_dir)
+    declared = e.select(F.upper("event_type").alias("declared")).distinct()
+    return e.join(declared, F.lower("event_type") == F.lower("declared")).select("event_id", "declared")
 
 
 @R.add("J08_acl_filter", """SELECT doc_id AS chunk_id FROM documents WHERE source IN ('src1', 'src2') OR doc_id = 7 OR contains(lower(lang), 'fr') OR contains('fr', lower(lang))""")
@@ -70,12 +71,12 @@ def acl_filter(spark, sf_dir):
     return rt.allowed(chunks, acl).select("chunk_id")
 
 
-@R.add("J09_version_diff", """WITH v1 AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0), v2 AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper(text) ELSE text END AS text FROM documents WHERE doc_id % 3 <> 1)
+@R.add("J09_version_diff", """WITH v1 AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0), v2 AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END AS text FROM documents WHERE doc_id % 3 <> 1)
 SELECT doc_id, CASE WHEN v1.text IS NULL THEN 'added' WHEN v2.text IS NULL THEN 'removed' WHEN v1.text = v2.text THEN 'same' ELSE 'changed' END AS change, coalesce(length(v2.text), 0) - coalesce(length(v1.text), 0) AS delta FROM v1 FULL JOIN v2 USING (doc_id)""")
 def version_diff(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     a = d.where("doc_id % 3 <> 0").withColumnRenamed("text", "old")
-    b = d.where("doc_id % 3 <> 1").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")).alias("new"))
+    b = d.where("doc_id % 3 <> 1").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("new"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "same").otherwise("changed")
     return a.join(b, "doc_id", "full").select("doc_id", change.alias("change"), (F.coalesce(F.length("new"), F.lit(0)) - F.coalesce(F.length("old"), F.lit(0))).alias("delta"))
 
@@ -131,7 +132,7 @@ def chunk_lookup(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("source = 'src5' AND lang = 'en'").select("doc_id", "lang", "source").orderBy("doc_id").offset(5).limit(25)
 
 
-@R.add("C25_text_jaccard", r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), x -> x <> '')) AS w FROM documents)
+@R.add("C25_text_jaccard", r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS w FROM documents)
 SELECT a.doc_id, round(CASE WHEN len(list_distinct(a.w || b.w)) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) ELSE 0 END, 6) AS score FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
 def text_jaccard(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select("doc_id", tx.word_list(F.col("text")).alias("w"))
@@ -178,7 +179,7 @@ def self_retrieval(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
-@R.add("K09_vector_quality", """WITH n AS (SELECT sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) AS n FROM embeddings), m AS (SELECT median(n) AS med FROM n), d AS (SELECT n, abs(n - med) AS dev FROM n, m), mad AS (SELECT median(dev) AS mad FROM d)
+@R.add("K09_vector_quality", """WITH n AS (SELECT sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings), m AS (SELECT median(n) AS med FROM n), d AS (SELECT n, abs(n - med) AS dev FROM n, m), mad AS (SELECT median(dev) AS mad FROM d)
 SELECT count(*) AS vectors, count_if(n > 0) AS nonzero, count_if(0.6745 * dev / mad > 3.5) AS outliers, round(stddev_pop(n) / avg(n), 6) AS variation FROM d, mad""")
 def vector_quality(spark, sf_dir):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -196,7 +197,7 @@ def context_order(spark, sf_dir):
     return d.join(placed, "source").select("doc_id", "source", "place")
 
 
-@R.add("K06_budget_cut", "SELECT doc_id, source, used FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 8000")
+@R.add("K06_budget_cut", "SELECT doc_id, source, used FROM (SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) WHERE used <= 8000")
 def budget_cut(spark, sf_dir):
     return rt.within_budget(table(spark, sf_dir, "documents"), "source", ["doc_id"], F.col("n_chars"), 8000).select("doc_id", "source", "used")
 
@@ -216,9 +217,9 @@ def monthly_stats(spark, sf_dir):
     return months.join(by_month, "month", "left").select("month", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
-@R.add("G11_audit_statistics", "SELECT event_type, CAST(user_id % 5 AS INTEGER) AS resource, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (CAST(user_id % 5 AS INTEGER)), ())")
+@R.add("G11_audit_statistics", "SELECT event_type, CAST(user_id % 5 AS VARCHAR) AS resource, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (CAST(user_id % 5 AS VARCHAR)), ())")
 def audit_statistics(spark, sf_dir):
-    e = ev(spark, sf_dir).select("event_type", (F.col("user_id") % 5).cast("int").alias("resource"))
+    e = ev(spark, sf_dir).select("event_type", (F.col("user_id") % 5).cast("string").alias("resource"))
     return e.groupingSets([["event_type"], ["resource"], []], "event_type", "resource").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -256,8 +257,9 @@ def alert_statistics(spark, sf_dir):
 
 @R.add("G24_pipeline_statistics", "SELECT event_type, round(avg(gap), 3) AS avg_gap, round(min(gap), 3) AS min_gap, round(max(gap), 3) AS max_gap FROM (SELECT event_type, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) WHERE gap IS NOT NULL GROUP BY event_type")
 def pipeline_statistics(spark, sf_dir):
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    gaps = ev(spark, sf_dir).select("event_type", (F.unix_micros("ts") / 1e6 - F.unix_micros(before) / 1e6).alias("gap")).where("gap is not null")
+    at = F.col("ts").cast("timestamp")
+    before = F.lag(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    gaps = ev(spark, sf_dir).select("event_type", (F.unix_micros(at) / 1e6 - F.unix_micros(before) / 1e6).alias("gap")).where("gap is not null")
     return gaps.groupBy("event_type").agg(*[F.round(f("gap"), 3).alias(n) for n, f in (("avg_gap", F.avg), ("min_gap", F.min), ("max_gap", F.max))])
 
 

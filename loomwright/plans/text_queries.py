@@ -10,10 +10,14 @@ from loomwright.operators import chunks as ch
 from loomwright.plans.registry import Registry, table
 
 R = Registry()
-WORDS = r"list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), w -> w <> '')"
+WORDS = r"list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 LETTERS = r"length(regexp_replace(text, '[^\p{L}]', '', 'g'))"
 EMAIL, PHONE, SSN = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"(?:\+?\d[\s-]?)?(?:\(\d{3}\)|\d{3})[\s-]?\d{3}[\s-]?\d{4}", r"\b\d{3}[-.\s]?\d{2}[-.\s]?\d{4}\b"
-SENTENCES = r"list_filter(string_split_regex(text, '[.!?]+'), s -> trim(s, chr(32) || chr(10) || chr(9) || chr(13)) <> '')"
+SENTENCES = r"list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(s, chr(32) || chr(10) || chr(9) || chr(13)) <> '')"
+
+
+def T():
+    return F.col("text")
 
 
 def docs(spark, sf_dir):
@@ -25,41 +29,40 @@ def column(name: str, alias: str, expression, sql: str):
     R.add(name, f"SELECT doc_id, {sql} AS {alias} FROM documents")(lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", expression().alias(alias)))
 
 
-T = F.col("text")
-column("X02_redact_pii", "redacted", lambda: F.md5(tx.redact_pii(T)), f"md5(regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '[redacted_email]', 'g'), '{PHONE}', '[redacted_phone]', 'g'), '{SSN}', '[SSN]', 'g'))")
-column("X03_normalizers", "normalised", lambda: F.md5(tx.normalised(T, [(r"[ \t]+", " "), (r"!{2,}", "!"), (r"\n+", " / ")])), r"md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '!{2,}', '!', 'g'), '\n+', ' / ', 'g'))")
-column("X06_slug", "slug", lambda: tx.slug(F.substring(T, 1, 60)), "substr(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40)")
-column("X09_space_ratio", "ratio", lambda: F.round(tx.space_ratio(T, 1000), 6), "round(CASE WHEN length(text) > 0 THEN (length(substr(text, 1, 1000)) - length(replace(substr(text, 1, 1000), ' ', ''))) / length(substr(text, 1, 1000)) ELSE 0 END, 6)")
-column("X10_token_estimate", "tokens", lambda: tx.token_estimate(T), f"greatest(length(text) // 4, len({WORDS}))")
-column("X26_mid_sentence", "cut", lambda: tx.ends_mid_sentence(T), r"NOT regexp_matches(rtrim(text), '[.!?][\x22\x27)\]]*$') AND (NOT regexp_matches(rtrim(text), '\w$') OR length(rtrim(text)) < 20)")
-column("X27_fragment", "fragment", lambda: tx.is_fragment(T), "regexp_matches(trim(text), '^[a-z]') OR NOT regexp_matches(trim(text), '[.!?]$')")
-column("X38_cost_estimate", "cost", lambda: F.round(tx.token_estimate(T) / 1000 * 0.0003, 6), f"round(greatest(length(text) // 4, len({WORDS})) / 1000.0 * 0.0003, 6)")
-column("C01_completeness", "score", lambda: sc.completeness(F.size(tx.word_list(T))), f"CASE WHEN len({WORDS}) > 1000 THEN 100.0::DOUBLE ELSE 75.0::DOUBLE END")
+column("X02_redact_pii", "redacted", lambda: F.md5(tx.redact_pii(T())), f"md5(regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '[redacted_email]', 'g'), '{PHONE}', '[redacted_phone]', 'g'), '{SSN}', '[SSN]', 'g'))")
+column("X03_normalizers", "normalised", lambda: F.md5(tx.normalised(T(), [(r"[ \t]+", " "), (r"!{2,}", "!"), (r"\n+", " / ")])), r"md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '!{2,}', '!', 'g'), '\n+', ' / ', 'g'))")
+column("X06_slug", "slug", lambda: tx.slug(F.substring(T(), 1, 60)), "substr(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40)")
+column("X09_space_ratio", "ratio", lambda: F.round(tx.space_ratio(T(), 1000), 6), "round(CASE WHEN length(text) > 0 THEN (length(substr(text, 1, 1000)) - length(replace(substr(text, 1, 1000), ' ', ''))) / length(substr(text, 1, 1000)) ELSE 0 END, 6)")
+column("X10_token_estimate", "tokens", lambda: tx.token_estimate(T()), f"greatest(length(text) // 4, len({WORDS}))")
+column("X26_mid_sentence", "cut", lambda: tx.ends_mid_sentence(T()), r"NOT regexp_matches(rtrim(text), '[.!?][\x22\x27)\]]*$') AND (NOT regexp_matches(rtrim(text), '\w$') OR length(rtrim(text)) < 20)")
+column("X27_fragment", "fragment", lambda: tx.is_fragment(T()), "regexp_matches(trim(text), '^[a-z]') OR NOT regexp_matches(trim(text), '[.!?]$')")
+column("X38_cost_estimate", "cost", lambda: F.round(tx.token_estimate(T()) / 1000 * 0.0003, 8), f"round(greatest(length(text) // 4, len({WORDS})) / 1000.0 * 0.0003, 8)")
+column("C01_completeness", "score", lambda: sc.completeness(F.size(tx.word_list(T()))), f"CASE WHEN len({WORDS}) > 1000 THEN 100.0::DOUBLE ELSE 75.0::DOUBLE END")
 column("C02_accuracy", "score", lambda: F.lit(85.0), "85.0::DOUBLE")
-column("C03_secure", "score", lambda: sc.secure(T), f"CASE WHEN regexp_matches(text, '{SSN}') OR regexp_matches(text, '{PHONE}') OR regexp_matches(text, '{EMAIL}') THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END")
-column("C03_secure_parity", "score", lambda: sc.secure(T, True), f"CASE WHEN regexp_matches(text, '{SSN}') OR regexp_matches(text, '{PHONE}') OR regexp_matches(text, '{EMAIL[4:]}') THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END")
-column("C04_quality", "score", lambda: sc.readability(T), f"""CAST(CASE WHEN length(trim(text)) < 50 THEN 40 WHEN len({WORDS}) < 20 THEN 55 WHEN len({SENTENCES}) = 0 THEN 60
+column("C03_secure", "score", lambda: sc.secure(T()), f"CASE WHEN regexp_matches(text, '{SSN}') OR regexp_matches(text, '{PHONE}') OR regexp_matches(text, '{EMAIL}') THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END")
+column("C03_secure_parity", "score", lambda: sc.secure(T(), True), f"CASE WHEN regexp_matches(text, '{SSN}') OR regexp_matches(text, '{PHONE}') OR regexp_matches(text, '{EMAIL[4:]}') THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END")
+column("C04_quality", "score", lambda: sc.readability(T()), f"""CAST(CASE WHEN length(trim(text)) < 50 THEN 40 WHEN len({WORDS}) < 20 THEN 55 WHEN len({SENTENCES}) = 0 THEN 60
   WHEN len({WORDS}) / len({SENTENCES}) < 5 THEN 60 WHEN len({WORDS}) / len({SENTENCES}) < 10 THEN 70 WHEN len({WORDS}) / len({SENTENCES}) <= 25 THEN 85 WHEN len({WORDS}) / len({SENTENCES}) <= 35 THEN 80
   WHEN len({WORDS}) / len({SENTENCES}) <= 45 THEN 70 WHEN len({WORDS}) / len({SENTENCES}) <= 60 THEN 60 ELSE 50 END AS DOUBLE)""")
 column("C05_timeliness", "score", lambda: F.round(sc.timeliness(F.date_format(F.date_add(F.lit("2022-01-01").cast("date"), (F.col("doc_id") % 500).cast("int")), "yyyy-MM-dd")), 6),
        "round(greatest(0.0, least(100.0, (1 - date_diff('day', DATE '2022-01-01' + CAST(doc_id % 500 AS INTEGER), DATE '2023-01-01') / 365.0) * 100)), 6)")
 column("C06_gpt_confidence", "score", lambda: F.lit(85.0), "85.0::DOUBLE")
-column("C10_diversity", "score", lambda: F.round(sc.diversity(T), 6), r"""round(CASE WHEN length(trim(text)) < 20 OR len(regexp_extract_all(lower(text), '\b[a-z0-9]+\b')) = 0 THEN 0.0 ELSE (SELECT CASE WHEN t < 0.3 THEN t / 0.3 * 50 WHEN t <= 0.7 THEN 50 + (t - 0.3) / 0.4 * 50 ELSE 100.0 END
-  FROM (SELECT len(list_distinct(regexp_extract_all(lower(text), '\b[a-z0-9]+\b'))) / len(regexp_extract_all(lower(text), '\b[a-z0-9]+\b')) AS t)) END, 6)""")
-column("C12_kb_ready", "score", lambda: sc.knowledge_base_ready(T), f"CASE WHEN len({WORDS}) > 50 AND contains(text, chr(10)) THEN 100.0::DOUBLE ELSE 50.0::DOUBLE END")
-column("C13_token_count", "score", lambda: sc.token_count(F.size(tx.word_list(T))), f"round(least(len({WORDS}) / 1000.0, 1.0) * 100, 2)")
-column("C14_alpha_penalty", "quality", lambda: F.round(F.when(sc.alpha_ratio(T) < 0.5, sc.readability(T) * 0.4).otherwise(sc.readability(T)), 4), f"""round((CASE WHEN {LETTERS} / greatest(length(text), 1) < 0.5 THEN 0.4 ELSE 1 END) * (CASE WHEN length(trim(text)) < 50 THEN 40 WHEN len({WORDS}) < 20 THEN 55 WHEN len({SENTENCES}) = 0 THEN 60
+column("C10_diversity", "score", lambda: F.round(sc.diversity(T()), 6), r"""round(CASE WHEN length(trim(text)) < 20 OR len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]+'))) = 0 THEN 0.0 ELSE (SELECT CASE WHEN t < 0.3 THEN t / 0.3 * 50 WHEN t <= 0.7 THEN 50 + (t - 0.3) / 0.4 * 50 ELSE 100.0 END
+  FROM (SELECT len(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]+')))) / len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]+'))) AS t)) END, 6)""")
+column("C12_kb_ready", "score", lambda: sc.knowledge_base_ready(T()), f"CASE WHEN len({WORDS}) > 50 AND contains(text, chr(10)) THEN 100.0::DOUBLE ELSE 50.0::DOUBLE END")
+column("C13_token_count", "score", lambda: sc.token_count(F.size(tx.word_list(T()))), f"round(least(len({WORDS}) / 1000.0, 1.0) * 100, 2)")
+column("C14_alpha_penalty", "quality", lambda: F.round(F.when(sc.alpha_ratio(T()) < 0.5, sc.readability(T()) * 0.4).otherwise(sc.readability(T())), 4), f"""round((CASE WHEN {LETTERS} / greatest(length(text), 1) < 0.5 THEN 0.4 ELSE 1 END) * (CASE WHEN length(trim(text)) < 50 THEN 40 WHEN len({WORDS}) < 20 THEN 55 WHEN len({SENTENCES}) = 0 THEN 60
   WHEN len({WORDS}) / len({SENTENCES}) < 5 THEN 60 WHEN len({WORDS}) / len({SENTENCES}) < 10 THEN 70 WHEN len({WORDS}) / len({SENTENCES}) <= 25 THEN 85 WHEN len({WORDS}) / len({SENTENCES}) <= 35 THEN 80
   WHEN len({WORDS}) / len({SENTENCES}) <= 45 THEN 70 WHEN len({WORDS}) / len({SENTENCES}) <= 60 THEN 60 ELSE 50 END), 4)""")
 column("C18_freshness", "score", lambda: sc.freshness((F.col("doc_id") % 400).cast("double"), F.when(F.col("doc_id") % 3 == 0, "legal").when(F.col("doc_id") % 3 == 1, "Regulatory")),
        "round(100 * pow(0.5, (doc_id % 400) / (CASE doc_id % 3 WHEN 0 THEN 180.0 WHEN 1 THEN 60.0 ELSE 365.0 END)), 2)")
-column("X34_low_quality", "low", lambda: tx.low_quality(T), f"""length(trim(text)) < 50 OR {LETTERS} / greatest(length(text), 1) < 0.5 OR (len({WORDS}) > 10 AND coalesce(list_max(map_values(list_histogram({WORDS.replace('text', 'lower(text)')}))), 0) > 0.3 * len({WORDS}))""".replace("list_histogram(", "list_aggregate(").replace("(text)", "(text)"))
+column("X34_low_quality", "low", lambda: tx.low_quality(T()), f"""length(trim(text)) < 50 OR {LETTERS} / greatest(length(text), 1) < 0.5 OR (len({WORDS}) > 10 AND coalesce(list_max(map_values(list_histogram({WORDS.replace('text', 'lower(text)')}))), 0) > 0.3 * len({WORDS}))""".replace("list_histogram(", "list_aggregate(").replace("(text)", "(text)"))
 
 
 @R.add("X11_char_chunks", """
 SELECT doc_id, CAST(s / 720 AS INTEGER) AS position, md5(substr(text, s + 1, 800)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 720)) AS s FROM documents WHERE length(text) > 0)""")
 def char_chunks(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(tx.char_chunks(T, 200, 20)).alias("position", "chunk")).withColumn("chunk", F.md5("chunk"))
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(tx.char_chunks(T(), 200, 20)).alias("position", "chunk")).withColumn("chunk", F.md5("chunk"))
 
 
 @R.add("X12_sentence_chunks")
@@ -70,7 +73,7 @@ def sentence_chunks(spark, sf_dir):
 @R.add("X14_paragraph_chunks", r"""
 SELECT doc_id, CAST(n - 1 AS INTEGER) AS position, md5(p) AS chunk FROM (
   SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (
-    SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), x -> regexp_replace(x, '^\s+|\s+$', '', 'g')), x -> x <> '') AS parts FROM documents)))""")
+    SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents)))""")
 def paragraph_chunks(spark, sf_dir):
     return ch.paragraphs(docs(spark, sf_dir)).withColumn("chunk", F.md5("chunk"))
 
@@ -78,10 +81,9 @@ def paragraph_chunks(spark, sf_dir):
 @R.add("X04_pages", """
 SELECT doc_id, 1 AS page, md5(trim(substr(text, 1, 50))) AS body FROM documents UNION ALL SELECT doc_id, 2, md5(trim(substr(text, 51, 50))) FROM documents""")
 def page_split(spark, sf_dir):
-    marked = F.concat(F.lit("=== PAGE 1 ===\n"), F.substring(T, 1, 50), F.lit("=== PAGE 2 ==="), F.substring(T, 51, 50))
+    marked = F.concat(F.lit("=== PAGE 1 ==="), F.substring(T(), 1, 50), F.lit("=== PAGE 2 ==="), F.substring(T(), 51, 50))
     clean = F.transform(tx.pages(marked), lambda p: F.struct(p["page"].alias("page"), F.trim(p["body"]).alias("body")))
-    out = docs(spark, sf_dir).select("doc_id", F.inline(clean))
-    return out.withColumn("body", F.md5(F.regexp_replace(F.col("body"), r"^\n", "")))
+    return docs(spark, sf_dir).select("doc_id", F.inline(clean)).withColumn("body", F.md5("body"))
 
 
 @R.add("G07_chunk_set_quality", """
@@ -96,7 +98,7 @@ CHUNK = f"(SELECT doc_id, source, len({WORDS}) AS words, CASE WHEN len({WORDS})
 
 
 def scored(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", "source", F.size(tx.word_list(T)).alias("words"), sc.completeness(F.size(tx.word_list(T))).alias("completeness"), sc.knowledge_base_ready(T).alias("kb_ready"), sc.secure(T).alias("secure"))
+    return docs(spark, sf_dir).select("doc_id", "source", F.size(tx.word_list(T())).alias("words"), sc.completeness(F.size(tx.word_list(T()))).alias("completeness"), sc.knowledge_base_ready(T()).alias("kb_ready"), sc.secure(T()).alias("secure"))
 
 
 @R.add("G01_aggregate_metrics", f"SELECT round(avg(completeness), 4) AS completeness, round(avg(kb_ready), 4) AS kb_ready, round(avg(secure), 4) AS secure FROM {CHUNK}")
@@ -129,18 +131,18 @@ def threshold_policy(spark, sf_dir):
 
 @R.add("X20_playbook_routing", """SELECT doc_id, CASE WHEN contains(t, 'scan') OR contains(t, 'ocr') THEN 'OCR' WHEN contains(t, 'bank') OR contains(t, 'ated') THEN 'FINANCIAL' WHEN contains(t, 'the') THEN 'REGULATORY' ELSE 'TECH' END AS playbook FROM (SELECT doc_id, lower(substr(text, 1, 1000)) AS t FROM documents)""")
 def playbook_routing(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", ch.routed(F.substring(T, 1, 1000), [("OCR", ["scan", "ocr"]), ("FINANCIAL", ["bank", "ated"]), ("REGULATORY", ["the"])], "TECH").alias("playbook"))
+    return docs(spark, sf_dir).select("doc_id", ch.routed(F.substring(T(), 1, 1000), [("OCR", ["scan", "ocr"]), ("FINANCIAL", ["bank", "ated"]), ("REGULATORY", ["the"])], "TECH").alias("playbook"))
 
 
 @R.add("X23_audience", r"""SELECT doc_id, CASE WHEN greatest(a, b) = 0 THEN 'general' WHEN a >= b THEN 'english' ELSE 'french' END AS audience FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '\bthe\b')) AS a, len(regexp_extract_all(lower(text), '\bde\b')) AS b FROM documents)""")
 def audience(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", ch.audience(T, [("english", r"\bthe\b"), ("french", r"\bde\b")]).alias("audience"))
+    return docs(spark, sf_dir).select("doc_id", ch.audience(T(), [("english", r"\bthe\b"), ("french", r"\bde\b")]).alias("audience"))
 
 
 @R.add("C24_raw_baseline", f"SELECT source, round(100 * (1 - (count(*) - count(DISTINCT text)) / count(*)), 4) AS uniqueness, round(avg(CASE WHEN contains(text, chr(10)) THEN 100.0 ELSE 0.0 END), 4) AS structure FROM documents GROUP BY source")
 def raw_baseline(spark, sf_dir):
     n = F.count(F.lit(1))
-    return docs(spark, sf_dir).groupBy("source").agg(F.round(100 * (1 - (n - F.count_distinct("text")) / n), 4).alias("uniqueness"), F.round(F.avg(F.when(T.contains("\n"), 100.0).otherwise(0.0)), 4).alias("structure"))
+    return docs(spark, sf_dir).groupBy("source").agg(F.round(100 * (1 - (n - F.count_distinct("text")) / n), 4).alias("uniqueness"), F.round(F.avg(F.when(T().contains("\n"), 100.0).otherwise(0.0)), 4).alias("structure"))
 
 
 QUERIES, ORACLE = R.queries, R.oracle
