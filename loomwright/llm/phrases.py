@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -282,28 +283,40 @@ class Passages:
         out.make_automaton()
         return out
 
+    def reach(self, passage: np.ndarray, offset: int, plain: list[int], last: int) -> int:
+        """How many words the hit's alignment has in common around it, as far as one window asks."""
+        left, right = offset - 1, offset + self.step
+        at, n = last - self.step, self.step
+        while left >= 0 and at >= 0 and n < self.size and passage.item(left) == plain[at]:
+            left, at, n = left - 1, at - 1, n + 1
+        at = last + 1
+        while right < len(passage) and at < len(plain) and n < self.size and passage.item(right) == plain[at]:
+            right, at, n = right + 1, at + 1, n + 1
+        return n
+
     def removed(self, automaton: ahocorasick.Automaton, words: list[bytes], numbers: np.ndarray, doc_id: int) -> np.ndarray | None:
         """True for every word of the document to remove; None for none."""
-        out, tried, n = None, set(), len(numbers)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+        out, tried, n, plain = None, set(), len(numbers), numbers.tolist()
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1).tolist()
         for end, places in automaton.iter(spelled(words)):
-            last = int(np.searchsorted(ends, end))
+            last = bisect_left(ends, end)
             for number, offset in places:
                 origin = last - self.step + 1 - offset  # where the passage would begin in this document
-                if (number, origin) in tried:
-                    continue
-                tried.add((number, origin))
                 passage, first_doc, first_start = self.found[number]
-                if first_doc == doc_id and first_start == origin:
+                if (number, origin) in tried or first_doc == doc_id and first_start == origin:
+                    continue
+                if self.reach(passage, offset, plain, last) < self.size:
                     continue
+                tried.add((number, origin))
                 begin, stop = max(0, origin), min(n, origin + len(passage))
+                if out is not None and out.find(0, begin, stop) < 0:
+                    continue
                 differs = np.flatnonzero(numbers[begin:stop] != passage[begin - origin : stop - origin])
                 edges = np.concatenate([[-1], differs, [stop - begin]])
-                for left, right in zip(edges[:-1] + 1, edges[1:], strict=True):
-                    if right - left >= self.size:
-                        out = np.zeros(n, bool) if out is None else out
-                        out[begin + left : begin + right] = True
-        return out
+                for k in np.flatnonzero(np.diff(edges) > self.size).tolist():
+                    out = bytearray(n) if out is None else out
+                    out[begin + edges[k] + 1 : begin + edges[k + 1]] = b"\1" * int(edges[k + 1] - edges[k] - 1)
+        return None if out is None else np.frombuffer(out, bool)
 
 
 def cut(text: str, gone: np.ndarray) -> str:
