@@ -100,7 +100,8 @@ def trust(scores: dict[str, Column], weights: dict[str, float]) -> Column:
 def coherence(sentences: Column, text: Column, single: float = 100.0) -> Column:
     """Mean Jaccard similarity of neighbouring sentences' words, x 100; `single` for texts of one sentence."""
     sets = F.transform(sentences, lambda s: F.array_distinct(tx.word_list(F.lower(s))))
-    pairs = F.transform(F.slice(sets, 2, F.greatest(F.size(sets) - 1, F.lit(1))), lambda s, i: tx.jaccard(s, sets[i]))
+    n = F.greatest(F.size(sentences) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(sets, F.lit(1), n), F.slice(sets, F.lit(2), n), tx.jaccard)
     mean = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.size(pairs) * 100
     return F.when(F.length(F.trim(text)) < 50, 0.0).when(F.size(sentences) < 2, single).otherwise(mean)
 
