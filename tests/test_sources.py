@@ -20,7 +20,7 @@ def test_folder_and_json(spark, tmp_path):
     (tmp_path / "d" / "skip.tmp").write_text("x")
     assert sorted(r.a for r in files.json_lines(spark, str(tmp_path / "d" / "x.jsonl"), "a int").collect() if r.a) == [1, 2]
     found = files.folder(spark, str(tmp_path / "d"), exclude=[r"\.tmp$"]).collect()
-    assert len(found) == 1 and found[0].length == 28 and len(found[0].checksum) == 64
+    assert len(found) == 1 and found[0].length == 27 and len(found[0].checksum) == 64
 
 
 def test_dictionary(spark):
