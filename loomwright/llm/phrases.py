@@ -28,7 +28,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +53,43 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+BASE = 0x8B72E73D5A4E9C4B  # odd, so that its powers have inverses modulo 2 ** 64
+POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Bytes hashed at once; a longer text is taken in pieces between words.
+PIECE = 1 << 22
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(POWERS["up"]) < n:
+        size = max(1 << 16, 2 * n)
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            POWERS[name] = np.cumprod(np.append(np.uint64(1), np.full(size - 1, base, np.uint64)))
+    return POWERS["up"], POWERS["down"]
+
+
+def hashed(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of a text: a polynomial of its bytes, from prefix sums over the whole text."""
+    raw = text.encode() if text else b""
+    if len(raw) > PIECE:
+        words = raw.split()
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        parts = np.split(np.arange(len(words)), np.searchsorted(ends, np.arange(PIECE, int(ends[-1]) if len(ends) else 0, PIECE)))
+        return np.concatenate([prefix_hashes(b" ".join(words[p[0] : p[-1] + 1])) for p in parts if len(p)] or [np.zeros(0, np.uint64)])
+    return prefix_hashes(raw)
+
+
+def prefix_hashes(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~SPACE[data]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -131,7 +165,7 @@ def anchor_rows(docs: DataFrame, size: int) -> DataFrame:
     def over(batch: pa.RecordBatch):
         found = []
         for text, key, shard in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            hashes = hashed(words_of(text))
+            hashes = hashed(text)
             short, at = anchors_of(hashes, size)
             if len(at):
                 anchors, times = np.unique(short[np.unique(at)], return_counts=True)
@@ -190,7 +224,7 @@ def window_rows(docs: DataFrame, told: DataFrame, size: int) -> DataFrame:
         for doc_id, text in zip(texts.column("__doc").to_pylist(), texts.column("text"), strict=True):
             if doc_id in copies or not len(anchors):
                 continue
-            hashes = hashed(words_of(unpacked(text.as_py())))
+            hashes = hashed(unpacked(text.as_py()))
             short, at = anchors_of(hashes, size)
             starts = np.flatnonzero(member(short, anchors)[0][at])
             if len(starts):
@@ -251,9 +285,9 @@ class Passages:
         self.pieces: dict[str, list[tuple[int, int]]] = {}
         self.step = size // 2  # every window holds one whole piece
 
-    def add(self, words: list[bytes], vocabulary: Vocabulary) -> np.ndarray | None:
+    def add(self, text: str | None, words: list[bytes], vocabulary: Vocabulary) -> np.ndarray | None:
         """Adds the passages of a document with windows that none holds yet; its words' numbers if it has a window at all."""
-        hit, at = member(runs_of(hashed(words), self.size, ODD1), self.windows)
+        hit, at = member(runs_of(hashed(text), self.size, ODD1), self.windows)
         if not hit.any():
             return None
         numbers = vocabulary.numbers(words)
@@ -371,7 +405,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
             words = words_of(text)
             whole = doc_id in copies and len(words) >= size
             if doc_id not in copies and len(passages.windows):
-                numbers = passages.add(words, vocabulary)
+                numbers = passages.add(text, words, vocabulary)
                 if numbers is not None:
                     hits.append((k, numbers))
             out["n_words"].append(len(words))

@@ -53,3 +53,16 @@ def test_odd_rows(spark):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in phrases.remove_repeats(frame).collect()}
     assert got == {(None, 30, 0), (7, 30, 30), (8, 1, 0)}
     assert phrases.remove_repeats(frame.where("false")).collect() == []
+
+
+def test_hashes_of_words():
+    text = "a ab \t ba\n\n aab é \x1c a ab " + "x" * 90
+    got, words = phrases.hashed(text), text.encode().split()
+    assert len(got) == len(words) and len(set(got.tolist())) == len(set(words))
+    assert phrases.hashed("ab").tolist() == got[[1]].tolist()
+    assert len(phrases.hashed(None)) == len(phrases.hashed(" \n")) == 0
+    whole, phrases.PIECE = phrases.hashed(text * 30).tolist(), 50
+    try:
+        assert phrases.hashed(text * 30).tolist() == whole
+    finally:
+        phrases.PIECE = 1 << 22
