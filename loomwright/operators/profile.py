@@ -196,7 +196,10 @@ def systematic_sample(df: DataFrame, order: list[str], limit: int) -> DataFrame:
     task sees more than its range, unlike a window over the whole table.
     """
     step = -(-df.count() // limit) or 1
-    placed = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    # The bounds of the ranges are sampled anew by each job, so both jobs below must read one set of ranges.
+    ranged = df.orderBy(*order)
+    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    placed = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     before, total = {}, 0
     for part, n in sorted(placed.groupBy("__part").count().collect()):  # one row for each range
         before[part], total = total, total + n
