@@ -100,6 +100,8 @@ def linked_vectors(rows: DataFrame, threshold: float = 0.93, tile: int = TILE) -
         a, b = np.concatenate([pairs[:, 0], ids[linked]]), np.concatenate([pairs[:, 1], ids[linked]])
         return pa.table({"a": a, "b": b, "links": np.concatenate([np.zeros(len(pairs), np.int64), degree[linked]])})
 
+    # A pair of tiles is much work for few bytes: a fixed number of partitions keeps Spark from merging pairs by their size.
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label", "width", "low", "high")
     found = stored(dealt.groupBy("label", "width", "low", "high").applyInArrow(over, "a long, b long, links long"))
     degrees = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     member = connected_components(found.where("a <> b").select("a", "b"))

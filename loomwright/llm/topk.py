@@ -92,6 +92,9 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, pivots
             out["score"].append(scores.astype(np.int64))
         return pa.table({n: np.concatenate(c) if c else np.zeros(0, np.int64) for n, c in out.items()})
 
-    found = queries.union(dealt).groupBy("width", "query_block", "row_block").applyInArrow(over, "query_id long, vec_id long, score long")
+    # A block is much work for few bytes: a fixed number of partitions keeps Spark from merging blocks by their size.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks_of_work = queries.union(dealt).repartition(parts, "width", "query_block", "row_block")
+    found = blocks_of_work.groupBy("width", "query_block", "row_block").applyInArrow(over, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
