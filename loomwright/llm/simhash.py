@@ -8,9 +8,11 @@ its own cell in each half, and the cells one step up from it; any two within ran
 verified on the fingerprints themselves.
 
 Three bits of 64 find nearly equal texts only: of pairs with a Jaccard similarity of 0.8 to 0.85 on five-word shingles
-they hold one in a hundred, and such pairs differ by up to 20 bits, where no lower bound on 64 bits thins out a corpus.
-similar_groups() therefore adds views: the least hashes of a text's shingles, of which two texts that similar share most.
-Texts that share two neighbouring views, and differ by at most WIDE bits, are compared by their whole shingle sets.
+they hold one in a hundred, and no bound on 64 bits is implied by a similarity of sets, since a fingerprint counts repeats.
+similar_groups() therefore filters by prefixes: under one order of all shingles, two sets of similarity t share one of the
+first n - ceil(t n) + 1 of n shingles of each. What shares one, and may reach t by its sizes and the place of the shingle,
+is compared by whole shingle sets. Shingles that a sample shows in many texts come last in the order, so that lines that
+many texts carry bring few texts together; the order decides the work only, never the result.
 
 A cell passes on a spanning forest of its links, not all of them: that keeps
 every component and grows with the rows of the cell, however many copies meet there.
@@ -30,8 +32,12 @@ from loomwright.llm.common import by_key, connected_components, join_trees, kept
 
 SEED = 42
 RADIUS = 3
-#: Bits that candidates of similar_groups() may differ by, and the views of a text.
-WIDE, VIEWS = 20, 16
+#: Bits up to which the forest of a large group takes the nearest pairs first.
+WIDE = 20
+#: One document of SAMPLED is looked at for shingles that COMMON sampled documents share; MOST of them at most are put last.
+SAMPLED, COMMON, MOST = 16, 4, 100_000
+#: A group of candidates with more rows than this is compared along a forest of its nearest pairs first.
+CROWD = 32
 #: A list of ids up to this long is broadcast; a longer one is joined.
 SHORT = 1_000_000
 #: A cell with more rows than this is split by 16-bit bands before its links are sought.
@@ -171,34 +177,60 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = RADIUS) ->
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def pair_key(views: np.ndarray) -> np.ndarray:
-    """A key of every two neighbouring views; of the only one, if there is one."""
-    if len(views) < 2:
-        return views
-    mixed = (views[:-1] ^ (views[1:] >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15) + views[1:]
-    return mixed ^ (mixed >> np.uint64(32))
+def common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of a sample of documents share, sorted, and in how many: an order of work, not of results."""
+
+    def over(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield {"shingle": np.concatenate([np.unique(shingle_hashes(x, size)) for x in batch.column(0).to_pylist()]).view(np.int64)}
+
+    sample = mapped(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text"), over, "shingle long")
+    counts = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    most = counts.orderBy(F.desc("n"), "shingle").limit(MOST).collect()
+    found = np.array([r.shingle for r in most], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r.n for r in most], np.int64)[order]
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, of which a set at least that similar has one among its own first."""
+    n = len(shingles)
+    length = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        shingles = shingles[np.argsort(np.where(common[at] == shingles, counts[at], 0), kind="stable")]
+    return shingles[:length]
 
 
-def close_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes with one key within WIDE bits: all of a small group; of a large one a forest, nearest pairs first."""
+def may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
+    """False where sets of n and m shingles, whose first common one is at place `at` and `to`, are less similar."""
+    return np.minimum(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
+def close_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes with one key that may link: all of a small group; of a large one a forest, nearest pairs first."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
-    small = np.repeat(sizes <= 32, sizes)
-    k, n, f = keys[small], nodes[small], fps[small]
-    for gap in range(1, int(sizes[sizes <= 32].max(initial=1))):
-        near = (k[gap:] == k[:-gap]) & (np.bitwise_count(f[gap:] ^ f[:-gap]) <= WIDE)
+    small = np.repeat(sizes <= CROWD, sizes)
+    k, v, c, p = keys[small], nodes[small], n[small], at[small]
+    for gap in range(1, int(sizes[sizes <= CROWD].max(initial=1))):
+        near = (k[gap:] == k[:-gap]) & may_link(c[gap:], p[gap:], c[:-gap], p[:-gap], similarity)
         if near.any():
-            yield n[gap:][near], n[:-gap][near]
-    for s in np.flatnonzero(sizes > 32):
+            yield v[gap:][near], v[:-gap][near]
+    for s in np.flatnonzero(sizes > CROWD):
         group = slice(starts[s], starts[s] + sizes[s])
-        n, f = nodes[group], fps[group]
-        labels = np.arange(len(n))
-        for radius in range(4, WIDE + 1, 4):
-            for at in range(0, len(n), 256):
-                i, j = np.nonzero(np.bitwise_count(f[at : at + 256, None] ^ f[None, at:]) <= radius)
-                chosen = join_trees(labels, i + at, j + at)
+        v, f, c, p = nodes[group], fps[group], n[group], at[group]
+        labels = np.arange(len(v))
+        for radius in (*range(4, WIDE + 1, 4), 64):
+            for x in range(0, len(v), 256):
+                y = slice(x, x + 256)
+                near = labels[y, None] != labels[None, x:]
+                if near.any():
+                    near &= np.bitwise_count(f[y, None] ^ f[None, x:]) <= radius
+                    near &= may_link(c[y, None], p[y, None], c[None, x:], p[None, x:], similarity)
+                i, j = np.nonzero(near)
+                chosen = join_trees(labels, i + x, j + x)
                 if len(chosen):
-                    yield n[at + i[chosen]], n[at + j[chosen]]
+                    yield v[x + i[chosen]], v[x + j[chosen]]
 
 
 def joined_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -211,39 +243,37 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     """(doc_id, component_id) of the documents that have others as similar: component_id is the smallest doc_id linked.
 
     Two documents link if their sets of shingles have a Jaccard similarity of at least `similarity`, computed exactly on
-    candidates from the grid join and from shared views; texts with equal sets are one node, and texts without words are
-    alike. Groups of over 32 candidates under one key are compared along a forest of their nearest pairs. Rows without a
-    doc_id take no part; rows that share one are one document.
+    pairs that share a shingle of their prefixes; texts with equal sets are one node, and texts without words are alike.
+    Groups of over 32 candidates under one key are compared along a forest of their nearest pairs. Rows without a doc_id
+    take no part; rows that share one are one document.
     """
     if not 0.8 <= similarity <= 1:
-        raise ValueError("views are sized for similarities of 0.8 and more")
+        raise ValueError("prefixes are short for similarities of 0.8 and more")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    common, counts = common_shingles(rows, size)
 
     def over(batch: pa.RecordBatch) -> Iterator[dict]:
-        out = {"doc_id": batch.column(0), "fp": [], "same": [], "views": []}
+        out = {"doc_id": batch.column(0), "fp": [], "same": [], "n": [], "prefix": []}
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(text, size)
             least = np.unique(hashes)
             out["fp"].append(fingerprint(hashes))
             out["same"].append(xxhash.xxh3_128_digest(least.tobytes()))
-            out["views"].append(pair_key(least[:VIEWS]).view(np.int64))
+            out["n"].append(len(least))
+            out["prefix"].append(prefix(least, similarity, common, counts).view(np.int64))
         out["fp"] = np.array(out["fp"], np.uint64).view(np.int64)
         yield out
 
-    prints = stored(mapped(rows, over, "doc_id long, fp long, same binary, views array<long>"))
-    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("views").alias("views"))
-    nodes = kept_rows(nodes.select("node", "fp", "views"))
+    prints = stored(mapped(rows, over, "doc_id long, fp long, same binary, n long, prefix array<long>"))
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min(x).alias(x) for x in ("fp", "n", "prefix")))
+    entries = stored(nodes.select("node", "fp", "n", F.posexplode("prefix").alias("at", "shingle")))
+    columns = ["shingle", "node", "fp", "n", "at"]
 
-    def meet(keys: np.ndarray, node: np.ndarray, fps: np.ndarray) -> Iterator[dict]:
-        for a, b in close_pairs(keys, node, fps.view(np.uint64)):
+    def meet(keys: np.ndarray, node: np.ndarray, fps: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[dict]:
+        for a, b in close_pairs(keys, node, fps.view(np.uint64), n, at, similarity):
             yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
-    viewed = by_key(nodes.select(F.explode("views").alias("view"), "node", "fp"), "view", ["view", "node", "fp"], meet, "a long, b long")
-    links = grid_links(nodes.select("fp").distinct())
-    named = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    equal = nodes.join(named.withColumnRenamed("node", "first"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    grid = links.join(named.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-    pairs = viewed.union(equal).union(grid.select(F.least("x", "y"), F.greatest("x", "y"))).where("a <> b").distinct()
+    pairs = by_key(entries, "shingle", columns, meet, "a long, b long").where("a <> b").distinct()
     pairs = stored(pairs)
     needed = kept_rows(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
 
@@ -252,8 +282,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
 
     found = mapped(joined_by_id(rows, needed, "left_semi").dropDuplicates(["doc_id"]), sets, "doc_id long, shingles array<long>")
     left, right = (found.select(F.col("doc_id").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
-    common = F.size(F.array_intersect("sa", "sb"))
-    verified = pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    verified = pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
     member = connected_components(verified)
     equal_sets = prints.join(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "same")
     grouped = equal_sets.join(member, "node", "left").where("copies > 1 or component is not null")

@@ -56,3 +56,34 @@ def test_empty_and_extra_columns(spark):
     rows = simhash.simhash_components(frame).collect()
     assert [r.component_id for r in rows] == [1, 1, 1]
     assert simhash.simhash_components(frame.where("false")).collect() == []
+
+
+def test_similar_texts_that_repeat_a_line_differently(spark):
+    rng = random.Random(5)
+    docs = []
+    while len(docs) < 20:
+        words, line = ([f"w{rng.randint(0, 10**6)}" for _ in range(n)] for n in (150, 8))
+        pair = [" ".join(line * 2 + words), " ".join(line * 40 + words[:-1] + ["edit"])]
+        a, b = (simhash.shingle_hashes(t, 5) for t in pair)
+        assert 0.8 * len(np.union1d(a, b)) <= len(np.intersect1d(a, b)) < len(np.union1d(a, b))
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 20:
+            docs += enumerate(pair, len(docs))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in docs}
+
+
+def test_order_of_shingles_changes_no_result(spark, monkeypatch):
+    rng = random.Random(6)
+    line = [f"l{i}" for i in range(30)]
+    base = [[f"w{rng.randint(0, 10**6)}" for _ in range(60)] for _ in range(40)]
+    docs = []
+    for i in range(200):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = f"e{i}"
+        docs.append((i, " ".join(line + words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = sorted(simhash.similar_groups(frame).collect())
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    assert len(simhash.common_shingles(frame, 5)[0]) >= 26
+    assert sorted(simhash.similar_groups(frame).collect()) == plain
