@@ -233,6 +233,31 @@ def close_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, n: np.ndar
                     yield v[x + i[chosen]], v[x + j[chosen]]
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """1024 bits, each the parity of the shingles that fall on it: two sets differ in as many shingles as bits, at least."""
+    return np.packbits(np.bincount((shingles & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).tobytes()
+
+
+def cross_pairs(keys: np.ndarray, nodes: np.ndarray, component: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of nodes with one key that may link and are not in one component."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    for s, e in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+        v, g, c, p, w = nodes[s:e], component[s:e], n[s:e], at[s:e], bits[s:e]
+        for x in range(0, len(v), 256):
+            y = slice(x, x + 256)
+            apart = g[y, None] != g[None, x:]
+            if not apart.any():
+                continue
+            i, j = np.nonzero(apart & may_link(c[y, None], p[y, None], c[None, x:], p[None, x:], similarity))
+            i, j = i[j > i] + x, j[j > i] + x
+            for z in range(0, len(i), 65536):
+                a, b = i[z : z + 65536], j[z : z + 65536]
+                apart_by = np.bitwise_count(w[a] ^ w[b]).sum(1, dtype=np.int64)
+                near = apart_by <= (1 - similarity) / (1 + similarity) * (c[a] + c[b]) + 1e-6
+                if near.any():
+                    yield v[a[near]], v[b[near]]
+
+
 def joined_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """docs joined on doc_id; the ids are broadcast only where they are few."""
     few = ids.limit(SHORT + 1).count() <= SHORT
@@ -244,8 +269,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
 
     Two documents link if their sets of shingles have a Jaccard similarity of at least `similarity`, computed exactly on
     pairs that share a shingle of their prefixes; texts with equal sets are one node, and texts without words are alike.
-    Groups of over 32 candidates under one key are compared along a forest of their nearest pairs. Rows without a doc_id
-    take no part; rows that share one are one document.
+    Groups of over 32 candidates under one key are compared along a forest of their nearest pairs first, and then in all
+    pairs that the verified links have left in separate components. Rows without a doc_id take no part; rows that share
+    one are one document.
     """
     if not 0.8 <= similarity <= 1:
         raise ValueError("prefixes are short for similarities of 0.8 and more")
@@ -253,19 +279,21 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     common, counts = common_shingles(rows, size)
 
     def over(batch: pa.RecordBatch) -> Iterator[dict]:
-        out = {"doc_id": batch.column(0), "fp": [], "same": [], "n": [], "prefix": []}
+        out = {"doc_id": batch.column(0), "fp": [], "same": [], "n": [], "bits": [], "prefix": []}
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(text, size)
             least = np.unique(hashes)
             out["fp"].append(fingerprint(hashes))
             out["same"].append(xxhash.xxh3_128_digest(least.tobytes()))
             out["n"].append(len(least))
+            out["bits"].append(parity(least))
             out["prefix"].append(prefix(least, similarity, common, counts).view(np.int64))
         out["fp"] = np.array(out["fp"], np.uint64).view(np.int64)
         yield out
 
-    prints = stored(mapped(rows, over, "doc_id long, fp long, same binary, n long, prefix array<long>"))
-    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min(x).alias(x) for x in ("fp", "n", "prefix")))
+    prints = stored(mapped(rows, over, "doc_id long, fp long, same binary, n long, bits binary, prefix array<long>"))
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min(x).alias(x) for x in ("fp", "n", "bits", "prefix")))
+    nodes = stored(nodes)
     entries = stored(nodes.select("node", "fp", "n", F.posexplode("prefix").alias("at", "shingle")))
     columns = ["shingle", "node", "fp", "n", "at"]
 
@@ -275,16 +303,35 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
 
     pairs = by_key(entries, "shingle", columns, meet, "a long, b long").where("a <> b").distinct()
     pairs = stored(pairs)
-    needed = kept_rows(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
 
     def sets(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"doc_id": batch.column(0), "shingles": [np.unique(shingle_hashes(x, size)).view(np.int64) for x in batch.column(1).to_pylist()]}
 
-    found = mapped(joined_by_id(rows, needed, "left_semi").dropDuplicates(["doc_id"]), sets, "doc_id long, shingles array<long>")
-    left, right = (found.select(F.col("doc_id").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    verified = pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    member = connected_components(verified)
+    def verified(pairs: DataFrame) -> DataFrame:
+        needed = kept_rows(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        found = mapped(joined_by_id(rows, needed, "left_semi").dropDuplicates(["doc_id"]), sets, "doc_id long, shingles array<long>")
+        left, right = (found.select(F.col("doc_id").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
+        return kept_rows(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"))
+
+    links = verified(pairs)
+    member = kept_rows(connected_components(links))
+    crowds = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWD).select("shingle")
+    crowded = entries.join(crowds, "shingle", "left_semi").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crowded = stored(crowded)
+    apart = crowded.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    open_rows = crowded.join(apart, "shingle", "left_semi").join(nodes.select("node", "bits"), "node")
+
+    def rest(keys: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray) -> Iterator[dict]:
+        bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, 16)
+        for a, b in cross_pairs(keys, node, component, n, at, bits, similarity):
+            yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+    more = by_key(open_rows, "shingle", ["shingle", "node", "component", "n", "at", "bits"], rest, "a long, b long").where("a <> b")
+    more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        member = connected_components(links.union(verified(more)))
     equal_sets = prints.join(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "same")
     grouped = equal_sets.join(member, "node", "left").where("copies > 1 or component is not null")
     return grouped.select("doc_id", F.coalesce("component", "node").alias("component_id")).distinct()

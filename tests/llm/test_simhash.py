@@ -87,3 +87,36 @@ def test_order_of_shingles_changes_no_result(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SAMPLED", 1)
     assert len(simhash.common_shingles(frame, 5)[0]) >= 26
     assert sorted(simhash.similar_groups(frame).collect()) == plain
+
+
+def test_crowd_with_links_beyond_the_forest(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(110)]
+    docs = []
+    for i in range(100):  # about 0.8 similar, with repeats that move the fingerprints apart or together
+        words = list(base)
+        for at in rng.sample(range(5, 105, 10), 3):
+            words[at] = f"e{rng.randint(0, 2)}"
+        docs.append((i, " ".join(words + [f"r{rng.randint(0, 3)}"] * rng.choice([1, 60, 120]))))
+    sets = {d: {*simhash.shingle_hashes(t, 5).tolist()} for d, t in docs}
+    member = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            member[b] = min(member[a], member[b])
+    assert len({*member.values()}) > 1
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, c in member.items() if [*member.values()].count(c) > 1}
+
+
+def test_parity_and_pairs_between_components():
+    rng = np.random.default_rng(2)
+    a, b = (np.unique(rng.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(2))
+    b = np.unique(np.concatenate([a[:190], b[:10]]))
+    bits = np.frombuffer(simhash.parity(a) + simhash.parity(b), np.uint64).reshape(2, 16)
+    assert 0 < np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(a, b))
+    n = 40
+    keys, at, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 200)
+    found = simhash.cross_pairs(keys, np.arange(n), np.arange(n) % 2, sizes, at, np.repeat(bits[:1], n, 0), 0.8)
+    pairs = {tuple(sorted(p)) for x, y in found for p in zip(x.tolist(), y.tolist())}
+    assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n) if i % 2 != j % 2}
