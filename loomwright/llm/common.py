@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 #: The bytes that separate words are exactly those at which bytes.split() splits: 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A key with more rows than this is compared in pairs of tiles of about as many.
+TILE = 8192
+#: A list of ids up to this long is broadcast; a longer one is joined.
+SHORT = 1_000_000
+
 
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text, unchanged, as UTF-8; none for null."""
@@ -91,6 +96,25 @@ def by_key(df: DataFrame, key: str, columns: list[str], over: Callable[..., Iter
     return dealt.mapInArrow(run, schema)
 
 
+def tiled(df: DataFrame, key: str, row: str, rows: int = TILE) -> DataFrame:
+    """df with a column place for by_key(): the key itself, or a pair of tiles where the key has more than `rows` rows.
+
+    Such a key's rows are dealt to tiles by a hash of the column `row`, and each is copied into every pair of tiles that
+    holds its own: any two rows of the key meet in one place, and a place has the rows of two tiles at most. df is read
+    twice. Places are hashes, so rows of other keys may come to one, and what meets is to be verified.
+    """
+    large = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+    large = kept_rows(large.select(key, F.ceil(F.col("n") / rows).cast("int").alias("__tiles")))
+    some = large.limit(SHORT + 1).count()
+    if not some:
+        return df.withColumn("place", F.col(key))
+    dealt = df.join(F.broadcast(large) if some <= SHORT else large, key, "left")
+    other = F.explode(F.when(F.col("__tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__tiles") - 1)))
+    dealt = dealt.withColumn("__own", F.pmod(F.xxhash64(row), F.col("__tiles"))).withColumn("__other", other)
+    pair = F.xxhash64(key, F.least("__own", F.col("__other").cast("long")), F.greatest("__own", F.col("__other").cast("long")))
+    return dealt.withColumn("place", F.when(F.col("__tiles").isNull(), F.col(key)).otherwise(pair)).drop("__own", "__other", "__tiles")
+
+
 def held_out(doc_id: str, modulus: int) -> Column:
     """True where crc32 of the id as text leaves 2; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == 2

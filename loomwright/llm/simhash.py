@@ -15,7 +15,8 @@ is compared by whole shingle sets. Shingles that a sample shows in many texts co
 many texts carry bring few texts together; the order decides the work only, never the result.
 
 A cell passes on a spanning forest of its links, not all of them: that keeps
-every component and grows with the rows of the cell, however many copies meet there.
+every component and grows with the rows of the cell, however many copies meet there. A cell or a shingle with more rows
+than TILE is cut into tiles, and each pair of tiles is compared, and passes on its forest, by itself.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import by_key, connected_components, join_trees, kept_rows, mapped, stored, words_of
+from loomwright.llm.common import SHORT, by_key, connected_components, join_trees, kept_rows, mapped, stored, tiled, words_of
 
 SEED = 42
 RADIUS = 3
@@ -38,8 +39,6 @@ WIDE = 20
 SAMPLED, COMMON, MOST = 16, 4, 100_000
 #: A group of candidates with more rows than this is compared along a forest of its nearest pairs first.
 CROWD = 32
-#: A list of ids up to this long is broadcast; a longer one is joined.
-SHORT = 1_000_000
 #: A cell with more rows than this is split by 16-bit bands before its links are sought.
 LARGE = 1024
 
@@ -150,15 +149,15 @@ def grid_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         rows, cells, own = grid_rows(fps)
         yield {"cell": np.where(own, cells, ~cells), "fp": fps[rows].view(np.int64)}
 
-    def meet(marked: np.ndarray, fps: np.ndarray) -> Iterator[dict]:
-        cells = np.where(marked < 0, ~marked, marked)
-        for a, b in cell_links(cells, fps.view(np.uint64), marked >= 0, radius):
+    def meet(places: np.ndarray, marked: np.ndarray, fps: np.ndarray) -> Iterator[dict]:
+        for a, b in cell_links(places, fps.view(np.uint64), marked >= 0, radius):
             yield {"a": a.view(np.int64), "b": b.view(np.int64)}
 
     # A cell is dealt by its number; ~cell marks a neighbour's entry and sorts with the cell.
     entries = mapped(distinct.select("fp"), spread, "cell long, fp long", 4096)
     place = F.when(F.col("cell") < 0, F.bitwise_not("cell")).otherwise(F.col("cell"))
-    return by_key(entries.withColumn("place", place), "place", ["cell", "fp"], meet, "a long, b long").distinct()
+    dealt = tiled(entries.withColumn("own_cell", place), "own_cell", "fp")
+    return by_key(dealt, "place", ["place", "cell", "fp"], meet, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -295,13 +294,13 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min(x).alias(x) for x in ("fp", "n", "bits", "prefix")))
     nodes = stored(nodes)
     entries = stored(nodes.select("node", "fp", "n", F.posexplode("prefix").alias("at", "shingle")))
-    columns = ["shingle", "node", "fp", "n", "at"]
+    columns = ["place", "node", "fp", "n", "at"]
 
     def meet(keys: np.ndarray, node: np.ndarray, fps: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[dict]:
         for a, b in close_pairs(keys, node, fps.view(np.uint64), n, at, similarity):
             yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
-    pairs = by_key(entries, "shingle", columns, meet, "a long, b long").where("a <> b").distinct()
+    pairs = by_key(tiled(entries, "shingle", "node"), "place", columns, meet, "a long, b long").where("a <> b").distinct()
     pairs = stored(pairs)
 
     def sets(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -328,7 +327,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
         for a, b in cross_pairs(keys, node, component, n, at, bits, similarity):
             yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
-    more = by_key(open_rows, "shingle", ["shingle", "node", "component", "n", "at", "bits"], rest, "a long, b long").where("a <> b")
+    more = by_key(tiled(open_rows, "shingle", "node"), "place", ["place", "node", "component", "n", "at", "bits"], rest, "a long, b long").where("a <> b")
     more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         member = connected_components(links.union(verified(more)))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import xxhash
 
-from loomwright.llm import simhash
+from loomwright.llm import common, simhash
 
 
 def brute_print(text, size=3):
@@ -120,3 +120,27 @@ def test_parity_and_pairs_between_components():
     found = simhash.cross_pairs(keys, np.arange(n), np.arange(n) % 2, sizes, at, np.repeat(bits[:1], n, 0), 0.8)
     pairs = {tuple(sorted(p)) for x, y in found for p in zip(x.tolist(), y.tolist())}
     assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n) if i % 2 != j % 2}
+
+
+def test_tiles_bound_a_place_and_bring_all_rows_together(spark):
+    frame = spark.createDataFrame([(k, i) for k, n in ((1, 900), (2, 90), (3, 3)) for i in range(n)], "key long, row long")
+    places = {}
+    for r in common.tiled(frame, "key", "row", 100).collect():
+        places.setdefault(r.place, []).append((r.key, r.row))
+    assert max(map(len, places.values())) < 300 and len(places[2]) == 90 and len(places[3]) == 3
+    met = {(a, b) for p in places.values() if p[0][0] == 1 for _, a in p for _, b in p}
+    assert len(met) == 900 * 900
+
+
+def test_tiled_cells_keep_components(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    bits = lambda: np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)
+    fps = np.unique(np.uint64(12345678901) ^ bits() ^ bits())
+    monkeypatch.setattr(common.tiled, "__defaults__", (50,))
+    links = simhash.grid_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")).collect()
+    labels, place = np.arange(len(fps)), {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    common.join_trees(labels, np.array([place[r.a] for r in links]), np.array([place[r.b] for r in links]))
+    whole = np.arange(len(fps))
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3)
+    common.join_trees(whole, i, j)
+    assert (labels == whole).all()
