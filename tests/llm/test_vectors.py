@@ -76,5 +76,46 @@ def test_top_k(spark):
     for q in (i for i in whole if i % 50 == 0):
         found = sorted((-int(whole[q] @ w), i) for i, w in whole.items() if i != q and len(w) == len(whole[q]))
         want |= {(q, n, i, -s) for n, (s, i) in enumerate(found[:5], 1)}
-    for pivots in (24, 3):
-        assert set(map(tuple, topk.top_k(spark.createDataFrame(rows, SCHEMA), pivots=pivots).collect())) == want
+    for pivots, sample in ((24, 4096), (3, 40), (1, 1)):
+        got = topk.top_k(spark.createDataFrame(rows, SCHEMA), pivots=pivots, sample=sample).drop("evaluated").collect()
+        assert set(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_top_k_blocks_copies_and_clashing_names(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    copy = rng.standard_normal(12)
+    rows = [(i, (copy if i % 3 == 0 else rng.standard_normal(12)).tolist(), i % 7, "x", -1) for i in range(900)]
+    rows += [(0, rows[0][1], 9, "y", -1), (7, rows[7][1], 9, "y", -1)]  # a repeated query and a repeated candidate
+    monkeypatch.setattr(topk, "ROWS", 50)
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int, score string, floor int")
+    got = {}
+    for r in topk.top_k(frame).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, *_ in rows]
+    first = dict(reversed(whole))
+    assert set(got) == {i for i in first if i % 50 == 0}
+    for q, found in got.items():
+        best = sorted((-int(first[q] @ w), i) for i, w in whole if i != q)[:5]
+        assert sorted(found) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+
+
+def test_pivots_eliminate_rows(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((4000, 64))
+    rows = [(i, (x / np.linalg.norm(x)).tolist(), 0) for i, x in enumerate(v)]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA)).where("rank = 1").collect()
+    assert len(got) == 80 and sum(r.evaluated for r in got) < 0.25 * 80 * 4000
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(6)
+    for width, n in ((64, 40), (8, 8), (3, 200)):
+        x = np.floor(256 * rng.standard_normal((n, width)))
+        x[: n // 4] = x[0]
+        pivots = topk.Pivots.of(x, np.arange(n), 3 * width // 4 + 1).prepare()
+        feet, square = pivots.feet(pivots.distances(x)), (x * x).sum(1)
+        limit = topk.bounds(feet, feet, square, square)
+        assert (limit >= x @ x.T).all()
+        single = (square[:, None] + square - np.abs(pivots.distances(x)[:, None] - pivots.distances(x)[None]).max(2) ** 2) / 2
+        assert (limit <= single + 1e-4 * square.max()).all()
