@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from loomwright.operators.lineage import held
 from pyspark.sql import types as T
 
 # Fixed values of the profiler.
@@ -197,8 +199,7 @@ def systematic_sample(df: DataFrame, order: list[str], limit: int) -> DataFrame:
     """
     step = -(-df.count() // limit) or 1
     # The bounds of the ranges are sampled anew by each job, so both jobs below must read one set of ranges.
-    ranged = df.orderBy(*order)
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = held(df.orderBy(*order))
     placed = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     before, total = {}, 0
     for part, n in sorted(placed.groupBy("__part").count().collect()):  # one row for each range

@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions import scores as sc
+
+#: Queries and points in a block of the search.
+QUERIES, POINTS = 4096, 16_384
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
-    """(query_id, rank, point_id, score) by cosine, ties to smaller ids.
+    """(query_id, rank, point_id, score) by cosine, ties to smaller ids; a vector of length zero scores 0.
 
-    queries (query_id, q) are a request's few vectors; points (point_id, v) are the index. Each task keeps its best k of
-    each query before anything is shuffled, so the final window sees k rows for each query and partition.
+    queries (query_id, q) against all of points (point_id, v): blocks of queries meet blocks of points in matrix products
+    that keep the best k of each query, so the final window sees k rows for each query and block of points. Null vectors
+    and ids take no part; vectors of different lengths do not meet.
     """
-    pairs = points.join(F.broadcast(queries) if queries.limit(10_001).count() <= 10_000 else queries).select("query_id", "point_id", sc.cosine(F.col("q"), F.col("v")).alias("score"))
-    local = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "point_id")
-    best = pairs.where(F.col("score") >= threshold).withColumn("part", F.spark_partition_id()).withColumn("r", F.row_number().over(local)).where(F.col("r") <= k)
+    blocks = lambda df, rows: max(1, -(-df.count() // rows))
+    some = queries.where("query_id is not null and q is not null").select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("v"), F.lit(True).alias("asks"))
+    every = points.where("point_id is not null and v is not null").select(F.col("point_id").alias("id"), F.col("v").cast("array<double>").alias("v"), F.lit(False).alias("asks"))
+    m, n = blocks(some, QUERIES), blocks(every, POINTS)
+    spread = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    own = lambda name, count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(name)
+    dealt = some.select(own("a", m), spread("b", n), "id", "v", "asks").union(every.select(spread("a", m), own("b", n), "id", "v", "asks"))
+
+    def best(group: pa.Table) -> pa.Table:
+        ids, asks = np.asarray(group.column("id")), group.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
+        v = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        unit = v / np.where(length > 0, length, 1)
+        targets, rows = ids[~asks], unit[~asks]
+        out: list[tuple[np.ndarray, ...]] = []
+        for q, x in zip(ids[asks], unit[asks], strict=True) if len(rows) else ():
+            score = rows @ x
+            at = np.flatnonzero(score >= max(threshold, np.partition(score, -k)[-k] if len(score) > k else -np.inf))
+            at = at[np.lexsort((targets[at], -score[at]))[:k]]
+            out.append((np.full(len(at), q), targets[at], score[at]))
+        found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "point_id", "score"), found, strict=True)))
+
+    pairs = dealt.groupBy("a", "b", F.size("v").alias("width")).applyInArrow(best, "query_id long, point_id long, score double")
     whole = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
-    return best.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "score")
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -36,14 +62,14 @@ def allowed(chunks: DataFrame, acl: DataFrame) -> DataFrame:
     direction, a nested loop that sees only the distinct fields of the chunks and the grants.
     """
     grant = lambda kind, column: acl.where(F.col("access") == kind).select(F.col("value").alias(column)).distinct()
-    whole = chunks.join(acl.where("access = 'full'").select(F.lit(1).alias("open")).distinct()).drop("open")
-    by_index = chunks.join(grant("index", "product"), "product", "left_semi").select(chunks.columns)
-    by_document = chunks.join(grant("document", "document"), "document", "left_semi").select(chunks.columns)
-    names = grant("field", "granted")
     low = lambda c: F.lower(F.col(c))
-    fields = chunks.select("field").distinct().join(names, low("field").contains(low("granted")) | low("granted").contains(low("field")), "left_semi")
-    by_field = chunks.join(fields, "field", "left_semi").select(chunks.columns)
-    return whole.union(by_index).union(by_document).union(by_field).dropDuplicates(["chunk_id"])
+    named = low("field").contains(low("granted")) | low("granted").contains(low("field"))
+    fields = chunks.select("field").distinct().join(grant("field", "granted"), named, "left_semi")
+    opens = lambda found, *keys: found.select(*keys, F.lit(True).alias("__" + (keys or ["all"])[0]))
+    joined = chunks.join(opens(grant("index", "product"), "product"), "product", "left").join(opens(grant("document", "document"), "document"), "document", "left")
+    joined = joined.join(opens(fields, "field"), "field", "left").join(acl.agg(F.coalesce(F.bool_or(F.col("access") == "full"), F.lit(False)).alias("__all")))
+    granted = F.coalesce("__product", "__document", "__field", F.lit(False)) | F.col("__all")
+    return joined.where(granted).select(chunks.columns).dropDuplicates(["chunk_id"])
 
 
 def within_budget(rows: DataFrame, group: str, order: list[str | Column], size: Column, budget: int) -> DataFrame:

@@ -149,9 +149,9 @@ def context_dedup(spark, sf_dir):
     return requests.groupBy("request").applyInPandas(kept, "request long, doc_id long")
 
 
-@R.add("K08_context_assembly", "SELECT doc_id // 20 AS request, md5(string_agg('## ' || doc_id || chr(10) || substr(text, 1, 40), chr(10) ORDER BY doc_id)) AS context FROM documents GROUP BY 1")
+@R.add("K08_context_assembly", "SELECT doc_id // 20 AS request, md5(string_agg('## ' || doc_id || chr(10) || text, chr(10) ORDER BY doc_id)) AS context FROM documents GROUP BY 1")
 def context_assembly(spark, sf_dir):
-    part = F.concat(F.lit("## "), F.col("doc_id").cast("string"), F.lit("\n"), F.substring("text", 1, 40)).alias("part")
+    part = F.concat(F.lit("## "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("part")
     rows = docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 20).alias("request"), "doc_id", part)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda s: s["part"])
     return rows.groupBy("request").agg(F.md5(F.array_join(parts, "\n")).alias("context"))
@@ -163,11 +163,11 @@ def stratified_sample(spark, sf_dir):
     return docs(spark, sf_dir).withColumn("n", order).where("n <= 2").select("source", "doc_id")
 
 
-EDGES = "(SELECT DISTINCT l_suppkey AS src, l_suppkey + l_linenumber * 7 AS dst, l_returnflag AS kind FROM lineitem WHERE l_suppkey < 60)"
+EDGES = "(SELECT DISTINCT l_suppkey AS src, l_suppkey + l_linenumber * 7 AS dst, l_returnflag AS kind FROM lineitem)"
 
 
 def edges(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_suppkey < 60").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") + F.col("l_linenumber") * 7).alias("dst"), F.col("l_returnflag").alias("kind")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") + F.col("l_linenumber") * 7).alias("dst"), F.col("l_returnflag").alias("kind")).distinct()
 
 
 @R.add("L04_graph_summary", f"SELECT kind, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM {EDGES} GROUP BY kind")
@@ -175,9 +175,9 @@ def graph_summary(spark, sf_dir):
     return edges(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
 
 
-@R.add("L01_dangling_edges", f"SELECT DISTINCT src, dst FROM {EDGES} WHERE dst NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 60) OR src NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 60)")
+@R.add("L01_dangling_edges", f"SELECT DISTINCT src, dst FROM {EDGES} WHERE dst NOT IN (SELECT s_suppkey FROM supplier) OR src NOT IN (SELECT s_suppkey FROM supplier)")
 def dangling_edges(spark, sf_dir):
-    vertices = table(spark, sf_dir, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("node"))
+    vertices = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
     return ln.orphans(edges(spark, sf_dir).select("src", "dst").distinct(), vertices)
 
 

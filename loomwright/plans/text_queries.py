@@ -31,7 +31,7 @@ def column(name: str, alias: str, expression, sql: str):
 
 column("X02_redact_pii", "redacted", lambda: F.md5(tx.redact_pii(T())), f"md5(regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '[redacted_email]', 'g'), '{PHONE}', '[redacted_phone]', 'g'), '{SSN}', '[SSN]', 'g'))")
 column("X03_normalizers", "normalised", lambda: F.md5(tx.normalised(T(), [(r"[ \t]+", " "), (r"!{2,}", "!"), (r"\n+", " / ")])), r"md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '!{2,}', '!', 'g'), '\n+', ' / ', 'g'))")
-column("X06_slug", "slug", lambda: tx.slug(F.substring(T(), 1, 60)), "substr(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40)")
+column("X06_slug", "slug", lambda: tx.slug(T()), "substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40)")
 column("X09_space_ratio", "ratio", lambda: F.round(tx.space_ratio(T(), 1000), 6), "round(CASE WHEN length(text) > 0 THEN (length(substr(text, 1, 1000)) - length(replace(substr(text, 1, 1000), ' ', ''))) / length(substr(text, 1, 1000)) ELSE 0 END, 6)")
 column("X10_token_estimate", "tokens", lambda: tx.token_estimate(T()), f"greatest(length(text) // 4, len({WORDS}))")
 column("X26_mid_sentence", "cut", lambda: tx.ends_mid_sentence(T()), r"NOT regexp_matches(rtrim(text), '[.!?][\x22\x27)\]]*$') AND (NOT regexp_matches(rtrim(text), '\w$') OR length(rtrim(text)) < 20)")
@@ -79,10 +79,13 @@ def paragraph_chunks(spark, sf_dir):
 
 
 @R.add("X04_pages", """
-SELECT doc_id, 1 AS page, md5(trim(substr(text, 1, 50))) AS body FROM documents UNION ALL SELECT doc_id, 2, md5(trim(substr(text, 51, 50))) FROM documents""")
+SELECT doc_id, CAST(n + 1 AS INTEGER) AS page, md5(regexp_replace(substr(text, n * 500 + 1, 500), '^\\s+|\\s+$', '', 'g')) AS body
+FROM (SELECT doc_id, text, unnest(range(0, length(text) // 500 + 1)) AS n FROM documents)""")
 def page_split(spark, sf_dir):
-    marked = F.concat(F.lit("=== PAGE 1 ==="), F.substring(T(), 1, 50), F.lit("=== PAGE 2 ==="), F.substring(T(), 51, 50))
-    clean = F.transform(tx.pages(marked), lambda p: F.struct(p["page"].alias("page"), F.trim(p["body"]).alias("body")))
+    """A page mark before every 500 characters of the whole text."""
+    page = lambda n: F.concat(F.lit("=== PAGE "), (n + 1).cast("string"), F.lit(" ==="), F.substring(T(), n * 500 + 1, F.lit(500)))
+    marked = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 500).cast("int")), page), "")
+    clean = F.transform(tx.pages(marked), lambda p: F.struct(p["page"].alias("page"), F.regexp_replace(p["body"], r"^\s+|\s+$", "").alias("body")))
     return docs(spark, sf_dir).select("doc_id", F.inline(clean)).withColumn("body", F.md5("body"))
 
 
