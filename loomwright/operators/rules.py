@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # Name patterns of the rules.
 PATTERNS = {
-    "audit": r"(?i)^(created?|updated?|modif(y|ied)|last(_.+)?)((_on|_at|_date|_time|_dt|_ts)|d)?$",
+    "audit": r"(?i)^(create(?:d)?|update(?:d)?|modif(?:y|ied)|last(?:_.+)?)(?:(?:_on|_at|_date|_time|_dt|_ts)|d)?$",
     "target": r"(?i)^(label|target|outcome|class|y|status)(_.+)?$",
     "pii": r"(?i)(email|ssn|sin|phone|mobile|address|dob|birth|first_?name|last_?name|full_?name|patient_?name|member_?name|employee_?name|contact_?name|hcp_?name|provider_?name|prescriber_?name|physician_?name|doctor_?name|clinician_?name|mrn|patient_id|insurance|credit_?card|npi)",
     "consent": r"(?i)(consent|authorized|opt_?in|gdpr|hipaa)",

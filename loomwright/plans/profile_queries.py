@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.operators import measures as ms
 from loomwright.operators import profile as pf
 from loomwright.operators import rules as rl
 from loomwright.plans.registry import Registry, table
@@ -25,8 +26,7 @@ R = Registry()
 
 
 def profiled(spark: SparkSession, sf_dir: str, name: str, only: set[str] | None = None) -> DataFrame:
-    source = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label", "toxic AS review_result") if name == "labelled" else table(spark, sf_dir, name)
-    return pf.column_profile(source, F.lit(REF).cast("timestamp"), only=only).withColumn("table_name", F.lit(name))
+    return pf.column_profile(source_of(spark, sf_dir, name), F.lit(REF).cast("timestamp"), only=only).withColumn("table_name", F.lit(name))
 
 
 def profile_sql(name: str) -> str:
@@ -163,14 +163,85 @@ def exact_count(spark, sf_dir):
 ASSESSED = ["customer", "orders", "part", "labelled"]
 
 
+#: A dictionary of some of the assessed tables: table, column, definition, declared type, consent, refresh.
+DICTIONARY = [
+    ("customer", "C_CUSTKEY", "key of a customer", "int", "approved", "nightly"), ("customer", "c_name", "name", "int", None, None), ("customer", "c_missing", "", "string", None, None),
+    ("orders", "o_orderkey", "key of an order", "int", "denied", "on request"), ("labelled", "doc_id", None, "int", None, "every 2 hours"),
+]
+DICTIONARY_SCHEMA = "table_name string, column_name string, definition string, data_type string, consent string, refresh string"
+_FACTS: dict[tuple[str, str], tuple[list, object]] = {}
+
+
+def source_of(spark, sf_dir, name):
+    return table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label", "toxic AS review_result") if name == "labelled" else table(spark, sf_dir, name)
+
+
 def facts(spark, sf_dir):
-    return rl.facts(reduce(DataFrame.union, [profiled(spark, sf_dir, t) for t in ASSESSED]))
+    """A row of facts for each assessed table, measured once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FACTS:
+        words = spark.createDataFrame(DICTIONARY, DICTIONARY_SCHEMA)
+        given = {t: ms.measured(source_of(spark, sf_dir, t), [next(iter(COLUMNS[t]))], words.where(F.col("table_name") == t)) for t in ASSESSED}
+        found = rl.facts(reduce(DataFrame.union, [profiled(spark, sf_dir, t) for t in ASSESSED]), ms.as_columns(given))
+        _FACTS[key] = found.collect(), found.schema
+    return spark.createDataFrame(*_FACTS[key])
+
+
+V_BINS = """(SELECT CASE WHEN r > 1 AND k > 1 THEN round(sqrt(greatest(0, phi2 - (r - 1) * (k - 1) / (m - 1)) / nullif(least(r - (r - 1) * (r - 1) / (m - 1), k - (k - 1) * (k - 1) / (m - 1)) - 1, 0)), 3) END
+FROM (SELECT sum(n * n / (nx * ny)) - 1 AS phi2, count(DISTINCT x)::DOUBLE AS r, count(DISTINCT y)::DOUBLE AS k, sum(n) AS m FROM (SELECT *, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny
+FROM (SELECT x, y, count(*)::DOUBLE AS n FROM (SELECT {x} AS x, {y} AS y FROM {t}) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY x, y))))"""
+
+
+def bin_sql(t: str, c: str, kind: str) -> str:
+    n, whole = f"(SELECT count(DISTINCT {c}) FROM {t})", f"CAST({c} AS VARCHAR)"
+    if kind not in ("int", "float"):
+        return f"CASE WHEN {n} <= 50 THEN {whole} END"
+    lo, width = f"(SELECT min({c})::DOUBLE FROM {t})", f"(SELECT (max({c})::DOUBLE - min({c})::DOUBLE) / 10 FROM {t})"
+    return f"CASE WHEN {n} > 10 THEN CAST(CAST(least(floor(({c}::DOUBLE - {lo}) / {width}), 9) AS BIGINT) AS VARCHAR) ELSE {whole} END"
+
+
+def association_sql(t: str, a: str, b: str, kinds: dict[str, str]) -> str:
+    return V_BINS.format(x=bin_sql(t, a, kinds[a]), y=bin_sql(t, b, kinds[b]), t=t)
+
+
+def measured_sql(name: str) -> dict[str, str]:
+    """The measured facts of a table, by other means: scalar subqueries over the table itself."""
+    t, kinds = VIEWS.get(name, name), COLUMNS[name]
+    numbers = [c for c, k in kinds.items() if k in ("int", "float")]
+    binned = [c for c, k in kinds.items() if k != "datetime"]
+    pairs = lambda names: [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    one = lambda test, source=t: f"(SELECT CASE WHEN {test} THEN 1 ELSE 0 END FROM {source})"
+    orgs = ", ".join(f"'{w}'" for w in pf.ORG_WORDS)
+    first = next(iter(kinds))
+    mismatch, personal = [], []
+    for c, k in kinds.items():
+        if k == "string":
+            mismatch.append(one(f"count({c}) IN (0, count(try_cast({c} AS DOUBLE)), count(try_cast({c} AS TIMESTAMP)))"))
+            words = rf"string_split(trim(regexp_replace(replace({c}, ',', ' '), '\s+', ' ', 'g')), ' ')"
+            name_like = rf"len({words}) BETWEEN 2 AND 4 AND NOT regexp_matches({c}, '[0-9@]') AND len(list_filter({words}, lambda x: NOT regexp_full_match(x, '[A-Za-z][A-Za-z\x27-]{{1,29}}') OR lower(x) IN ({orgs}))) = 0"
+            personal.append(one(f"count_if(regexp_matches({c}, '{pf.EMAIL_VALUE}') OR regexp_matches({c}, '{pf.SSN_VALUE}') OR {name_like}) > 0", f"(SELECT {c} FROM {t} WHERE {c} IS NOT NULL ORDER BY {first} LIMIT 100)"))
+        else:
+            mismatch.append(one(f"count({c}) = 0" + (f" OR count(DISTINCT {c}) <= 5" if k != "datetime" else "")))
+    rows = [r for r in DICTIONARY if r[0] == name]
+    known = [r for r in rows if r[1].lower() in kinds]
+    return {
+        "dup_rows": f"(SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t}))",
+        "near_constant": " + ".join(f"(SELECT count(*) FROM (SELECT max(n)::DOUBLE / sum(n) AS s FROM (SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c})) WHERE s >= 0.95)" for c in kinds),
+        "mismatched": " + ".join(mismatch), "pii_values": " + ".join(personal) or "0",
+        "pearson_pairs": " + ".join(one(f"count(*) >= 20 AND NOT isnan(corr({a}, {b})) AND abs(round(corr({a}, {b}), 4)) >= 0.95") for a, b in pairs(numbers)) or "0",
+        "co_missing": one(" OR ".join(f"count_if({a} IS NULL AND {b} IS NULL) > 0.8 * least(nullif(count_if({a} IS NULL), 0), nullif(count_if({b} IS NULL), 0))" for a, b in pairs(list(kinds)))),
+        "phik_pairs": " + ".join(f"coalesce(CAST({association_sql(t, a, b, kinds)} >= 0.8 AS INTEGER), 0)" for a, b in pairs(binned)),
+        "entries": str(len(rows)), "matched": str(len(known)), "documented": str(sum(bool((r[2] or "").strip()) for r in known)), "coverage": str(100.0 * len({r[1].lower() for r in known}) / len(kinds)),
+        "dictionary_mismatches": str(sum(r[3] != kinds[r[1].lower()] for r in known)), "approved": str(sum(r[4] == "approved" for r in rows)), "denied": str(sum(r[4] == "denied" for r in rows)),
+        "cadence_known": {"customer": "1", "labelled": "1"}.get(name, "0"),
+    }
 
 
 def facts_sql() -> str:
     found = rl.facts_sql(lambda p: f"regexp_matches(column_name, '{p}')", lambda c: f"epoch({c})")
     quasi = rl.QUASI.format(pii=f"regexp_matches(column_name, '{rl.PATTERNS['pii']}')")
-    given = ", ".join(f"{v} AS {k}" for k, v in rl.MEASURED.items() if k != "quasi_product")
+    values = {t: measured_sql(t) for t in ASSESSED}
+    given = ", ".join(f"CASE table_name {' '.join(f'WHEN {chr(39)}{t}{chr(39)} THEN {values[t][k]}' for t in ASSESSED)} END AS {k}" for k in rl.MEASURED if k != "quasi_product")
     return f"""SELECT table_name, {', '.join(f'{e} AS {k}' for k, e in found.items())}, coalesce(product(CASE WHEN place <= 3 THEN q END), 0) AS quasi_product, {given}
 FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY q DESC NULLS LAST, ordinal) AS place FROM (SELECT *, {quasi} AS q FROM ({' UNION ALL '.join(profile_sql(t) for t in ASSESSED)}))) GROUP BY table_name"""
 
@@ -258,4 +329,24 @@ def what_if(spark, sf_dir):
     return rl.simulate(rl.checks(facts(spark, sf_dir)), "schema_audit")
 
 
+TYPED = "SELECT CAST(o_orderkey AS VARCHAR) AS key_text, strftime(o_orderdate, '%Y-%m-%d') AS date_text, o_orderstatus, o_totalprice, o_orderkey % 3 AS few, CAST(NULL AS VARCHAR) AS nothing FROM orders"
+
+
+@R.add("P20_type_mismatch", f"""SELECT * FROM (SELECT 'key_text' AS column_name, 'string' AS stored_as, CASE WHEN count(try_cast(key_text AS DOUBLE)) = count(*) THEN 'Numeric' ELSE 'Text' END AS detected_as FROM ({TYPED})
+UNION ALL SELECT 'date_text', 'string', CASE WHEN count(try_cast(date_text AS TIMESTAMP)) = count(*) THEN 'DateTime' ELSE 'Text' END FROM ({TYPED}) UNION ALL SELECT 'few', 'int', CASE WHEN count(DISTINCT few) <= 5 THEN 'Categorical' ELSE 'Numeric' END FROM ({TYPED})
+UNION ALL SELECT 'nothing', 'string', CASE WHEN count(nothing) = 0 THEN 'Unsupported' ELSE 'Text' END FROM ({TYPED}))""")
+def type_mismatch(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return ms.type_mismatches(o.selectExpr("CAST(o_orderkey AS STRING) AS key_text", "date_format(o_orderdate, 'yyyy-MM-dd') AS date_text", "o_orderstatus", "o_totalprice", "o_orderkey % 3 AS few", "CAST(NULL AS STRING) AS nothing"))
+
+
+PARTS = "(SELECT p_size, p_size * 2 + p_partkey % 2 AS doubled, p_brand, substr(p_brand, 1, 7) AS maker, p_retailprice FROM part)"
+PART_KINDS = {"p_size": "int", "doubled": "int", "p_brand": "string", "maker": "string", "p_retailprice": "float"}
+
+
+@R.add("P21_associated_pairs", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, {association_sql(PARTS, a, b, PART_KINDS)} AS v" for i, a in enumerate(PART_KINDS) for b in list(PART_KINDS)[i + 1 :]) + ") WHERE v >= 0.8")
+def associated_pairs(spark, sf_dir):
+    return ms.associated_pairs(table(spark, sf_dir, "part").selectExpr("p_size", "p_size * 2 + p_partkey % 2 AS doubled", "p_brand", "substr(p_brand, 1, 7) AS maker", "p_retailprice"))
+
+
 QUERIES, ORACLE = R.queries, R.oracle
