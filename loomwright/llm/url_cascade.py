@@ -8,7 +8,8 @@ expressions on literals: no join, no lookup table.
 
 The first level is sized by the number of listed keys n and of keys in the universe u: a false-positive rate near n / u
 leaves about n keys for level 1. A filter so takes about n * 1.44 * log2(u / n) bits: its size is set by the list and
-grows with the logarithm of the corpus only. MAX_BYTES bounds what one level may send to the tasks.
+grows with the logarithm of the corpus only. A list whose first level would take more than MAX_BYTES is dealt by hash to
+several cascades, each over its own part of the universe. The keys of all urls are written once and read by every level.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BYTES = 64 << 20
+from loomwright.llm.common import stored
+
+MAX_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,12 +40,9 @@ class Level:
         return [F.pmod(F.xxhash64(F.lit(self.number * 64 + i), key), F.lit(self.bits).cast("long")) for i in range(self.hashes)]
 
     def holds(self, key: Column) -> Column:
-        bitmap = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folded into one literal
-        tests = [F.getbit(F.element_at(bitmap, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1 for p in self.positions(key)]
-        out = tests[0]
-        for test in tests[1:]:
-            out = out & test
-        return out
+        bitmap = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folded into one literal, whatever the hashes
+        test = lambda bits, p: F.getbit(F.element_at(bits, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1
+        return F.exists(F.array(bitmap), lambda bits: F.forall(F.array(*self.positions(key)), lambda p: test(bits, p)))
 
 
 def build_level(keys: DataFrame, number: int, rate: float) -> Level | None:
@@ -52,8 +52,6 @@ def build_level(keys: DataFrame, number: int, rate: float) -> Level | None:
         return None
     hashes = max(1, min(24, round(-math.log2(rate))))
     level = Level(number, max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64) * 64), hashes, [])
-    if level.bits // 8 > MAX_BYTES:
-        raise ValueError(f"{n} keys need {level.bits // 8} bytes in one level; the bound is {MAX_BYTES}. Split the list")
     at = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w"))
     found = at.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits")).collect()
     level.words = [0] * (level.bits // 64)
@@ -64,30 +62,45 @@ def build_level(keys: DataFrame, number: int, rate: float) -> Level | None:
 
 @dataclass
 class Cascade:
-    levels: list[Level]
+    """The levels for each part of the keys, which a hash deals."""
+
+    parts: list[list[Level]]
 
     def holds(self, key: Column) -> Column:
         """True for exactly the listed keys, for keys of the universe."""
         out = F.lit(False)
-        for level in reversed(self.levels):
-            out = level.holds(key) & ~out
-        return out if self.levels else F.lit(False)
+        for number, levels in enumerate(self.parts):
+            found = F.lit(False)
+            for level in reversed(levels):
+                found = level.holds(key) & ~found
+            out = out | (found if len(self.parts) == 1 else (part_of(key, len(self.parts)) == number) & found)
+        return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """Both have the column `key`; the universe may repeat keys. Listed keys outside the universe do no harm."""
-    listed = listed.select("key").where("key is not null").distinct()
-    n, u = listed.count(), universe.agg(F.approx_count_distinct("key")).first()[0]
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+
+
+def build_levels(listed: DataFrame, universe: DataFrame, rate: float) -> list[Level]:
     levels: list[Level] = []
-    inside, outside = listed, universe.select("key").where("key is not null")
-    rate = min(0.5, max(1e-9, n / max(u, 1) * math.sqrt(0.5)))
+    inside, outside = listed, universe
     while (level := build_level(inside, len(levels), rate)) is not None:
         passing = outside.where(level.holds(F.col("key")))
         if not levels:
             passing = passing.join(listed, "key", "left_anti").distinct()
         levels.append(level)
-        inside, outside, rate = passing, inside, 0.5
-    return Cascade(levels)
+        inside, outside, rate = stored(passing), inside, 0.5
+    return levels
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+    """Both have the column `key`; the universe may repeat keys. Listed keys outside the universe do no harm."""
+    listed, universe = listed.select("key").where("key is not null").distinct(), universe.select("key").where("key is not null")
+    n, u = listed.count(), universe.agg(F.approx_count_distinct("key")).first()[0]
+    rate = min(0.5, max(1e-9, n / max(u, 1) * math.sqrt(0.5)))
+    parts = max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 8 / MAX_BYTES))
+    own = lambda df, k: df if parts == 1 else df.where(part_of(F.col("key"), parts) == k)
+    return Cascade([build_levels(own(listed, k), own(universe, k), rate) for k in range(parts)])
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -116,11 +129,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     of their keys. A null url, one without :// and one with an empty path fit no rule. Repeated urls are judged alike;
     an empty table or no rules give an empty result or `default` throughout.
     """
-    rules = rules.where("host is not null and path is not null").select(F.lower("host").alias("host"), "path", "verdict")
+    rules = rules.where("host is not null and path is not null").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict")
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     host, path = url_parts(F.col(url))
     urls = pages.withColumns({"host": host, "path": path}).withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    universe = urls.select(F.explode(F.transform("__keys", lambda k: k["key"])).alias("key"))
+    universe = stored(urls.select(F.explode(F.transform("__keys", lambda k: k["key"])).alias("key")))
     keys = rules.select("verdict", F.concat("host", "path").alias("key"))
 
     def hits(verdict: str) -> Column:
