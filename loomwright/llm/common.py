@@ -26,12 +26,18 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary folder stands in where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir, or else under the folder that the context has for checkpoints.
+
+    Where neither is set, as in tests, a temporary folder stands in on a local master; a cluster's executors share none.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.gettempdir() + "/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return f"{base}/loomwright-{uuid.uuid4().hex}"
 
 
@@ -115,6 +121,20 @@ def tiled(df: DataFrame, key: str, row: str, rows: int = TILE) -> DataFrame:
     return dealt.withColumn("place", F.when(F.col("__tiles").isNull(), F.col(key)).otherwise(pair)).drop("__own", "__other", "__tiles")
 
 
+def joined_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with groups, one row for each key with the number of its rows: large groups are not shuffled.
+
+    Groups of more than TILE rows are few, at most one in TILE rows. They are broadcast, if SHORT at most, so that a group
+    of any size stays where its rows are read; the rest is joined by key.
+    """
+    large = kept_rows(groups.where(F.col(count) > TILE))
+    some = large.limit(SHORT + 1).count()
+    if not 0 < some <= SHORT:
+        return rows.join(groups, key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.where(F.col(count) <= TILE), key)
+    return rows.join(F.broadcast(large), key).unionByName(rest)
+
+
 def held_out(doc_id: str, modulus: int) -> Column:
     """True where crc32 of the id as text leaves 2; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == 2
@@ -140,7 +160,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest node reachable.
 
     Large-star and small-star rounds (Kiveris et al., 2014) until no edge changes. Each round is two joins on a node
-    with a grouped minimum, so a hub never meets in one task, and the result of a round is a checkpoint.
+    with a grouped minimum that combines before the shuffle. A hub's edges, two numbers each, are one key of these joins,
+    whose partitions Spark splits where they are skewed. The result of a round is a checkpoint.
     """
     graph = kept_rows(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from loomwright.llm.common import WORD, kept_rows, mapped, words_of
+from loomwright.llm.common import WORD, joined_groups, kept_rows, mapped, words_of
 
 SIZE = 20
 ANCHOR = 6
+#: Bytes of text in a shard of documents at most, by and large: what one worker holds at once.
+SHARD = 64 << 20
 BLOCK = re.compile(WORD.encode())
 ODD1, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -374,14 +376,15 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     gives an empty result.
     """
     spark = docs.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
     columns = docs.columns
     keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__shard", shard_of("__doc", shards))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     texts = keyed.select("__doc", digest.alias("digest"))
     groups = texts.groupBy("digest").agg(F.min("__doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = kept_rows(texts.join(groups, "digest").where("__doc > least").select(shard_of("__doc", shards).alias("shard"), F.lit(1).alias("kind"), F.col("__doc").alias("key")))
+    copies = kept_rows(joined_groups(texts, groups, "digest", "n").where("__doc > least").select(shard_of("__doc", shards).alias("shard"), F.lit(1).alias("kind"), F.col("__doc").alias("key")))
     blank = [F.lit(0).cast("long").alias("first_doc"), F.lit(0).cast("long").alias("first_start")]
     anchors = recurring_anchors(anchor_rows(keyed.withColumn("__text", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")), size))
     told = copies.union(anchors.select("shard", F.lit(0), "anchor"))

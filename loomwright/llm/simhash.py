@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import SHORT, by_key, connected_components, join_trees, kept_rows, mapped, stored, tiled, words_of
+from loomwright.llm.common import SHORT, by_key, connected_components, join_trees, joined_groups, kept_rows, mapped, stored, tiled, words_of
 
 SEED = 42
 RADIUS = 3
@@ -331,7 +331,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         member = connected_components(links.union(verified(more)))
-    equal_sets = prints.join(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "same")
+    classes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    equal_sets = joined_groups(prints.select("doc_id", "same"), classes, "same", "copies")
     grouped = equal_sets.join(member, "node", "left").where("copies > 1 or component is not null")
     return grouped.select("doc_id", F.coalesce("component", "node").alias("component_id")).distinct()
 
