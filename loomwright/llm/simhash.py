@@ -293,14 +293,18 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     prints = stored(mapped(rows, over, "doc_id long, fp long, same binary, n long, bits binary, prefix array<long>"))
     nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min(x).alias(x) for x in ("fp", "n", "bits", "prefix")))
     nodes = stored(nodes)
-    entries = stored(nodes.select("node", "fp", "n", F.posexplode("prefix").alias("at", "shingle")))
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    # most shingles are in one prefix only; what is shared is a small part
+    shared = joined_groups(entries, kept_rows(counts), "shingle", "rows")
+    shared = stored(shared.join(nodes.select("node", "fp"), "node"))
     columns = ["place", "node", "fp", "n", "at"]
 
     def meet(keys: np.ndarray, node: np.ndarray, fps: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[dict]:
         for a, b in close_pairs(keys, node, fps.view(np.uint64), n, at, similarity):
             yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
-    pairs = by_key(tiled(entries, "shingle", "node"), "place", columns, meet, "a long, b long").where("a <> b").distinct()
+    pairs = by_key(tiled(shared, "shingle", "node"), "place", columns, meet, "a long, b long").where("a <> b").distinct()
     pairs = stored(pairs)
 
     def sets(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -316,8 +320,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
 
     links = verified(pairs)
     member = kept_rows(connected_components(links))
-    crowds = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWD).select("shingle")
-    crowded = entries.join(crowds, "shingle", "left_semi").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crowded = shared.where(F.col("rows") > CROWD).join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     crowded = stored(crowded)
     apart = crowded.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     open_rows = crowded.join(apart, "shingle", "left_semi").join(nodes.select("node", "bits"), "node")
