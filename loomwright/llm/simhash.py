@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -307,16 +308,32 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     pairs = by_key(tiled(shared, "shingle", "node"), "place", columns, meet, "a long, b long").where("a <> b").distinct()
     pairs = stored(pairs)
 
-    def sets(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {"doc_id": batch.column(0), "shingles": [np.unique(shingle_hashes(x, size)).view(np.int64) for x in batch.column(1).to_pylist()]}
+    def texts(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield {"doc_id": batch.column(0), "packed": [zstandard.compress((x or "").encode(), 3) for x in batch.column(1).to_pylist()]}
+
+    def compared(batch: pa.RecordBatch) -> Iterator[dict]:
+        known: dict[int, np.ndarray] = {}  # of this slice: a text in many pairs is hashed once
+
+        def shingles(doc_id: int, packed: bytes) -> np.ndarray:
+            if doc_id not in known:
+                known[doc_id] = np.unique(shingle_hashes(zstandard.decompress(packed).decode(), size))
+            return known[doc_id]
+
+        out: dict[str, list[int]] = {"a": [], "b": []}
+        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            u, v = shingles(a, x), shingles(b, y)
+            shared = len(np.intersect1d(u, v, assume_unique=True))
+            if shared >= similarity * (len(u) + len(v) - shared):
+                out["a"].append(a)
+                out["b"].append(b)
+        yield out
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar, by their whole texts, which travel compressed."""
         needed = kept_rows(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        found = mapped(joined_by_id(rows, needed, "left_semi").dropDuplicates(["doc_id"]), sets, "doc_id long, shingles array<long>")
-        left, right = (found.select(F.col("doc_id").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
-        return kept_rows(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"))
+        found = stored(mapped(joined_by_id(rows, needed, "left_semi").dropDuplicates(["doc_id"]), texts, "doc_id long, packed binary"))
+        left, right = (found.select(F.col("doc_id").alias(x), F.col("packed").alias("p" + x)) for x in "ab")
+        return kept_rows(mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb"), compared, "a long, b long", 256))
 
     links = verified(pairs)
     member = kept_rows(connected_components(links))
