@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +55,13 @@ def kept_rows(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def trimmed() -> None:
+    """Gives the memory that a task has freed back to the system: workers outlive their tasks and share a limit."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mapped(df: DataFrame, over: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, rows: int = 512) -> DataFrame:
     """over, applied to slices of at most `rows` rows; it yields columns by name for the result's schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,6 +73,7 @@ def mapped(df: DataFrame, over: Callable[[pa.RecordBatch], Iterator[dict]], sche
             for at in range(0, batch.num_rows, rows):
                 for columns in over(batch.slice(at, rows)):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        trimmed()
 
     return df.mapInArrow(run, schema)
 
@@ -97,6 +106,8 @@ def by_key(df: DataFrame, key: str, columns: list[str], over: Callable[..., Iter
                 waiting = 0
         if held:
             yield from out(True)
+        held.clear()
+        trimmed()
 
     dealt = df.repartition(key).sortWithinPartitions(key).select(F.col(key).alias("__key"), *columns)
     return dealt.mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import trimmed
 from loomwright.llm.tokens import END, codec, crc_of
 
 WINDOW = 4096
@@ -133,6 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = WINDOW, end: int
                     yield batch_of()
         put(packer.strung(last=True))
         yield batch_of()
+        trimmed()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.mapInArrow(over, SCHEMA + ", ids array<int>" * with_ids)

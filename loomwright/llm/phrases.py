@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from loomwright.llm.common import WORD, joined_groups, kept_rows, mapped, words_of
+from loomwright.llm.common import WORD, joined_groups, kept_rows, mapped, trimmed, words_of
 
 SIZE = 20
 ANCHOR = 6
@@ -207,6 +207,8 @@ def recurring_anchors(rows: DataFrame) -> DataFrame:
         out = np.unique(np.stack([anchor[again], shard[again].astype(np.int64)], 1), axis=0)
         for at in range(0, len(out), 100_000):
             yield pa.RecordBatch.from_pydict({"shard": out[at : at + 100_000, 1].astype(np.int32), "anchor": out[at : at + 100_000, 0]})
+        del columns, anchor, text, shard, again, out
+        trimmed()
 
     return rows.repartition("anchor").mapInArrow(over, "shard int, anchor long")
 
@@ -219,6 +221,7 @@ def window_rows(docs: DataFrame, told: DataFrame, size: int) -> DataFrame:
     schema = "window long, more long, doc_id long"
 
     def over(texts: pa.Table, told: pa.Table) -> pa.Table:
+        trimmed()
         kind, key = np.asarray(told.column("kind")), np.asarray(told.column("key"))
         anchors, copies = np.sort(key[kind == 0]).view(np.uint64), set(key[kind == 1].tolist())
         anchors = np.sort(anchors)
@@ -267,6 +270,8 @@ def recurring_windows(rows: DataFrame) -> DataFrame:
         out = {"doc_id": doc[recurs], "window": window[recurs], "first_doc": doc[first], "first_start": start[first]}
         for k in range(0, len(first), 100_000):
             yield pa.RecordBatch.from_pydict({n: x[k : k + 100_000] for n, x in out.items()})
+        del columns, window, more, doc, second, start, again, order, recurs, first, out
+        trimmed()
 
     return rows.repartition("window").mapInArrow(over, "doc_id long, window long, first_doc long, first_start long")
 
@@ -396,6 +401,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def over(texts: pa.Table, told: pa.Table) -> pa.Table:
+        trimmed()  # what the shard before has freed
         if not texts.num_rows:
             return arrow.empty_table()
         kind, key = np.asarray(told.column("kind")), np.asarray(told.column("key"))
