@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def readability(text: Column) -> Column:
     steps = [(5, 60.0), (10, 70.0), (25.0000001, 85.0), (35.0000001, 80.0), (45.0000001, 70.0), (60.0000001, 60.0)]
     mean = mean_sentence(text)
     by_length = reduce(lambda e, s: e.when(mean < s[0], s[1]), steps, F.when(mean.isNull(), 60.0)).otherwise(50.0)
-    return F.when(F.length(F.trim(text)) < 50, 40.0).when(F.size(tx.word_list(text)) < 20, 55.0).otherwise(by_length)
+    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < 50, 40.0).when(F.size(tx.word_list(text)) < 20, 55.0).otherwise(by_length)
 
 
 def timeliness(timestamp: Column, ref: str = "2023-01-01", decay: float = 365.0) -> Column:
@@ -61,7 +63,7 @@ def context_quality(text: Column) -> Column:
         + part(low.rlike(r"\b(?:see|refer|reference|section|chapter|page|table|figure)\s+\d+"), 10.0) + F.least(hits * 2.0, F.lit(15.0))
         + part(text.rlike(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), 10.0) + F.when(words > 100, F.least((words - 100) / 20.0, F.lit(10.0))).otherwise(0.0)
     )
-    return F.when(F.length(F.trim(text)) < 50, 30.0).otherwise(F.least(total, F.lit(100.0)))
+    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < 50, 30.0).otherwise(F.least(total, F.lit(100.0)))
 
 
 def diversity(text: Column) -> Column:
@@ -69,7 +71,7 @@ def diversity(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z0-9]+\b"), F.lit(0))
     ratio = F.size(F.array_distinct(words)) / F.size(words)
     scaled = F.when(ratio < 0.3, ratio / 0.3 * 50).when(ratio <= 0.7, 50 + (ratio - 0.3) / 0.4 * 50).otherwise(100.0)
-    return F.when((F.length(F.trim(text)) < 20) | (F.size(words) == 0), 0.0).otherwise(scaled)
+    return F.when((F.length(F.trim(F.coalesce(text, F.lit("")))) < 20) | (F.size(words) == 0), 0.0).otherwise(scaled)
 
 
 def knowledge_base_ready(text: Column) -> Column:
@@ -129,3 +131,100 @@ def hash_embedding(text: Column, size: int) -> Column:
 def fitted(vector: Column, size: int) -> Column:
     """Cut or padded with zeros."""
     return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), size)), 1, size)
+
+
+# Fixed values.
+VAGUE = ["", "general", "unknown", "none"]
+DOMAIN_TERMS = {
+    ("regulatory", "reg"): (20.0, [
+        "supervisor", "auditor", "regulator", "supervision", "regulatory", "compliance officer", "risk manager", "internal audit", "regulatory authority", "supervisory authority", "audit committee",
+        "compliance framework", "regulatory requirement", "supervisory review", "regulatory reporting", "audit trail", "regulatory compliance", "compliance", "supervisory", "audit",
+    ]),
+    ("finance_banking", "finance", "banking"): (18.0, [
+        "bank", "banking", "financial institution", "lender", "borrower", "credit risk", "market risk", "liquidity risk", "operational risk", "capital adequacy", "solvency", "balance sheet",
+        "income statement", "financial statement", "audit", "auditor", "compliance officer", "risk manager", "treasurer", "cfo", "financial analyst", "investor", "shareholder", "stakeholder",
+        "regulatory reporting", "financial",
+    ]),
+}
+AUDIENCE_TERMS = [
+    (25.0, ["hcp", "physician", "patient", "doctor", "nurse", "clinician", "prescriber", "caregiver", "healthcare"]),
+    (15.0, ["executive", "management", "stakeholder", "board", "investor", "shareholder", "revenue", "profit", "quarterly", "annual"]),
+    (15.0, ["developer", "engineer", "api", "sdk", "cli", "code", "implementation", "integration", "deployment", "architecture", "technical"]),
+    (15.0, ["operations", "monitoring", "maintenance", "support", "service", "infrastructure", "scalability", "performance"]),
+    (20.0, ["attorney", "lawyer", "counsel", "legal counsel", "compliance", "legal requirement", "legal framework", "jurisdiction", "litigation", "contract", "agreement", "legal entity", "legal obligation"]),
+]
+ADDRESSED = r"\b(?:you|your|users?|customers?|readers?|audience)\b"
+INTENDED = r"\b(?:for|intended\s+for|designed\s+for|targeted\s+to)\s+(?:the\s+)?\w+"
+AUDIENCES = ["hcp", "executive", "regulatory", "patient", "finance", "ops", "dev"]
+SIMPLE, EXAMPLES = r"\b(simple|easy|clear|straightforward|basic)\b", r"\b(?:example|for instance|such as|including)\b"
+NOISE = [
+    r"(?im)^\s*(confidential|proprietary|copyright|all rights reserved)", r"(?im)^\s*page\s+\d+\s+of\s+\d+\s*$", r"(?im)^\s*(table of contents|index|appendix)\s*$",
+    r"(?im)^\s*(this document is confidential|not for distribution)",
+]
+AGGREGATE_DEFAULTS = {"Avg_Noise_Free_Score": 100.0, "Context_Freshness_Score": 50.0}
+
+
+def metadata_presence(source: Column, section: Column, audience: Column, timestamp: Column, field_name: Column, document: Column) -> Column:
+    """25 for each of the first four that is there, 10 for each that says something and for a document's id; 100 at most."""
+    there = lambda c: F.coalesce(c.cast("string") != "", F.lit(False)).cast("int")
+    told = lambda c, vague: (~F.coalesce(F.lower(tx.stripped(c)), F.lit("")).isin(vague)).cast("int")
+    required = there(source) + there(section) + there(audience) + there(timestamp)
+    bonus = told(section, VAGUE) + told(field_name, VAGUE) + told(audience, VAGUE[:3]) + there(document)
+    return F.least(required * 25.0 + bonus * 10.0, F.lit(100.0))
+
+
+def audience_intentionality(text: Column, domain: Column) -> Column:
+    """Hits of audience terms, each list capped; a hit of the domain's own list halves the others."""
+    low, name = F.lower(text), F.lower(F.coalesce(domain, F.lit("")))
+    hits = lambda terms: reduce(lambda a, b: a + b, [low.rlike(rf"\b{t}\b").cast("int") for t in terms])
+
+    own = reduce(lambda e, x: e.when(name.isin(*x[0]), F.least(hits(x[1][1]) * x[1][0], F.lit(60.0))), DOMAIN_TERMS.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    others = reduce(lambda a, b: a + b, [F.least(hits(terms) * points, F.lit(50.0)) for points, terms in AUDIENCE_TERMS])
+    direct = F.when(low.rlike(ADDRESSED), 30.0).otherwise(0.0) + F.when(low.rlike(INTENDED), 20.0).otherwise(0.0)
+    total = own + others * F.when(own > 0, 0.5).otherwise(1.0) + direct
+    return F.when(F.length(tx.stripped(F.coalesce(text, F.lit("")))) < 20, 0.0).otherwise(F.least(total, F.lit(100.0)))
+
+
+def audience_accessibility(audience: Column, text: Column) -> Column:
+    """For a known audience 70 or 85 and up to 15 for sentences of 10 to 20 words; else 50 or 30 by plain language."""
+    name, mean = F.coalesce(F.lower(tx.stripped(audience)), F.lit("")), mean_sentence(text)
+    bonus = F.when(mean.between(10, 20), 15.0).when(mean.between(8, 25), 10.0).when(mean.between(5, 30), 5.0).otherwise(0.0)
+    plain = F.lower(text).rlike(SIMPLE) | F.lower(text).rlike(EXAMPLES)
+    known = F.when(name.isin(AUDIENCES), 85.0).otherwise(70.0) + bonus
+    return F.when(~name.isin(VAGUE[:3]), known).otherwise(F.when(plain, 50.0).otherwise(30.0))
+
+
+def noise_percent(text: Column, patterns: list[str] = NOISE) -> Column:
+    """The percentage of characters in matches of the patterns; a match that overlaps an earlier pattern's is left out."""
+
+    @F.pandas_udf("double")
+    def share(texts: pd.Series) -> pd.Series:
+        rules = [re.compile(p) for p in patterns]
+        out = []
+        for value in texts:
+            taken: list[tuple[int, int]] = []
+            for rule in rules:
+                spans = [m.span() for m in rule.finditer(value or "")]
+                taken += [(a, b) for a, b in spans if b > a and all(b <= c or d <= a for c, d in taken)]
+            out.append(round(100 * sum(b - a for a, b in taken) / len(value), 2) if value else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return share(text)
+
+
+def aggregate_trust(means: dict[str, Column]) -> Column:
+    """The weighted sum of a set's mean scores; a score that is not there counts 0, noise 100, freshness 50."""
+    value = lambda k: F.coalesce(means[k], F.lit(AGGREGATE_DEFAULTS.get(k, 0.0))) if k in means else F.lit(AGGREGATE_DEFAULTS.get(k, 0.0))
+    total = reduce(lambda a, b: a + b, [value(k) / 100.0 * w for k, w in WEIGHTS.items()])
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)) * 100, 4)
+
+
+def readiness(total: Column, empty: Column, duplicates: Column, encoding: Column, low: Column, mean: Column, least: Column, most: Column, documents: Column) -> Column:
+    """struct of scores from 0 to 10 of a set of chunks: overall, data, chunk, embedding, coverage."""
+    share = lambda n, cap: F.least(F.lit(cap), F.coalesce(F.try_divide(n, total), F.lit(0.0)) * 10)
+    data = 10.0 - share(empty, 3.0) - share(duplicates, 2.0) - share(encoding, 2.5) - share(low, 1.5)
+    sizes = F.when(mean < 200, 2.0).when(mean > 1500, 1.5).otherwise(0.0) + F.when(least < 50, 2.5).otherwise(0.0) + F.when(most > 3000, 2.0).otherwise(0.0)
+    coverage = 10.0 - F.when(documents < 5, 3.0).when(documents < 20, 1.5).otherwise(0.0) - F.when(total < 100, 2.5).otherwise(0.0)
+    chunk, embedding = 10.0 - sizes, F.lit(8.5)
+    overall = data * 0.3 + chunk * 0.3 + embedding * 0.2 + coverage * 0.2
+    return F.struct(*[F.round(c, 1).alias(n) for n, c in (("overall", overall), ("data", data), ("chunk", chunk), ("embedding", embedding), ("coverage", coverage))])

@@ -12,6 +12,54 @@ EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 EMAIL_UPPER = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE = r"(?:\+?\d[\s-]?)?(?:\(\d{3}\)|\d{3})[\s-]?\d{3}[\s-]?\d{4}"
 SSN = r"\b\d{3}[-.\s]?\d{2}[-.\s]?\d{4}\b"
+ENHANCED = [
+    (r"[\x00-\x08\x0B-\x0C\x0E-\x1F]", ""), (r"[ \t]+", " "), (r"\n[ \t]+", "\n"), (r"[ \t]+\n", "\n"), (r" +([,.!?;:])", "$1"), (r"([,.!?;:])([^\s])", "$1 $2"),
+    (r"[\u2018\u2019\u2032]", "'"), (r"[\u201C\u201D\u2033]", '"'), (r"[\u2013\u2014\u2015]", "-"), (r"\.{4,}", "..."), (r"\n{4,}", "\n\n\n"),
+]
+CORRECTIONS = [
+    (r"(?i)\bteh\b", "the"), (r"(?i)\badn\b", "and"), (r"(?i)\btha\b", "that"), (r"(?i)\btaht\b", "that"), (r"(?i)\bhte\b", "the"),
+    (r"(?i)([a-z])\1{3,}", "$1$1"), (r"(?i)([.!?])([A-Z][a-z])", "$1 $2"),
+]
+SECTION_ALIASES = {
+    "executive summary": "executive_summary", "table of contents": "table_of_contents", "conclusions": "conclusions", "conclusion": "conclusions",
+    "abstract": "abstract", "introduction": "introduction", "background": "background",
+}
+TITLE_CASE, ALL_CAPS, NUMBERED = r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+$", r"^[A-Z0-9][A-Z0-9 &'\-]{6,}$", r"^(\d+)[\.\)]\s+(.+)$"
+DATES = [
+    (r"(?i)\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b", 1),
+    (r"(?i)\b(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b", 1),
+    (r"(?i)\b\d{4}-\d{2}-\d{2}\b", 0),
+]
+AUTHOR = r"(?i)(?:By|Author|Written by|Created by):\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
+VERSION = r"(?i)\b(v|version|ver|v\.)\s*(\d+(?:\.\d+)+)\b"
+
+CONTENT = {
+    "legal": [r"\b(whereas|hereby|herein|hereinafter|pursuant to|in accordance with)\b", r"\b(agreement|contract|terms|conditions|clause|section)\b", r"\b(party|parties|plaintiff|defendant|court|legal)\b"],
+    "regulatory": [
+        r"\b(supervisor|auditor|regulator|supervision|regulatory)\b", r"\b(eba|ecb|basel|crr|crd|ssm|pru|fca|sec)\b", r"\b(guidelines|framework|directive|regulation|compliance)\b",
+        r"\b(capital|risk|governance|oversight|monitoring)\b", r"\b(principle|requirement|standard|provision)\b", r"\b(whereas|pursuant to|in accordance with|hereinafter)\b",
+    ],
+    "finance_banking": [
+        r"\b(banking|financial|finance|bank|institution)\b", r"\b(capital|liquidity|solvency|credit|market\s+risk)\b", r"\b(asset|liability|balance\s+sheet|income\s+statement)\b",
+        r"\b(regulation|compliance|audit|supervision)\b", r"\b(interest\s+rate|yield|portfolio|investment)\b",
+    ],
+    "code": [r"^\s*(def|class|function|import|from|if|for|while|try|except)\s+", r"^\s*[a-zA-Z_][a-zA-Z0-9_]*\s*[=\(]", r"^\s*#.*$", r"^\s*//.*$", r"^\s*/\*.*\*/$"],
+    "documentation": [r"^#{1,6}\s+", r"^\s*\*\s+", r"^\s*\d+\.\s+", r"```", r"\[.*\]\(.*\)"],
+    "conversation": [r"^\s*\d{1,2}:\d{2}\s+[AP]M\s+", r"^\s*\[.*\]\s+", r"^\s*<.*>\s+", r"^\s*\w+:\s+"],
+    "academic": [r"\b(abstract|introduction|methodology|results|conclusion|references)\b", r"\b(study|research|analysis|hypothesis|findings|implications)\b", r"^\s*\d+\.\d+\s+", r"\[.*\]\s*\(.*\)"],
+    "technical": [
+        r"\b(API|endpoint|request|response|authentication|authorization)\b", r"\b(database|query|table|index|schema|migration)\b", r"\b(algorithm|optimization|performance|scalability|architecture)\b", r"^\s*```\w*$",
+    ],
+}
+EXTENSIONS = {"code": (0.8, [".py", ".js", ".java", ".cpp", ".c", ".go", ".rs"]), "documentation": (0.6, [".md", ".rst", ".txt"]), "general": (0.5, [".pdf", ".doc", ".docx"])}
+HINTED = ["regulatory", "finance_banking", "legal", "academic", "technical"]
+TECHNICAL_TERMS, MEDICAL_TERMS = ["api", "sdk", "cli", "config"], ["patient", "diagnosis", "treatment", "medication", "dose"]
+
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "shall", "this", "that", "these", "those", "it", "its", "as", "not",
+]
+MARKS = r"^[.,;:!?\"'()\[\]{}]+|[.,;:!?\"'()\[\]{}]+$"
 
 
 def redact_pii(text: Column) -> Column:
@@ -105,19 +153,121 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
-def keywords(text: Column, stop: list[str], most: int = 5) -> Column:
+def keywords(text: Column, stop: list[str] = STOP_WORDS, most: int = 5) -> Column:
     """The longest distinct words over 4 letters, first ones first."""
-    plain = F.filter(F.transform(word_list(F.lower(text)), lambda w: F.regexp_replace(w, r"^\W+|\W+$", "")), lambda w: (F.length(w) > 4) & ~w.isin(stop))
+    plain = F.filter(F.transform(word_list(F.lower(text)), lambda w: F.regexp_replace(w, MARKS, "")), lambda w: (F.length(w) > 4) & ~w.isin(stop))
     numbered = F.transform(F.array_distinct(plain), lambda w, i: F.struct((-F.length(w)).alias("l"), i.alias("i"), w.alias("w")))
     return F.transform(F.slice(F.array_sort(numbered), 1, most), lambda s: s["w"])
 
 
+def commonest(words: Column) -> Column:
+    """How often the most frequent word occurs: a fold over the sorted words; 0 for none."""
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(state: Column, word: Column) -> Column:
+        run = F.when(state["word"] == word, state["run"] + 1).otherwise(1)
+        return F.struct(word.alias("word"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
+
+    return F.aggregate(F.array_sort(words), start, step, lambda state: state["most"])
+
+
 def low_quality(text: Column) -> Column:
     """Short, dominated by one word, or mostly not letters."""
     words = word_list(F.lower(text))
-    top = F.array_max(F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w))))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.greatest(F.length(text), F.lit(1))
-    return (F.length(F.trim(text)) < 50) | ((F.size(words) > 10) & (top > 0.3 * F.size(words))) | (letters < 0.5)
+    return (F.length(F.trim(text)) < 50) | ((F.size(words) > 10) & (commonest(words) > 0.3 * F.size(words))) | (letters < 0.5)
+
+
+def text_issues(text: Column) -> Column:
+    """What is wrong with a chunk by its text, as an array of labels."""
+    words = word_list(text)
+    return F.array_compact(F.array(
+        F.when(F.length(text) < 50, "Too short"), F.when(text.contains("\0"), "Encoding issues"), F.when(F.size(words) < 10, "Too few words"),
+        F.when((F.size(words) > 10) & (commonest(words) > 0.3 * F.size(words)), "Repetitive content"),
+    ))
+
+
+def score_issues(starts_cut: Column, ends_cut: Column, confidence: Column, noise: Column, coherence: Column) -> Column:
+    """What is wrong with a chunk by its scores from 0 to 100, as an array of labels."""
+    return F.array_compact(F.array(
+        F.when(starts_cut, "starts_mid_sentence"), F.when(ends_cut, "ends_mid_sentence"), F.when(confidence < 50, "low_confidence"), F.when(noise > 50, "high_noise"),
+        F.when(coherence < 50, "low_coherence"),
+    ))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def spaced_out(text: Column) -> Column:
+    """True for texts over 100 characters whose first 500 are spaces by more than 0.3."""
+    return (F.length(text) > 100) & (space_ratio(text, 500) > 0.3)
+
+
+def enhanced(text: Column) -> Column:
+    """Control characters, spacing, quotes, dashes and dots put right; spaced-out texts stay."""
+    return F.when(spaced_out(text), text).otherwise(stripped(normalised(text, ENHANCED)))
+
+
+def corrected(text: Column) -> Column:
+    """Common typing errors, letters repeated over three times and missing spaces put right; spaced-out texts stay."""
+    return F.when(spaced_out(text), text).otherwise(normalised(text, CORRECTIONS))
+
+
+def section_name(title: Column) -> Column:
+    """The canonical name of a section's title: an alias, or at most 40 of a-z, 0-9 and _; `section` for an empty one."""
+    plain = F.lower(F.regexp_replace(stripped(F.coalesce(title, F.lit(""))), r"\s+", " "))
+    aliases = F.create_map(*[F.lit(x) for pair in SECTION_ALIASES.items() for x in pair])
+    name = F.substring(F.regexp_replace(plain, r"[^a-z0-9]+", "_"), 1, 40)
+    return F.coalesce(F.try_element_at(aliases, plain), F.when(name != "", name), F.lit("section"))
+
+
+def sections(text: Column, headers: list[str] = ()) -> Column:
+    """array<struct<title, name, body>>: the lines between headers, blank ones left out; sections without a line are none.
+
+    A header is a line that one of `headers` matches at its begin, a numbered line, two capitalised words or more, or
+    capitals. Before the first one the title is Introduction, as for a text that has no section.
+    """
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"), stripped), lambda line: line != "")
+
+    def is_header(line: Column) -> Column:
+        shape = line.rlike(NUMBERED) | line.rlike(TITLE_CASE) | (line.rlike(ALL_CAPS) & line.rlike(r"\S\s+\S"))
+        return reduce(lambda a, p: a | line.rlike(f"^(?:{p})"), headers, shape)
+
+    def of(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda line, i: F.when(is_header(line), i + 1)), lambda i: i.isNotNull())
+        bounds = F.concat(F.array(F.lit(0)), places, F.array(F.size(lines) + 1))
+        each = F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), lambda begin, k: F.struct(begin.alias("begin"), (F.get(bounds, k + 1) - begin - 1).alias("n")))
+        return F.transform(
+            F.filter(each, lambda x: x["n"] > 0),
+            lambda x: F.struct(F.coalesce(F.get(lines, x["begin"] - 1), F.lit("Introduction")).alias("title"), F.array_join(F.slice(lines, x["begin"] + 1, x["n"]), "\n").alias("body")),
+        )
+
+    found = F.transform(F.get(F.transform(F.array(lines), of), F.lit(0)), lambda x: F.struct(x["title"].alias("title"), section_name(x["title"]).alias("name"), x["body"].alias("body")))
+    whole = F.array(F.struct(F.lit("Introduction").alias("title"), F.lit("introduction").alias("name"), stripped(text).alias("body")))
+    return F.when(F.size(found) > 0, found).otherwise(whole)
+
+
+def representative(text: Column, chunk: int = 5000, most: int = 20000) -> Column:
+    """White space collapsed; of texts over `most` characters a head, a middle and a tail of `chunk` at most."""
+    plain = F.regexp_replace(stripped(text), r"\s+", " ")
+    part = min(chunk, most // 3)
+    middle = F.greatest(F.floor(F.length(plain) / 2).cast("int") - part // 2, F.lit(0))
+    cut = F.concat(F.substring(plain, 1, part), F.lit(" === MIDDLE SAMPLE === "), F.substring(plain, middle + 1, F.lit(part)), F.lit(" === END SAMPLE === "), F.right(plain, F.lit(part)))
+    return F.when(F.length(plain) <= most, plain).otherwise(F.substring(cut, 1, most))
+
+
+def found_metadata(text: Column, tags: Column) -> Column:
+    """struct<doc_date, tags>: dates, author and versions named in the text, appended to the tags.
+
+    Of a date with the month's name only that name is taken. Three dates of each form, two versions.
+    """
+    dates = F.concat(*[F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(g)), 1, 3) for p, g in DATES])
+    author = F.regexp_extract(text, AUTHOR, 1)
+    versions = F.slice(F.regexp_extract_all(text, F.lit(VERSION), F.lit(2)), 1, 2)
+    listed = lambda label, values: F.when(F.size(values) > 0, F.concat(F.lit(label), F.array_join(values, ",")))
+    told = F.concat_ws("; ", F.when(tags != "", tags), listed("dates:", F.slice(dates, 1, 3)), F.when(author != "", F.concat(F.lit("author:"), author)), listed("versions:", versions))
+    return F.struct(F.get(dates, F.lit(0)).alias("doc_date"), told.alias("tags"))
 
 
 def cleaned(text: Column, max_chars: int) -> Column:
@@ -127,4 +277,81 @@ def cleaned(text: Column, max_chars: int) -> Column:
 
 def pattern_share(text: Column, patterns: list[str]) -> Column:
     """The mean over patterns of the matches in a thousand characters, each at most 1."""
-    return reduce(lambda a, b: a + b, [F.least(F.regexp_count(text, F.lit(p)) / (F.length(text) / 1000.0), F.lit(1.0)) for p in patterns]) / len(patterns)
+    return reduce(lambda a, b: a + b, [F.least(F.regexp_count(text, F.lit(p)) / (F.greatest(F.length(text), F.lit(1)) / F.lit(1000.0)), F.lit(1.0)) for p in patterns]) / len(patterns)
+
+
+def content_type(text: Column, extension: Column, hint: Column) -> Column:
+    """struct<kind, confidence>: the kind of content with the largest share of patterns; general at 0.3 for none.
+
+    A file's extension stands in for a kind without a match and comes first among equals. A hint wins at 0.6 where no
+    kind reaches 0.5, and adds 0.2 to its kind otherwise.
+    """
+    ext, wish = F.lower(F.coalesce(extension, F.lit(""))), F.lower(F.coalesce(hint, F.lit("")))
+
+    def entry(name: str, place: int) -> Column:
+        share = pattern_share(text, [f"(?imd){p}" for p in CONTENT[name]]) if name in CONTENT else F.lit(0.0)
+        confidence, endings = EXTENSIONS.get(name, (0.0, ["-"]))
+        return F.struct(share.alias("share"), F.when(ext.isin(endings), confidence).otherwise(0.0).alias("prior"), F.lit(-place).alias("place"), F.lit(name).alias("kind"))
+
+    def scored(k: Column) -> Column:
+        score = F.when(k["share"] > 0, k["share"]).otherwise(k["prior"])
+        return F.struct(score.alias("score"), F.when(k["prior"] > 0, 1).otherwise(k["place"]).alias("place"), k["kind"].alias("kind"))
+
+    def hinted(k: Column, weak: Column) -> Column:
+        told = wish.isin(HINTED) & (k["kind"] == wish)
+        score = F.when(told & weak, F.greatest(k["score"], F.lit(0.6))).when(told & (k["score"] > 0), F.least(k["score"] + 0.2, F.lit(1.0))).otherwise(k["score"])
+        return F.struct(score.alias("score"), k["place"].alias("place"), k["kind"].alias("kind"))
+
+    def named(best: Column) -> Column:
+        found = best["score"] > 0
+        return F.struct(F.when(found, best["kind"]).otherwise("general").alias("kind"), F.when(found, best["score"]).otherwise(0.3).alias("confidence"))
+
+    # an array of one binds a value to a name, so that it is computed once
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    kinds = F.array(*[entry(name, place) for place, name in enumerate([*CONTENT, "general"])])
+    best = bound(F.transform(kinds, scored), lambda all_: bound(F.array_max(all_)["score"] < 0.5, lambda weak: F.array_max(F.transform(all_, lambda k: hinted(k, weak)))))
+    return bound(best, named)
+
+
+def chunk_sizes(text: Column, size: int, overlap: int, least: int, most: int) -> Column:
+    """struct<size, overlap> in tokens, adjusted to the length of sentences and of the text, between least and most."""
+    words = F.size(word_list(text))
+    parts = F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(s, F.lit(" \n\t\r")) != "")
+    mean = F.when(F.size(parts) > 0, words / F.size(parts)).otherwise(0.0)
+    scaled = lambda n, by: F.floor(n * F.lit(by)).cast("int")
+    by_sentence = lambda n: F.when(mean > 30, scaled(F.lit(n), 1.2)).when(mean < 15, scaled(F.lit(n), 0.8)).otherwise(n)
+    first = F.when(words < 100, F.least(by_sentence(size), words * 4)).when(words > 10000, scaled(by_sentence(size), 1.1)).otherwise(by_sentence(size))
+    lap = F.when(words < 100, F.least(by_sentence(overlap), F.floor(first / 4).cast("int"))).when(words > 10000, scaled(by_sentence(overlap), 1.1)).otherwise(by_sentence(overlap))
+    final = F.greatest(F.lit(least), F.least(first, F.lit(most)))
+    return F.struct(final.alias("size"), F.least(lap, final - 1).alias("overlap"))
+
+
+def synthetic_queries(text: Column, style: str, most: int, shortest: int = 10, longest: int = 50) -> Column:
+    """Questions after the first sentences of a text, in one of the styles technical, academic, clinical and general."""
+    chars, enough = {"technical": (20, 5), "academic": (30, 8), "clinical": (25, 6)}.get(style, (20, 5))
+    capital = lambda w: w.rlike(r"^\p{Lu}")
+
+    def question(words: Column) -> Column:
+        first = lambda test: F.get(F.filter(words, test), F.lit(0))
+        about = lambda before, term, after="?": F.concat(F.lit(before), term, F.lit(after))
+        if style == "technical":
+            return F.coalesce(about("What is ", first(lambda w: capital(w) | F.lower(w).isin(TECHNICAL_TERMS))), about("How does ", F.get(words, F.lit(0)), " work?"))
+        if style == "academic":
+            return F.coalesce(about("What are the findings on ", first(capital)), about("What does the research show about ", F.get(words, F.lit(3))))
+        if style == "clinical":
+            return F.coalesce(about("What is the ", first(lambda w: F.lower(w).isin(MEDICAL_TERMS))), F.lit("What are the clinical indications?"))
+        return about("What is ", F.get(words, F.lit(0)))
+
+    sentences = F.slice(F.filter(F.transform(F.split(text, r"\."), stripped), lambda s: F.length(s) > chars), 1, most)
+    spoken = F.filter(F.transform(sentences, word_list), lambda w: F.size(w) > enough)
+    return F.filter(F.transform(spoken, question), lambda q: F.length(q).between(shortest, longest))
+
+
+def chunk_record(stem: Column, page: Column, title: Column, text: Column, index: Column, count: Column) -> Column:
+    """The record of a chunk: its id, place, section, text and estimated tokens; scopes of the document and the field."""
+    name = section_name(title)
+    return F.struct(
+        F.concat(stem, F.lit("_p"), page.cast("string"), F.lit("_s"), name, F.lit("_c"), index.cast("string")).alias("chunk_id"), stem.alias("document_id"), page.alias("page"), title.alias("section_raw"),
+        name.alias("section"), name.alias("field_name"), text.alias("text"), token_estimate(text).alias("token_est"), index.alias("chunk_index"), count.alias("chunk_of"), stem.alias("doc_scope"), name.alias("field_scope"),
+        F.lit("").alias("tags"), F.lit(None).cast("string").alias("doc_date"),
+    )

@@ -61,3 +61,25 @@ def content_hash(df: DataFrame, column: str) -> DataFrame:
     """
     digest = F.conv(F.substring(F.sha2(F.col(column).cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.substring(F.sha2(F.concat_ws("|", F.sum(digest).cast("string"), F.count(F.lit(1)).cast("string")), 256), 1, 16).alias("data_hash"))
+
+
+def compliance(rules: DataFrame, violations: DataFrame, start: str, end: str, framework: str | None = None) -> DataFrame:
+    """One row: the rules made in a period, the active ones, violations in it of any known rule, and the active share x 100.
+
+    framework keeps only rules with that tag. Rules are few; violations are counted before they meet them.
+    """
+    within = F.col("created").between(start, end)
+    scope = rules.where(within & (F.array_contains("tags", framework) if framework else F.lit(True)))
+    counted = violations.where(within).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).join(rules.select("rule_id"), "rule_id", "left_semi")
+    totals = scope.agg(F.count(F.lit(1)).alias("total_rules"), F.count_if(F.col("status") == "active").alias("active_rules"))
+    broken = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+    share = F.coalesce(F.try_divide(F.col("active_rules") * 100.0, F.col("total_rules")), F.lit(0.0))
+    return totals.join(F.broadcast(broken)).select("total_rules", "active_rules", "violations", share.cast("double").alias("score"))  # one row each
+
+
+def version_counts(versions: DataFrame) -> DataFrame:
+    """For each entity its versions, the active and archived ones, the latest number and the last change."""
+    return versions.groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") == "archived").alias("archived"),
+        F.max("version_number").alias("latest"), F.max("created_at").alias("last_updated"),
+    )

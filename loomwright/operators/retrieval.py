@@ -76,3 +76,25 @@ def within_budget(rows: DataFrame, group: str, order: list[str | Column], size:
     """The rows of each group, in order, while their sizes add up to the budget at most."""
     running = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", running).where(F.col("used") <= budget)
+
+
+# Fixed values.
+NEGATIONS = ["not", "no", "never", "cannot", "can't", "won't", "doesn't", "don't", "isn't", "aren't"]
+FILLERS = ["the", "a", "an", "is", "are", "was"]
+
+
+def conflicts(chunks: DataFrame, context: str, most: int = 3) -> DataFrame:
+    """(context, rank, term, negated_in, stated_in): terms of over 4 letters that a chunk of one document has with a negation
+    and an earlier chunk of another document without.
+
+    One term a chunk, the first by name, and the first `most` chunks of a context. A term belongs to the document of the
+    first chunk that states it. Null texts have no terms.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
+    told = chunks.select(context, "rank", "doc", words.alias("words")).withColumn("negated", F.arrays_overlap("words", F.array(*map(F.lit, NEGATIONS))))
+    terms = told.select(context, "rank", "doc", "negated", F.explode("words").alias("term")).where((F.length("term") > 4) & ~F.col("term").isin(NEGATIONS + FILLERS))
+    stated = terms.where("not negated").groupBy(context, "term").agg(F.min("rank").alias("since"), F.min_by("doc", "rank").alias("stated_in"))
+    against = terms.where("negated").join(stated, [context, "term"]).where("since < rank and stated_in <> doc")
+    one = against.groupBy(context, "rank").agg(F.min(F.struct("term", F.col("doc").alias("negated_in"), "stated_in")).alias("c"))
+    order = Window.partitionBy(context).orderBy("rank")
+    return one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select(context, "rank", "c.*")

@@ -51,9 +51,13 @@ def sentences(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(tx.sentences(F.col("text"))).alias("sentences"))
 
 
-@R.add("X31_keywords")
+@R.add("X31_keywords", rf"""
+WITH w AS (SELECT doc_id, regexp_replace(unnest(ws), '^[.,;:!?\x22\x27()\[\]{{}}]+|[.,;:!?\x22\x27()\[\]{{}}]+$', '', 'g') AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {WORDS.replace('text', 'lower(text)')} AS ws FROM documents)),
+u AS (SELECT doc_id, w, min(i) AS i FROM w WHERE length(w) > 4 AND w NOT IN ({", ".join(f"'{w}'" for w in tx.STOP_WORDS)}) GROUP BY ALL),
+k AS (SELECT doc_id, w, i FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, i) <= 5)
+SELECT doc_id, coalesce((SELECT string_agg(w, ',' ORDER BY length(w) DESC, i) FROM k WHERE k.doc_id = d.doc_id), '') AS keywords FROM documents d""")
 def keywords(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.array_join(tx.keywords(F.col("text"), ["about", "their", "which"]), ",").alias("keywords"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(tx.keywords(F.col("text")), ",").alias("keywords"))
 
 
 @R.add("X33_cleaned", r"SELECT doc_id, md5(substr(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '\s+', ' ', 'g'), '^ +| +$', '', 'g'), 1, 500)) AS clean FROM documents")
