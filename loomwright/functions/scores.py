@@ -228,3 +228,50 @@ def readiness(total: Column, empty: Column, duplicates: Column, encoding: Column
     chunk, embedding = 10.0 - sizes, F.lit(8.5)
     overall = data * 0.3 + chunk * 0.3 + embedding * 0.2 + coverage * 0.2
     return F.struct(*[F.round(c, 1).alias(n) for n, c in (("overall", overall), ("data", data), ("chunk", chunk), ("embedding", embedding), ("coverage", coverage))])
+
+
+#: Fixed value: an end of a sentence, not after an initial.
+SENTENCE_END = r"(?<!\b[A-Z])[.!?。۔؟]+(?=\s+[A-Z0-9\"'])"
+
+
+def words_a_sentence(text: Column) -> Column:
+    """Mean words of the sentences, page fences left out; all words where there is no sentence."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"===\s*PAGE\s+\d+\s*===", " "), r"\n{3,}", "\n\n")
+    sizes = F.filter(F.transform(F.split(plain, SENTENCE_END), lambda s: F.size(tx.word_list(s))), lambda n: n > 0)
+    return F.coalesce(F.try_divide(F.aggregate(sizes, F.lit(0), lambda a, n: a + n), F.size(sizes)), F.lit(0.0))
+
+
+def fallback_scores(text: Column, section: Column, field_name: Column, document_id: Column, audience: Column, tokens: Column, weights: dict[str, float] = WEIGHTS) -> Column:
+    """A struct of thirteen scores from 0 to 100 and AI_Trust_Score, by plain heuristics. Nulls count as empty.
+
+    Unlike trust(), the weights of scores that are not among the thirteen are lost, as they are in the original.
+    """
+    clean = lambda c: tx.stripped(F.coalesce(c.cast("string"), F.lit("")))
+    whole, probe = clean(text), F.substring(clean(text), 1, 1000)
+    words = F.regexp_extract_all(F.lower(whole), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    section, who = F.lower(clean(section)), F.lower(clean(audience))
+    size = F.coalesce(F.nullif(tokens.cast("double"), F.lit(0.0)), F.length(whole) / 4.0)
+    part = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    base = F.struct(
+        part(whole != "", 1.0, 0.0).alias("Completeness"),
+        F.coalesce(F.try_divide(F.length(F.regexp_replace(probe, r"[^\x00-\x7F]", "")), F.length(probe)), F.lit(1.0)).alias("Accuracy"),
+        part(whole.rlike(tx.EMAIL) | whole.rlike(tx.PHONE), 0.75, 1.0).alias("Secure"),
+        part(size > 0, F.exp(-F.pow(size / 900.0 - 1, 2) / 0.5), 0.0).alias("Token_Count"),
+        part((section != "") & F.lower(whole).contains(section), 1.0, 0.5).alias("Context_Quality"),
+        part((section != "") & (clean(field_name) != "") & (clean(document_id) != ""), 1.0, 0.5).alias("Metadata_Presence"),
+        part(who.isin("", "unknown"), 0.25, 1.0).alias("Audience_Intentionality"),
+        F.coalesce(F.try_divide(F.size(F.array_distinct(words)), F.size(words)), F.lit(0.0)).alias("Diversity"),
+        words_a_sentence(whole).alias("length"),
+    )
+
+    def scored(b: Column) -> Column:
+        n = b["length"]
+        quality = F.when(n < 10, n / 10.0).when(n > 30, F.greatest(F.lit(0.0), 2.0 - n / 30.0)).otherwise(1.0)
+        access = F.when(n.between(10, 25), 1.0).when(n > 0, 1 - F.least(F.abs(n - 17.5) / 25.0, F.lit(1.0))).otherwise(0.0)
+        got = {c: b[c] for c in ("Completeness", "Accuracy", "Secure", "Token_Count", "Context_Quality", "Metadata_Presence", "Audience_Intentionality", "Diversity")}
+        got |= {"Quality": quality, "Audience_Accessibility": access, "Timeliness": F.lit(0.5), "GPT_Confidence": F.lit(0.85)}
+        got["KnowledgeBase_Ready"] = F.least(F.lit(1.0), 0.4 * b["Metadata_Presence"] + 0.4 * quality + 0.2 * b["Context_Quality"])
+        total = reduce(lambda a, c: a + c, [got[k] * w for k, w in weights.items() if k in got], F.lit(0.0))
+        return F.struct(*[F.round(v * 100, 2).alias(k) for k, v in got.items()], F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)) * 100, 4).alias("AI_Trust_Score"))
+
+    return F.transform(F.array(base), scored)[0]

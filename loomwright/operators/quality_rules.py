@@ -83,3 +83,41 @@ def version_counts(versions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") == "archived").alias("archived"),
         F.max("version_number").alias("latest"), F.max("created_at").alias("last_updated"),
     )
+
+
+#: What a policy asks for unless it says otherwise.
+THRESHOLDS = {"min_trust": 50.0, "min_secure": 90.0, "min_metadata": 80.0, "min_kb_ready": 50.0}
+METRICS = ["trust", "completeness", "kb_ready", "secure", "metadata", "quality"]
+
+
+def suggestions(df: DataFrame) -> DataFrame:
+    """df with topics, actions, tweaks (arrays of names) and next_playbook: what to change after a policy's verdict.
+
+    df has the METRICS and THRESHOLDS as columns, violations (array), passed and playbook. A missing metric is 0, a missing
+    threshold the default; a row without any metric has the one topic no_fingerprint. Wording is left to the reader.
+    """
+    m = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in METRICS}
+    low = {c: F.coalesce(F.col(c), F.lit(d)) for c, d in THRESHOLDS.items()}
+    violations, passed = F.coalesce("violations", F.array().cast("array<string>")), F.coalesce("passed", F.lit(False))
+    weak_trust, weak_kb = m["trust"] < low["min_trust"], m["kb_ready"] < F.greatest(low["min_kb_ready"], F.lit(70.0))
+    other_book = F.col("playbook").isNull() | (F.upper("playbook") != "TECH")
+    scanned = (m["completeness"] < 60) & (F.col("playbook").isNull() | (F.upper("playbook") == "REGULATORY"))
+    broken = F.array_contains(violations, "security_not_full")
+    topics = {
+        "trust": weak_trust | (m["trust"] < 85), "security": broken | (m["secure"] < 100), "metadata": m["metadata"] < F.greatest(low["min_metadata"], F.lit(90.0)),
+        "kb_ready": m["kb_ready"] < F.greatest(low["min_kb_ready"], F.lit(85.0)), "completeness": m["completeness"] < 90, "quality": m["quality"] < 85,
+        "policy": F.when(passed, m["trust"] < 85).otherwise(F.size(violations) > 0),
+    }
+    actions = [
+        ("quality_normalization", weak_trust & (m["quality"] < 70)), ("chunk_overlap", weak_trust & (m["completeness"] < 75)), ("composite_improvement", ~weak_trust & (m["trust"] < 70)),
+        ("excellence_push", ~weak_trust & (m["trust"] >= 70) & (m["trust"] < 85)), ("metadata_extraction", m["metadata"] < F.greatest(low["min_metadata"], F.lit(85.0))), ("playbook", weak_kb & other_book), ("playbook", scanned),
+        ("chunk_overlap", m["completeness"] < 75), ("quality_normalization", m["quality"] < 85), ("error_correction", m["quality"] < 85), ("excellence_push", passed & (m["trust"] < 85)),
+    ]
+    tweaks = [("redaction_strict", broken), ("force_metadata_extraction", m["metadata"] < low["min_metadata"]), ("increase_chunk_overlap", m["completeness"] < 75)]
+    named = lambda pairs: F.array_compact(F.array(*[F.when(test, name) for name, test in pairs]))
+    empty, none = F.coalesce(*METRICS).isNull(), F.array().cast("array<string>")
+    found = named(topics.items())
+    return df.withColumns({
+        "topics": F.when(empty, F.array(F.lit("no_fingerprint"))).when(F.size(found) == 0, F.array(F.lit("monitor"))).otherwise(found), "actions": F.when(empty, none).otherwise(named(actions)),
+        "tweaks": F.when(empty, none).otherwise(named(tweaks)), "next_playbook": F.when(~empty & scanned, "SCANNED").otherwise(F.col("playbook")),
+    })

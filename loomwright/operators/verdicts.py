@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.operators import rules as rl
@@ -26,6 +26,8 @@ FLOORS = {
     "supervised_regression": ({"LBL": 2, "LKG": 3, "SIG": 3, "VOL": 3, "STA": 2, "GOV": 2}, ["privacy_column_names", "labels_leakage"]),
     "time_series_forecast": ({"TMP": 4, "FRS": 3, "VOL": 3, "SIG": 2, "STA": 2, "LBL": 3}, ["privacy_column_names"]),
 }
+#: A rule's trigger, the fields that it raises, and to what.
+ESCALATIONS = {"ESC-1": ("B13", ["B17", "B21"], "HIGH"), "ESC-2": ("B7", ["O5"], "HIGH"), "ESC-3": ("O3", ["O3"], "MEDIUM"), "ESC-4": ("B14", ["B20"], "HIGH")}
 UNORDERED = ["array", "binary", "map", "struct", "variant", "null"]
 
 
@@ -147,3 +149,26 @@ def annotated(profile: DataFrame) -> DataFrame:
         "table_name", "column_name", F.when(direct, "direct").otherwise("none").alias("pii_class"), F.when(direct, 0.85).otherwise(0.95).alias("pii_confidence"),
         (name("target") & (F.col("dtype") != "datetime")).alias("is_target"), name("post_event").alias("is_leak"),
     )
+
+
+def escalated(fields: DataFrame) -> DataFrame:
+    """fields (table_name, field_id, severity, status, value, covered) with effective severity and the escalation behind it.
+
+    A trigger that is absent, or has no row, counts as the worst case. One window over the few fields of each table.
+    """
+    value = F.lower(F.trim("value"))
+    tests = {"B13": F.col("covered") > 0, "B7": value == "critical", "O3": (F.col("value") != "") & (value != "full_refresh"), "B14": (F.col("value") != "") & (value != "none")}
+    per_table = Window.partitionBy("table_name")
+    effective, applied = F.col("severity"), F.lit(None).cast("string")
+    for name, (trigger, targets, severity) in ESCALATIONS.items():
+        fires = (F.col("status") == "absent") | ((F.col("status") == "present") & F.coalesce(tests[trigger], F.lit(False)))
+        raised = F.coalesce(F.max(F.when(F.col("field_id") == trigger, fires)).over(per_table), F.lit(True)) & F.col("field_id").isin(targets)
+        effective, applied = F.when(raised, severity).otherwise(effective), F.when(raised, name).otherwise(applied)
+    return fields.withColumns({"effective": effective, "escalation": applied})
+
+
+def retuned(found: DataFrame, quality: DataFrame) -> DataFrame:
+    """Table scores in which the metadata dimension has the score of quality (table_name, quality), where it has one."""
+    scores = rl.dimension_scores(found).join(quality, "table_name", "left")
+    score = F.when((F.col("dimension") == "metadata") & F.col("quality").isNotNull(), F.bround("quality", 0)).otherwise(F.col("score"))
+    return rl.table_scores(found, scores.withColumn("score", score).drop("quality"))

@@ -69,3 +69,23 @@ def renamed(df: DataFrame, aliases: dict[str, str], known: list[str]) -> DataFra
 def point_id(key: Column) -> Column:
     """The id of a vector point: 15 hex digits of an MD5 as a number."""
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A JSON object a row, in UTF-8, nulls included; the folder must be new."""
+    df.write.option("ignoreNullFields", "false").json(path)
+
+
+def metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of JSON arrays, one array a file."""
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
+def archived(df: DataFrame, when: str, before: str, path: str) -> DataFrame:
+    """Writes the rows dated before a day to path, in folders by month, and returns the rest; a row without a date stays.
+
+    The archive is written once, by one pass over df; what it holds of a month is read without the others.
+    """
+    old = F.coalesce(F.col(when) < F.lit(before).cast("date"), F.lit(False))
+    df.where(old).withColumn("month", F.date_format(when, "yyyy-MM")).write.partitionBy("month").parquet(path)
+    return df.where(~old)

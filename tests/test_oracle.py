@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["P06_nulls", "P17_correlated_pairs", "T05_systematic_sample", "R03_table_score", "rules_quality", "rules_features", "rules_metadata", "P20_type_mismatch", "P21_associated_pairs", "R04_reference_exclusion", "R08_evidence_basis", "R09_field_issues", "R12_dimension_detail", "R17_approvals", "R21_purpose_verdict", "R22_archetype_floors", "R25_annotation", "R26_criticality", "T06_block_sample", "T08_order_columns", "X02_redact_pii", "C10_diversity", "G10_monthly_stats", "J08_acl_filter", "K02_knn", "K08_context_assembly", "X04_pages", "X06_slug", "L01_dangling_edges", "L03_lineage_reach", "L05_artifact_lineage", "V12_quality_gate"]
+NAMES = ["P06_nulls", "P17_correlated_pairs", "T05_systematic_sample", "R03_table_score", "rules_quality", "rules_features", "rules_metadata", "P20_type_mismatch", "P21_associated_pairs", "R04_reference_exclusion", "R08_evidence_basis", "R09_field_issues", "R12_dimension_detail", "R17_approvals", "R21_purpose_verdict", "R22_archetype_floors", "R25_annotation", "R26_criticality", "T06_block_sample", "T08_order_columns", "X02_redact_pii", "C10_diversity", "G10_monthly_stats", "J08_acl_filter", "K02_knn", "K08_context_assembly", "X04_pages", "X06_slug", "L01_dangling_edges", "L03_lineage_reach", "L05_artifact_lineage", "V12_quality_gate", "R13c_escalations", "R14_metadata_retune", "V10_suggestions"]
 
 
 def plain(v):
