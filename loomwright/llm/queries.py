@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from loomwright.llm import bpe, embed_dedup, mixing, packing, phrases, quality, simhash, tokens, topk, url_cascade
+from loomwright.llm import bpe, embed_dedup, mixing, packing, phrases, privacy, quality, simhash, spelling, tokens, topk, url_cascade, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(privacy.private_spans(table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_simhash": op2_simhash,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "op11_spelling": op11_spelling,
+    "op12_privacy": op12_privacy,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
