@@ -39,7 +39,7 @@ from loomwright.llm.common import WORD, joined_groups, kept_rows, mapped, trimme
 SIZE = 20
 ANCHOR = 6
 #: Bytes of text in a shard of documents at most, by and large: what one worker holds at once.
-SHARD = 64 << 20
+SHARD = 20 << 20
 BLOCK = re.compile(WORD.encode())
 ODD1, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
