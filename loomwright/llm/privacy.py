@@ -36,7 +36,8 @@ HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W_]{3,}")
+WORD = re.compile(r"\S+")
+DIGIT = re.compile(r"[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 #: Bits of the bitmaps that tasks test words against.
 BITS = 1 << 22
@@ -66,7 +67,9 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the personal data in a text, in code points, by kind, then start; linear in its length."""
-    found = [("email", *span) for span in emails(text)]
+    found = [("email", *span) for span in emails(text)] if "@" in text else []
+    if not DIGIT.search(text):
+        return found
     for m in IP.finditer(text):
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             found.append(("ip", *m.span()))
@@ -91,6 +94,23 @@ def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+def term_of(word: str) -> tuple[str, int, int] | None:
+    """The term in a word between spaces: lower-cased, without marks around it, 3 code points at least; and its place."""
+    start, end = 0, len(word)
+    while start < end and not word[start].isalnum():
+        start += 1
+    while end > start and not word[end - 1].isalnum():
+        end -= 1
+    return (word[start:end].lower(), start, end) if end - start > 2 else None
+
+
+def terms_in(text: str) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text, in order."""
+    for m in WORD.finditer(text):
+        if found := term_of(m[0]):
+            yield found[0], m.start() + found[1], m.start() + found[2]
+
+
 def entity(kind: str, value: str) -> int:
     """A hash of what a value is, however it is written: case of addresses, spacing of numbers."""
     plain = value.lower() if kind in ("email", "ip") else NOT_DIGITS.sub("", value)
@@ -116,8 +136,8 @@ def beside_entities(docs: DataFrame, reach: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if not text or not (spans := base_spans(text)):
                     continue
-                terms = [(m.start(), m[0].lower()) for m in TERM.finditer(blanked(text, spans))]
-                starts, words = [t[0] for t in terms], [t[1] for t in terms]
+                terms = list(terms_in(blanked(text, spans)))
+                starts, words = [t[1] for t in terms], [t[0] for t in terms]
                 signs, seen = signatures(words), set()
                 for kind, start, end in spans:
                     who, at = entity(kind, text[start:end]), bisect_left(starts, start)
@@ -145,21 +165,27 @@ def bitmap(terms: DataFrame) -> np.ndarray:
 
 
 class Passing:
-    """Which words pass a bitmap, lower-cased; remembers the last ones."""
+    """The term of a word, if it passes a bitmap; remembers the last words."""
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits, self.known = bits.tobytes(), {}
 
     def __call__(self, word: str) -> str | None:
         if (found := self.known.get(word, 0)) == 0:
-            term = word.lower()
-            at = zlib.crc32(term.encode()) % BITS
-            found = term if self.bits[at >> 3] & 128 >> (at & 7) else None
+            found = (term_of(word) or (None,))[0]
+            if found is not None:
+                at = zlib.crc32(found.encode()) % BITS
+                found = found if self.bits[at >> 3] & 128 >> (at & 7) else None
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = found
         return found
 
+    def terms(self, text: str) -> set[str]:
+        """The terms of a text that pass, outside its personal data."""
+        spans = base_spans(text)
+        return {term for w in set((blanked(text, spans) if spans else text).split()) if (term := self(w))}
+
 
 def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: the number of documents in which each of `terms` stands outside personal data."""
@@ -170,8 +196,7 @@ def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    words = set(TERM.findall(blanked(text, base_spans(text))))
-                    counts.update({term for w in words if (term := passing(w))})
+                    counts.update(passing.terms(text))
             if len(counts) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
                 counts.clear()
@@ -207,7 +232,7 @@ def revealing_terms(docs: DataFrame, removed: float = 0.25, generalised: float =
     return stored(least.select("term", "s.*").withColumn("action", action))
 
 
-SPAN = "kind string, start long, `end` long, put string"
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,put:string>>"
 
 
 def private_spans(docs: DataFrame, removed: float = 0.25, generalised: float = 1.0, support: int = 3, reach: int = 8) -> DataFrame:
@@ -215,56 +240,43 @@ def private_spans(docs: DataFrame, removed: float = 0.25, generalised: float = 1
 
     spans holds (kind, start, end, put) of personal data, by kind as in KINDS, then start, and after them of kind `term`
     those of revealing_terms; places are code points, end exclusive, put is what sanitised() writes instead. Terms that
-    overlap personal data are part of it and no spans. A null text is an empty one and has none; repeated rows and
+    overlap personal data are part of it and no spans. Those of equal texts are found once and joined by a hash of the text. A null text is an empty one and has none; repeated rows and
     null ids are rows like others, and an empty table gives an empty result. Other columns are not read.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     terms = revealing_terms(docs, removed, generalised, support, reach)
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(terms))
 
-    def places(text: str, spans: list, passing: Passing) -> list[tuple[str, int, int]]:
-        return [(term, *m.span()) for m in TERM.finditer(blanked(text, spans)) if (term := passing(m[0]))]
-
-    def name(text: str) -> bytes:
-        return xxhash.xxh128_digest(text)
-
     def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each word of a text that passes the bitmap, under the text's hash."""
         passing = Passing(bits.value)
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                if found := places(text, base_spans(text), passing):
-                    own = name(text)
-                    rows += [(own, *f, text[f[1]].isupper()) for f in found]
+                if some := passing.terms(text):
+                    own = xxhash.xxh128_digest(text)
+                    rows += [(own, t, a, b, text[a].isupper()) for t, a, b in terms_in(blanked(text, base_spans(text))) if t in some]
             if rows:
                 types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=["hash", "term", "start", "end", "upper"])
         trimmed()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passing = Passing(bits.value)
-        any_bits = any(passing.bits)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("put", pa.string())])
         for batch in batches:
-            spans, names = [], []
-            for text in batch.column(1).to_pylist():
-                found = base_spans(text)
-                spans.append([{"kind": k, "start": a, "end": b, "put": f"[{k.upper()}]"} for k, a, b in found])
-                names.append(name(text) if any_bits and places(text, found, passing) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(kind)), pa.array(names, pa.binary())], names=["doc_id", "text", "spans", "hash"])
+            texts = batch.column(1).to_pylist()
+            spans = [[{"kind": k, "start": a, "end": b, "put": f"[{k.upper()}]"} for k, a, b in base_spans(text)] for text in texts]
+            names = pa.array(map(xxhash.xxh128_digest, texts), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(kind)), names], names=["doc_id", "text", "spans", "hash"])
         trimmed()
 
     put = F.when(F.col("action") == "removed", "").when(F.col("term").rlike("^[0-9]+$"), "[NUMBER]").when(F.col("upper"), "[NAME]").otherwise("[WORD]")
     shape = F.struct(F.lit("term").alias("kind"), "start", "end", put.alias("put"))
     words = docs.select("text").mapInArrow(offered, "hash binary, term string, start long, `end` long, upper boolean").distinct()
     more = words.join(terms.select("term", "action"), "term").groupBy("hash").agg(F.sort_array(F.collect_list(shape)).alias("more"))
-    base = docs.mapInArrow(judged, f"doc_id long, text string, spans array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>, hash binary")
-    if terms.isEmpty():
-        return base.drop("hash")
-    with_terms = base.where("hash is not null").join(more, "hash", "left")
-    spans = F.concat("spans", F.coalesce("more", F.array().cast(f"array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>"))).alias("spans")
-    return with_terms.select("doc_id", "text", spans).unionByName(base.where("hash is null").drop("hash"))
+    base = docs.mapInArrow(judged, f"doc_id long, text string, spans {SPANS}, hash binary")
+    spans = F.concat("spans", F.coalesce("more", F.array().cast(SPANS))).alias("spans")
+    return base.join(more, "hash", "left").select("doc_id", "text", spans)
 
 
 def sanitised(text: str = "text", spans: str = "spans") -> Column:

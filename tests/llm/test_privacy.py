@@ -50,7 +50,9 @@ def plain_terms(rows, removed=0.25, generalised=1.0, support=3, reach=8):
         clean = list(text)
         for _, a, b in spans:
             clean[a:b] = " " * (b - a)
-        terms = [(m.start(), m[0].lower()) for m in re.finditer(r"[^\W_]{3,}", "".join(clean))]
+        terms = [(m.start(), m[0].lower()) for m in re.finditer(r"(?<!\S)[^\s]*", "".join(clean))]
+        terms = [(at + len(w) - len(re.sub(r"^[\W_]+", "", w)), re.sub(r"^[\W_]+|[\W_]+$", "", w)) for at, w in terms]
+        terms = [t for t in terms if len(t[1]) > 2]
         words = [t[1] for t in terms]
         for term in set(words):
             with_term[term] += 1
@@ -136,6 +138,6 @@ def test_edges(spark):
     clean = {r.doc_id: r.clean for r in got.select("doc_id", privacy.sanitised().alias("clean")).collect()}
     assert clean[2] == "mail [EMAIL], [EMAIL] or [IP]" and clean[4] == "😀 é [IP] [PHONE]" and clean[1] == ""
     assert privacy.private_spans(frame.limit(0)).collect() == []
-    overlap = spark.createDataFrame([("0123456789", [("a", 2, 6, "<A>"), ("b", 4, 8, "<B>"), ("c", 9, 10, "")])], f"text string, spans array<struct<{privacy.SPAN}>>")
+    overlap = spark.createDataFrame([("0123456789", [("a", 2, 6, "<A>"), ("b", 4, 8, "<B>"), ("c", 9, 10, "")])], f"text string, spans {privacy.SPANS}")
     assert overlap.select(privacy.sanitised().alias("c")).first().c == "01<A>8"
     assert overlap.select(F.size("spans")).first()[0] == 3
