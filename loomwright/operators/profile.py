@@ -6,6 +6,7 @@ replaces them by HyperLogLog++ sketches, which keep the aggregation to one shuff
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,6 +61,72 @@ def corrected_kurtosis(n: Column, g2: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
+def value_key(name: str, dtype: str) -> Column:
+    """A text for each value of a column, the same for equal values; long ones are hashed. Null and NaN are null."""
+    v = present(name, dtype)
+    if dtype == "datetime":
+        return F.unix_micros(v.cast("timestamp")).cast("string")
+    if dtype == "object":
+        return F.when(v.isNotNull(), F.sha2(F.to_json(F.struct(v)), 256))
+    text = (v + F.lit(0)).cast("string") if dtype == "float" else v.cast("string")  # one zero, whatever its sign
+    return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text) if dtype == "string" else text
+
+
+def values_of(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column_name, v): every value of the columns, by its key."""
+    kinds = {f.name: dtype_of(f.dataType) for f in df.schema}
+    every = F.array(*[F.struct(F.lit(c).alias("column_name"), value_key(c, kinds[c]).alias("v")) for c in columns or df.columns])
+    return df.select(F.inline(every)).where("v is not null")
+
+
+def of_tables(tables: Mapping[str, DataFrame], part: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """part of every table, with its table_name first: one plan whose later steps serve all tables."""
+    return reduce(DataFrame.union, [part(df).select(F.lit(t).alias("table_name"), "*") for t, df in tables.items()])
+
+
+def counted_values(values: DataFrame, *key: str) -> DataFrame:
+    """(*key, unique_count, top_count, filled) of values (*key, v).
+
+    Rows are counted where they are read before values are shuffled, so a frequent value is a row for each task.
+    """
+    counts = values.groupBy(*key, "v").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*key).agg(F.count(F.lit(1)).alias("unique_count"), F.max("n").alias("top_count"), F.sum("n").alias("filled"))
+
+
+def value_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column_name, unique_count, top_count, filled) of columns with values: all columns' values counted in one pass."""
+    return counted_values(values_of(df, columns), "column_name")
+
+
+def table_profiles(tables: Mapping[str, DataFrame], ref: Column | None = None, only: set[str] | None = None) -> DataFrame:
+    """The profiles of several tables, with table_name last; the values of all of them are counted in one pass."""
+    parts = (only if only is not None else {"distinct", "moments", "quartiles", "surrogates", "ranges"}) - {"distinct"}
+    found = of_tables(tables, lambda df: column_profile(df, ref, only=parts))
+    names = [c for c in found.columns if c != "table_name"]
+    if only is not None and "distinct" not in only:
+        return found.select(*names, "table_name")
+    exact = counted_values(of_tables(tables, values_of), "table_name", "column_name").select("table_name", "column_name", F.col("unique_count").alias("__unique"))
+    joined = found.join(exact, ["table_name", "column_name"], "left")
+    return joined.select(*[F.coalesce("__unique", F.lit(0)).alias(c) if c == "unique_count" else F.col(c) for c in names], "table_name")
+
+
+def first_values(df: DataFrame, columns: list[str], order: list[str], count: int) -> DataFrame:
+    """(column_name, position, value): the first non-null values of each column in the given order, from one scan.
+
+    Each task keeps its own first values of a column before they are shuffled.
+    """
+    place = F.struct(*[F.col(f"`{c}`") for c in order]).alias("__order")
+    every = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    long = df.select(place, F.inline(every)).where("value is not null")
+    number = F.row_number().over(Window.partitionBy("column_name").orderBy(*[F.col("__order")[c] for c in order]))
+    return long.withColumn("position", number).where(F.col("position") <= count).select("column_name", "position", "value")
+
+
+def row_keys(df: DataFrame) -> DataFrame:
+    """(row): a 256-bit hash of each row; nulls are equal."""
+    return df.select(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256).alias("row"))
+
+
 def column_profile(df: DataFrame, ref: Column | None = None, approximate: bool = False, only: set[str] | None = None) -> DataFrame:
     """One row for each column (SCHEMA). ref: the time that freshness is measured at; the session's now if None.
 
@@ -74,8 +141,8 @@ def column_profile(df: DataFrame, ref: Column | None = None, approximate: bool =
         v, at = present(name, dtype), f"c{k}_"
         key = v if dtype != "object" else F.to_json(F.struct(v))
         aggregates.append(F.count(v).alias(at + "n"))
-        if want("distinct"):
-            aggregates.append((F.approx_count_distinct(key) if approximate else F.count_distinct(key)).alias(at + "u"))
+        if want("distinct") and approximate:
+            aggregates.append(F.approx_count_distinct(key).alias(at + "u"))
         numeric, dated = dtype in ("int", "float"), dtype == "datetime" and want("ranges")
         moments, quarters, marked = numeric and want("moments"), numeric and want("quartiles"), (numeric or dtype == "string") and want("surrogates")
         if numeric:
@@ -99,20 +166,23 @@ def column_profile(df: DataFrame, ref: Column | None = None, approximate: bool =
         age = F.greatest(F.lit(0).cast("long"), F.floor((F.unix_timestamp(ref) - F.unix_timestamp(at + "max")) / 86400)) if dated else null("long")
         rows.append(F.struct(
             F.lit(k).alias("ordinal"), F.lit(name).alias("column_name"), F.lit(dtype).alias("dtype"), F.col("n").alias("row_count"), (F.col("n") - n).alias("null_count"),
-            F.when(F.col("n") > 0, F.round((F.col("n") - n) * 100.0 / F.col("n"), 2)).otherwise(0.0).alias("null_pct"), (F.col(at + "u") if want("distinct") else null("long")).alias("unique_count"),
+            F.when(F.col("n") > 0, F.round((F.col("n") - n) * 100.0 / F.col("n"), 2)).otherwise(0.0).alias("null_pct"), (F.col(at + "u") if want("distinct") and approximate else null("long")).alias("unique_count"),
             stat("mean").alias("mean"), (F.when(n == 1, 0.0).otherwise(F.col(at + "std")) if moments else null("double")).alias("std"), stat("min").alias("min_value"), stat("max").alias("max_value"),
             *[(F.col(at + "q")[i].cast("double") if quarters else null("double")).alias(q) for i, q in enumerate(("q25", "q50", "q75"))],
             (corrected_skew(n, F.col(at + "g1")) if moments else null("double")).alias("skew"), (corrected_kurtosis(n, F.col(at + "g2")) if moments else null("double")).alias("kurtosis"),
             (F.col(at + "min") if dated else null("timestamp")).alias("earliest"), (F.col(at + "max") if dated else null("timestamp")).alias("latest"), age.alias("days_since_latest"),
             (F.col(at + "s") if marked else F.lit(0).cast("long")).alias("surrogate_null_count"), (F.col(at + "i") if moments else F.lit(0).cast("long")).alias("infinite_count"),
         ))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    found = df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    if not want("distinct") or approximate:
+        return found
+    exact = value_stats(df).select("column_name", F.col("unique_count").alias("__unique"))
+    return found.join(exact, "column_name", "left").select(*[F.coalesce("__unique", F.lit(0)).alias(c) if c == "unique_count" else F.col(c) for c in found.columns])
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """dup_rows: rows beyond the first of each; nulls are equal. Rows are grouped by a 256-bit hash: a shuffle of hashes."""
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
-    return df.groupBy(F.sha2(row, 256).alias("row")).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("dup_rows"))
+    return row_keys(df).groupBy("row").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("dup_rows"))
 
 
 def table_summary(profile: DataFrame) -> DataFrame:
@@ -122,13 +192,8 @@ def table_summary(profile: DataFrame) -> DataFrame:
 
 def sample_values(df: DataFrame, order: list[str], count: int = 5, length: int = 40) -> DataFrame:
     """(column_name, position, sample): the first non-null values of each column in the given order, long ones cut."""
-    found = []
-    for name in df.columns:
-        text = F.col(f"`{name}`").cast("string")
-        first = df.where(text.isNotNull()).orderBy(*order).limit(count).select(text.alias("value"), *order)
-        cut = F.when(F.length("value") > length, F.concat(F.substring("value", 1, length - 1), F.lit("…"))).otherwise(F.col("value"))
-        found.append(first.select(F.lit(name).alias("column_name"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("position"), cut.alias("sample")))
-    return reduce(DataFrame.union, found)
+    cut = F.when(F.length("value") > length, F.concat(F.substring("value", 1, length - 1), F.lit("…"))).otherwise(F.col("value"))
+    return first_values(df, df.columns, order, count).select("column_name", "position", cut.alias("sample"))
 
 
 def person_name(text: Column) -> Column:
@@ -159,9 +224,7 @@ def correlated_pairs(df: DataFrame, threshold: float = 0.95, least_rows: int = 2
 
 def top_shares(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, top_share): the share of the most frequent among the non-null values of each column."""
-    columns = columns or df.columns
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])).alias("e")).select("e.*").where("v is not null")
-    return long.groupBy("column_name", "v").count().groupBy("column_name").agg((F.max("count") / F.sum("count")).alias("top_share"))
+    return value_stats(df, columns).select("column_name", (F.col("top_count") / F.col("filled")).alias("top_share"))
 
 
 def co_missing_groups(df: DataFrame, threshold: float = 0.8) -> list[list[str]]:

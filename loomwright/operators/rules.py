@@ -19,14 +19,14 @@ PATTERNS = {
     "target": r"(?i)^(label|target|outcome|class|y|status)(_.+)?$",
     "pii": r"(?i)(email|ssn|sin|phone|mobile|address|dob|birth|first_?name|last_?name|full_?name|patient_?name|member_?name|employee_?name|contact_?name|hcp_?name|provider_?name|prescriber_?name|physician_?name|doctor_?name|clinician_?name|mrn|patient_id|insurance|credit_?card|npi)",
     "consent": r"(?i)(consent|authorized|opt_?in|gdpr|hipaa)",
-    "temporary": r"(?i)(_tmp$|_temp$|_v[0-9]+$|_old$|_bak$|test_)",
+    "temporary": r"(?i)(_tmp$|_temp$|_v\d+$|_old$|_bak$|test_)",
     "post_event": r"(?i)(_outcome$|_result$|after_|post_|_resolved|_resolution|_followup|_final)",
     "created": r"(?i)(creat|insert|open|start|register)",
     "updated": r"(?i)(updat|modif|chang|edit|last_)",
     "watermark": r"(?i)(^(id|pk)$|_id$|_seq$|sequence$|batch_id|load_date|etl_|insert(ed)?_(at|date|ts|time)|load(ed)?_(at|date|ts|time)|ingestion_(date|time|ts)|created_(at|date|ts|time)|updated_(at|date|ts|time)|modified_(at|date|ts|time))",
     "snake": r"^[a-z][a-z0-9_]*$",
 }
-CADENCE = r"(?i)(daily|weekly|monthly|hourly|real[- ]?time|streaming|batch|every\s+[0-9]+\s+(hour|minute|day|week)s?|[0-9]+x?\s*/?\s*(day|week|month|hour)|cron|scheduled|nightly|bi-?weekly|quarterly|annual)"
+CADENCE = r"(?i)(daily|weekly|monthly|hourly|real[- ]?time|streaming|batch|every\s+\d+\s+(hour|minute|day|week)s?|\d+x?\s*/?\s*(day|week|month|hour)|cron|scheduled|nightly|bi-?weekly|quarterly|annual)"
 WEIGHTS = {"schema": 10, "quality": 20, "labels": 15, "temporal": 15, "features": 10, "stats": 10, "privacy": 10, "metadata": 5, "ops": 5}
 LENSES = {"schema": ["DQ", "AI"], "quality": ["DQ", "ML"], "labels": ["ML", "AI"], "temporal": ["DQ", "ML", "AI"], "features": ["ML", "AI"], "stats": ["DQ", "ML"], "privacy": ["DQ", "AI"], "metadata": ["DQ", "AI"], "ops": ["DQ", "AI"]}
 
@@ -50,6 +50,7 @@ FACTS = {
     "spread": f"count_if({NUMERIC} AND abs(mean) > 0 AND std > 3 * abs(mean))", "measured": f"count_if({NUMERIC} AND std IS NOT NULL AND mean IS NOT NULL)", "skewed": "count_if(abs(skew) > 3)",
     "pii_names": "count_if({pii})", "consents": "count_if({consent})", "temporary_names": "count_if({temporary})", "quasi": f"count({QUASI})",
     "watermarks": f"count_if({{watermark}} AND (dtype = 'datetime' AND null_pct < 1 OR {NUMERIC} AND null_pct = 0 AND unique_count >= 0.99 * row_count AND row_count > 0))",
+    "texts": "count_if(dtype IN ('string', 'object') AND unique_count > 50)",
     "mark_distinct": f"min_by(unique_count, CASE WHEN {MARK} THEN ordinal END)",
 }
 
@@ -125,16 +126,19 @@ def in_spark(pattern: str) -> str:
     return "column_name rlike '" + pattern.replace("\\", "\\\\") + "'"
 
 
-def facts(profile: DataFrame, measured: dict[str, Column] | None = None) -> DataFrame:
-    """One row for each table_name of the profile: FACTS, and MEASURED where given."""
+def facts(profile: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """One row for each table_name of the profile: FACTS, and MEASURED from rows (table_name, fact, value) where there are any."""
     expressions = facts_sql(in_spark, lambda c: f"cast(unix_timestamp({c}) as double)")
     top = profile.withColumn("__q", F.expr(QUASI.format(pii=in_spark(PATTERNS["pii"]))))
     place = F.row_number().over(Window.partitionBy("table_name").orderBy(F.desc_nulls_last("__q"), "ordinal"))
     # the three widest quasi-identifiers of a table multiply; a profile has a row for each column only
     top = top.withColumn("__p", F.when(place <= 3, F.col("__q")))
     found = top.groupBy("table_name").agg(*[F.expr(e).alias(f) for f, e in expressions.items()], F.coalesce(F.product("__p"), F.lit(0)).alias("quasi_product"))
-    given = {k: (measured or {}).get(k, F.lit(v)) for k, v in MEASURED.items() if k != "quasi_product"}
-    return found.withColumns(given)
+    rest = {k: v for k, v in MEASURED.items() if k != "quasi_product"}
+    if measured is None:
+        return found.withColumns({k: F.lit(v) for k, v in rest.items()})
+    wide = measured.groupBy("table_name").agg(*[F.max(F.when(F.col("fact") == k, F.col("value"))).alias(k) for k in rest])
+    return found.join(wide, "table_name", "left").withColumns({k: F.coalesce(k, F.lit(v)).cast("double") for k, v in rest.items()})
 
 
 def checks(table_facts: DataFrame) -> DataFrame:

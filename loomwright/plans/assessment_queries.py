@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.operators import profile as pf
 from loomwright.operators import rules as rl
 from loomwright.operators import verdicts as vd
-from loomwright.plans.profile_queries import _CHECKS, _SCORES, ASSESSED, POINTS, TIER, WEIGHT, facts, profile_sql, profiled
+from loomwright.plans.profile_queries import _CHECKS, _SCORES, ASSESSED, POINTS, REF, TIER, WEIGHT, facts, profile_sql, source_of
 from loomwright.plans.registry import Registry, table
 
 R = Registry()
@@ -22,7 +20,7 @@ def found(spark, sf_dir):
 
 
 def profiles(spark, sf_dir):
-    return reduce(DataFrame.union, [profiled(spark, sf_dir, t, {"distinct"}) for t in ASSESSED])
+    return pf.table_profiles({t: source_of(spark, sf_dir, t) for t in ASSESSED}, F.lit(REF).cast("timestamp"), {"distinct"})
 
 
 @R.add("R04_reference_exclusion", _CHECKS + " SELECT table_name, CASE WHEN table_name = 'part' OR n < 1000 THEN 'reference' ELSE 'assessed' END AS klass, CASE WHEN table_name = 'part' THEN 'declared lookup' WHEN n < 1000 THEN n || ' rows, below 1000' END AS reason FROM facts")
@@ -67,25 +65,6 @@ def approvals(spark, sf_dir):
     return vd.rescore(found(spark, sf_dir), ["labels_leakage", "privacy_values"], ["privacy_column_names"], ["features_cardinality", "schema_audit"])
 
 
-#: Levels of capabilities of two tables, as a measurement gives them.
-LEVELS = [("orders", c, n) for c, n in {"SEM": 3, "JOIN": 4, "GOV": 3, "AGG": 3, "ACC": 2, "FRS": 4, "SIG": 3, "TMP": 4, "VOL": 3, "LIN": 0, "TXT": 0, "LBL": 0, "LKG": 0, "STA": 2}.items()] + [("part", "SEM", 4), ("part", "GOV", 0), ("part", "TXT", 0)]
-FLOOR_ROWS = ", ".join(f"('{a}', '{c}', {n})" for a, (levels, _) in vd.FLOORS.items() for c, n in levels.items())
-GATE_ROWS = ", ".join(f"('{a}', '{g}')" for a, (_, gates) in vd.FLOORS.items() for g in gates)
-
-
-@R.add("R22_archetype_floors", f"SELECT * FROM (VALUES {FLOOR_ROWS}) v(archetype, capability, floor)")
-def archetype_floors(spark, sf_dir):
-    return vd.floors(spark)
-
-
-@R.add("R21_purpose_verdict", f"""WITH f(archetype, capability, floor) AS (VALUES {FLOOR_ROWS}), g(archetype, rule_id) AS (VALUES {GATE_ROWS}), l(table_name, capability, level) AS (VALUES {", ".join(f"('{t}', '{c}', {n})" for t, c, n in LEVELS)}),
-per AS (SELECT t.table_name, f.archetype, count(*) AS required, count(*) FILTER (level = 0) AS zeros, count(*) FILTER (level < floor) AS gaps FROM (SELECT DISTINCT table_name FROM l) t CROSS JOIN f LEFT JOIN l ON l.table_name = t.table_name AND l.capability = f.capability GROUP BY ALL)
-SELECT table_name, archetype, CASE WHEN zeros > required / 2 THEN 'Purpose Mismatch' WHEN table_name = 'part' AND archetype IN (SELECT archetype FROM g WHERE rule_id = 'privacy_column_names') THEN 'At Risk' WHEN gaps > 0 THEN 'Conditional' ELSE 'Ready' END AS verdict, gaps FROM per""")
-def purpose_verdict(spark, sf_dir):
-    levels = spark.createDataFrame(LEVELS, "table_name string, capability string, level int")
-    return vd.verdicts(levels, spark.createDataFrame([("part", "privacy_column_names"), ("orders", "schema_pk")], "table_name string, rule_id string"))
-
-
 @R.add("R25_annotation", f"WITH p AS {PROFILES} SELECT table_name, column_name, CASE WHEN {named('pii')} THEN 'direct' ELSE 'none' END AS pii_class, CASE WHEN {named('pii')} THEN 0.85 ELSE 0.95 END::DOUBLE AS pii_confidence, {named('target')} AND dtype <> 'datetime' AS is_target, {named('post_event')} AS is_leak FROM p")
 def annotation(spark, sf_dir):
     return vd.annotated(profiles(spark, sf_dir))

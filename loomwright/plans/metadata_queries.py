@@ -1,4 +1,4 @@
-"""Escalated fields, metadata scores, suggestions after a policy's verdict, fallback scores."""
+"""Suggestions after a policy's verdict, fallback scores."""
 
 from __future__ import annotations
 
@@ -6,45 +6,10 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import scores as sc
 from loomwright.operators import quality_rules as qr
-from loomwright.operators import rules as rl
-from loomwright.operators import verdicts as vd
-from loomwright.plans.profile_queries import _SCORES, ASSESSED, TIER, facts
 from loomwright.plans.registry import Registry, table
 
 R = Registry()
 
-#: Fields of four tables: all triggers quiet, all at work, all absent, none there.
-FIELDS = """(VALUES ('quiet', 'B13', 'MEDIUM', 'present', NULL, 0), ('quiet', 'B17', 'LOW', 'present', 'x', 0), ('quiet', 'B7', 'LOW', 'present', 'Minor', 0), ('quiet', 'O5', 'LOW', 'absent', NULL, 0),
-('quiet', 'O3', 'LOW', 'present', ' Full_Refresh ', 0), ('quiet', 'B14', 'LOW', 'present', 'None', 0), ('quiet', 'B20', 'LOW', 'absent', NULL, 0), ('loud', 'B13', 'LOW', 'present', NULL, 3), ('loud', 'B17', 'LOW', 'absent', NULL, 0),
-('loud', 'B21', 'MEDIUM', 'present', 'x', 0), ('loud', 'B7', 'LOW', 'present', ' CRITICAL', 0), ('loud', 'O5', 'LOW', 'present', 'x', 0), ('loud', 'O3', 'LOW', 'present', 'append', 0), ('loud', 'B14', 'LOW', 'present', 'GDPR', 0),
-('loud', 'B20', 'LOW', 'absent', NULL, 0), ('gone', 'B13', 'LOW', 'absent', NULL, 0), ('gone', 'B7', 'LOW', 'absent', NULL, 0), ('gone', 'O3', 'LOW', 'absent', NULL, 0), ('gone', 'B14', 'LOW', 'absent', NULL, 0),
-('gone', 'B21', 'LOW', 'absent', NULL, 0), ('bare', 'B17', 'LOW', 'absent', NULL, 0), ('bare', 'O5', 'LOW', 'absent', NULL, 0), ('bare', 'B20', 'LOW', 'absent', NULL, 0), ('bare', 'B1', 'LOW', 'absent', NULL, 0)) AS f(table_name, field_id, severity, status, value, covered)"""
-
-
-def quiet_sql(field: str, test: str) -> str:
-    return f"EXISTS (SELECT 1 FROM f g WHERE g.table_name = f.table_name AND g.field_id = '{field}' AND g.status = 'present' AND NOT coalesce({test}, false))"
-
-
-@R.add("R13c_escalations", f"""WITH f AS (SELECT * FROM {FIELDS}), e AS (SELECT *, CASE
-WHEN field_id IN ('B17', 'B21') AND NOT {quiet_sql('B13', 'g.covered > 0')} THEN 'ESC-1' WHEN field_id = 'O5' AND NOT {quiet_sql('B7', "lower(trim(g.value)) = 'critical'")} THEN 'ESC-2'
-WHEN field_id = 'O3' AND NOT {quiet_sql('O3', "lower(trim(g.value)) <> 'full_refresh'")} THEN 'ESC-3' WHEN field_id = 'B20' AND NOT {quiet_sql('B14', "lower(trim(g.value)) <> 'none'")} THEN 'ESC-4' END AS escalation FROM f)
-SELECT table_name, field_id, CASE WHEN escalation IS NULL THEN severity WHEN escalation = 'ESC-3' THEN 'MEDIUM' ELSE 'HIGH' END AS effective, escalation FROM e""")
-def escalations(spark, sf_dir):
-    return vd.escalated(spark.sql(f"SELECT * FROM {FIELDS}")).select("table_name", "field_id", "effective", "escalation")
-
-
-QUALITY = {t: 12.5 + 25 * k for k, t in enumerate(ASSESSED) if k}
-QUALITY_SQL = "CASE table_name " + " ".join(f"WHEN '{t}' THEN {q}" for t, q in QUALITY.items()) + " END"
-
-
-@R.add("R14_metadata_retune", _SCORES + f""", retuned AS (SELECT table_name, sum(CASE WHEN dimension = 'metadata' THEN coalesce(round_even({QUALITY_SQL}, 0), score) ELSE score END * weight) / sum(weight) AS mean FROM dims GROUP BY table_name),
-capped AS (SELECT table_name, CASE WHEN blockers > 0 THEN least(round_even(mean, 0), 59) ELSE round_even(mean, 0) END AS score, blockers FROM retuned JOIN blocked USING (table_name))
-SELECT table_name, CAST(score AS DOUBLE) AS score, {TIER} AS tier, CASE WHEN blockers > 0 THEN 'gated' WHEN score >= 80 THEN 'ready' ELSE 'conditional' END AS klass, blockers FROM capped""")
-def metadata_retune(spark, sf_dir):
-    """All assessed tables but the first have a score of their metadata."""
-    return vd.retuned(rl.checks(facts(spark, sf_dir)), spark.createDataFrame(list(QUALITY.items()), "table_name string, quality double"))
-
-
 #: Measured sets, one a customer: every step of every ladder occurs; each ninth has no metric.
 MEASURED = ", ".join(f"CASE WHEN c_custkey % 9 > 0 THEN CAST(c_custkey * {step} % 101 AS DOUBLE) END AS {metric}" for metric, step in zip(qr.METRICS, (37, 41, 43, 47, 53, 59), strict=True))
 MEASURED += ", CASE WHEN c_custkey % 7 = 0 THEN CAST(75 AS DOUBLE) END AS min_trust, CAST(NULL AS DOUBLE) AS min_secure, CASE WHEN c_custkey % 5 = 0 THEN CAST(95 AS DOUBLE) END AS min_metadata, CAST(NULL AS DOUBLE) AS min_kb_ready"

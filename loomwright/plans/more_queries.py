@@ -212,15 +212,4 @@ def trust_check(spark, sf_dir):
     return table(spark, sf_dir, "events").where("value < 25").select("event_id", F.lit("HIGH").alias("severity"))
 
 
-@R.add("R18_reconcile", """WITH d(column_name, declared, nullable) AS (VALUES ('C_CUSTKEY', 'int', false), ('c_name', 'int', true), ('C_Missing', 'string', true)), o(column_name, dtype) AS (VALUES ('c_custkey', 'int'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'float'), ('c_mktsegment', 'string'))
-SELECT d.column_name, CASE WHEN o.dtype IS NULL THEN 'could_not_verify' WHEN o.dtype = declared THEN 'confirmed' ELSE 'contradicted' END AS verdict FROM d LEFT JOIN o ON lower(d.column_name) = lower(o.column_name)""")
-def reconcile(spark, sf_dir):
-    from loomwright.operators.profile import column_profile
-
-    declared = spark.createDataFrame([("C_CUSTKEY", "int"), ("c_name", "int"), ("C_Missing", "string")], "column_name string, declared string")
-    observed = column_profile(table(spark, sf_dir, "customer"), only=set()).select(F.lower("column_name").alias("k"), "dtype")
-    verdict = F.when(F.col("dtype").isNull(), "could_not_verify").when(F.col("dtype") == F.col("declared"), "confirmed").otherwise("contradicted")
-    return declared.join(observed, F.lower("column_name") == F.col("k"), "left").select("column_name", verdict.alias("verdict"))
-
-
 QUERIES, ORACLE = R.queries, R.oracle

@@ -169,22 +169,22 @@ DICTIONARY = [
     ("orders", "o_orderkey", "key of an order", "int", "denied", "on request"), ("labelled", "doc_id", None, "int", None, "every 2 hours"),
 ]
 DICTIONARY_SCHEMA = "table_name string, column_name string, definition string, data_type string, consent string, refresh string"
-_FACTS: dict[tuple[str, str], tuple[list, object]] = {}
 
 
 def source_of(spark, sf_dir, name):
     return table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label", "toxic AS review_result") if name == "labelled" else table(spark, sf_dir, name)
 
 
+#: Parts of a profile that facts are made of.
+FACT_PARTS = {"distinct", "moments", "surrogates", "ranges"}
+
+
 def facts(spark, sf_dir):
-    """A row of facts for each assessed table, measured once in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FACTS:
-        words = spark.createDataFrame(DICTIONARY, DICTIONARY_SCHEMA)
-        given = {t: ms.measured(source_of(spark, sf_dir, t), [next(iter(COLUMNS[t]))], words.where(F.col("table_name") == t)) for t in ASSESSED}
-        found = rl.facts(reduce(DataFrame.union, [profiled(spark, sf_dir, t) for t in ASSESSED]), ms.as_columns(given))
-        _FACTS[key] = found.collect(), found.schema
-    return spark.createDataFrame(*_FACTS[key])
+    """A row of facts for each assessed table: a lazy frame over the tables themselves."""
+    words = spark.createDataFrame(DICTIONARY, DICTIONARY_SCHEMA)
+    tables = {t: source_of(spark, sf_dir, t) for t in ASSESSED}
+    given = ms.measured(tables, {t: [next(iter(COLUMNS[t]))] for t in ASSESSED}).union(ms.dictionary_facts(words, {t: COLUMNS[t] for t in ASSESSED}))
+    return rl.facts(pf.table_profiles(tables, F.lit(REF).cast("timestamp"), FACT_PARTS), given)
 
 
 V_BINS = """(SELECT CASE WHEN r > 1 AND k > 1 THEN round(sqrt(greatest(0, phi2 - (r - 1) * (k - 1) / (m - 1)) / nullif(least(r - (r - 1) * (r - 1) / (m - 1), k - (k - 1) * (k - 1) / (m - 1)) - 1, 0)), 3) END

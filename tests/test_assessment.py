@@ -19,15 +19,17 @@ def patients(spark):
 
 def test_measured_facts(spark, patients):
     words = [("VISIT", "number of the visit", "int", "approved", "nightly"), ("site", " ", "float", None, None), ("gone", "x", "int", "denied", None)]
-    dictionary = spark.createDataFrame(words, "column_name string, definition string, data_type string, consent string, refresh string")
-    got = ms.measured(patients, ["visit"], dictionary)
+    dictionary = spark.createDataFrame([("patients", *w) for w in words], "table_name string, column_name string, definition string, data_type string, consent string, refresh string")
+    kinds = {"patients": {f.name: pf.dtype_of(f.dataType) for f in patients.schema}}
+    rows = ms.measured({"patients": patients}, {"patients": ["visit"]}).union(ms.dictionary_facts(dictionary, kinds))
+    got = {r.fact: r.value for r in rows.collect()}
     assert got["dup_rows"] == 1 and got["co_missing"] == 1 and got["pii_values"] == 1
     assert got["near_constant"] == 3  # site, b and notes
     assert got["mismatched"] == 1  # code holds numbers
     assert got["pearson_pairs"] == 6  # visit, a, weight and doubled rise together
     assert (got["entries"], got["matched"], got["documented"], got["dictionary_mismatches"], got["approved"], got["denied"], got["cadence_known"]) == (3, 2, 1, 1, 1, 1, 1)
     assert got["coverage"] == 25.0
-    facts = rl.facts(pf.column_profile(patients).withColumn("table_name", F.lit("patients")), ms.as_columns({"patients": got}))
+    facts = rl.facts(pf.column_profile(patients).withColumn("table_name", F.lit("patients")), rows)
     status = {r.rule_id: r.status for r in rl.checks(facts).collect()}
     expected = {
         "quality_duplicates": "fail", "quality_type_consistency": "warn", "features_near_constant": "warn", "features_type_mismatch": "warn", "features_missingness_pattern": "warn", "features_mixed_correlation": "warn",
@@ -39,9 +41,9 @@ def test_measured_facts(spark, patients):
 
 def test_clean_table_passes_what_it_should(spark):
     frame = spark.createDataFrame([(i, "abcdefgh"[i % 8], (i * 37) % 101 / 7.0) for i in range(1200)], "row_key int, kind string, amount double")
-    got = ms.measured(frame, ["row_key"])
-    assert {k: v for k, v in got.items() if v} == {}
-    facts = rl.facts(pf.column_profile(frame).withColumn("table_name", F.lit("t")), ms.as_columns({"t": got}))
+    rows = ms.measured({"t": frame}, {"t": ["row_key"]})
+    assert [r for r in rows.collect() if r.value] == []
+    facts = rl.facts(pf.column_profile(frame).withColumn("table_name", F.lit("t")), rows)
     status = {r.rule_id: r.status for r in rl.checks(facts).collect()}
     for rule in ("quality_duplicates", "features_near_constant", "features_type_mismatch", "features_missingness_pattern", "features_mixed_correlation", "stats_multicollinearity", "privacy_values", "schema_pk", "quality_rowcount"):
         assert status[rule] == "pass", rule
