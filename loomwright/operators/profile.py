@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.operators.lineage import held
+from loomwright.operators.selection import exact_percentiles
 from pyspark.sql import types as T
 
 # Fixed values of the profiler.
@@ -25,6 +26,7 @@ ORG_WORDS = [
     "association", "center", "centre", "clinic", "company", "corp", "corporation", "foundation", "group", "health", "hospital", "inc",
     "institute", "llc", "ltd", "network", "org", "pharma", "services", "system", "systems", "team", "university",
 ]
+QUARTILES = [0.25, 0.5, 0.75]
 DATE_HINTS = ["date", "time", "_at", "_on", "_dt", "_ts", "timestamp"]
 
 SCHEMA = (
@@ -122,6 +124,17 @@ def first_values(df: DataFrame, columns: list[str], order: list[str], count: int
     return long.withColumn("position", number).where(F.col("position") <= count).select("column_name", "position", "value")
 
 
+def with_quartiles(found: DataFrame, df: DataFrame) -> DataFrame:
+    """The profile with the exact quartiles of numeric columns: two passes over their values, no sort."""
+    kinds = {f.name: dtype_of(f.dataType) for f in df.schema}
+    numbers = [F.struct(F.lit(c).alias("column_name"), present(c, k).cast("double").alias("x")) for c, k in kinds.items() if k in ("int", "float")]
+    if not numbers:
+        return found
+    each = exact_percentiles(df.select(F.inline(F.array(*numbers))), ["column_name"], "x", QUARTILES)
+    wide = each.groupBy("column_name").agg(*[F.max(F.when(F.col("probability") == q, F.col("x"))).alias(f"__{n}") for n, q in zip(("q25", "q50", "q75"), QUARTILES, strict=True)])
+    return found.join(wide, "column_name", "left").select(*[F.col(f"__{c}").alias(c) if c in ("q25", "q50", "q75") else F.col(c) for c in found.columns])
+
+
 def row_keys(df: DataFrame) -> DataFrame:
     """(row): a 256-bit hash of each row; nulls are equal."""
     return df.select(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256).alias("row"))
@@ -152,9 +165,8 @@ def column_profile(df: DataFrame, ref: Column | None = None, approximate: bool =
                 aggregates += [f(x).alias(at + s) for s, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("g1", F.skewness), ("g2", F.kurtosis))]
             if moments:
                 aggregates.append((F.count(x) - F.count(finite)).alias(at + "i"))
-            quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approximate else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            if quarters:
-                aggregates.append(quartiles.alias(at + "q"))
+            if quarters and approximate:
+                aggregates.append(F.percentile_approx(x, QUARTILES, 10000).alias(at + "q"))
             if marked:
                 aggregates.append(F.count_if(v.isin(SURROGATE_NUMBERS)).alias(at + "s"))
         elif dated:
@@ -168,12 +180,14 @@ def column_profile(df: DataFrame, ref: Column | None = None, approximate: bool =
             F.lit(k).alias("ordinal"), F.lit(name).alias("column_name"), F.lit(dtype).alias("dtype"), F.col("n").alias("row_count"), (F.col("n") - n).alias("null_count"),
             F.when(F.col("n") > 0, F.round((F.col("n") - n) * 100.0 / F.col("n"), 2)).otherwise(0.0).alias("null_pct"), (F.col(at + "u") if want("distinct") and approximate else null("long")).alias("unique_count"),
             stat("mean").alias("mean"), (F.when(n == 1, 0.0).otherwise(F.col(at + "std")) if moments else null("double")).alias("std"), stat("min").alias("min_value"), stat("max").alias("max_value"),
-            *[(F.col(at + "q")[i].cast("double") if quarters else null("double")).alias(q) for i, q in enumerate(("q25", "q50", "q75"))],
+            *[(F.col(at + "q")[i].cast("double") if quarters and approximate else null("double")).alias(q) for i, q in enumerate(("q25", "q50", "q75"))],
             (corrected_skew(n, F.col(at + "g1")) if moments else null("double")).alias("skew"), (corrected_kurtosis(n, F.col(at + "g2")) if moments else null("double")).alias("kurtosis"),
             (F.col(at + "min") if dated else null("timestamp")).alias("earliest"), (F.col(at + "max") if dated else null("timestamp")).alias("latest"), age.alias("days_since_latest"),
             (F.col(at + "s") if marked else F.lit(0).cast("long")).alias("surrogate_null_count"), (F.col(at + "i") if moments else F.lit(0).cast("long")).alias("infinite_count"),
         ))
     found = df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    if want("quartiles") and not approximate:
+        found = with_quartiles(found, df)
     if not want("distinct") or approximate:
         return found
     exact = value_stats(df).select("column_name", F.col("unique_count").alias("__unique"))

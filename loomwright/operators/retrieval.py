@@ -12,6 +12,23 @@ from pyspark.sql import functions as F
 QUERIES, POINTS = 4096, 16_384
 
 
+def best_of_blocks(group: pa.Table, k: int, threshold: float) -> pa.Table:
+    """(query_id, point_id, score): the k best points of a block for each of its queries, of rows (id, v, asks)."""
+    ids, asks = np.asarray(group.column("id")), group.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
+    v = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = v / np.where(length > 0, length, 1)
+    targets, rows = ids[~asks], unit[~asks]
+    out: list[tuple[np.ndarray, ...]] = []
+    for q, x in zip(ids[asks], unit[asks], strict=True) if len(rows) else ():
+        score = rows @ x
+        at = np.flatnonzero(score >= max(threshold, np.partition(score, -k)[-k] if len(score) > k else -np.inf))
+        at = at[np.lexsort((targets[at], -score[at]))[:k]]
+        out.append((np.full(len(at), q), targets[at], score[at]))
+    found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table(dict(zip(("query_id", "point_id", "score"), found, strict=True)))
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """(query_id, rank, point_id, score) by cosine, ties to smaller ids; a vector of length zero scores 0.
 
@@ -27,21 +44,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, threshold: float = 0.
     own = lambda name, count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(name)
     dealt = some.select(own("a", m), spread("b", n), "id", "v", "asks").union(every.select(spread("a", m), own("b", n), "id", "v", "asks"))
 
-    def best(group: pa.Table) -> pa.Table:
-        ids, asks = np.asarray(group.column("id")), group.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
-        v = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
-        length = np.linalg.norm(v, axis=1, keepdims=True)
-        unit = v / np.where(length > 0, length, 1)
-        targets, rows = ids[~asks], unit[~asks]
-        out: list[tuple[np.ndarray, ...]] = []
-        for q, x in zip(ids[asks], unit[asks], strict=True) if len(rows) else ():
-            score = rows @ x
-            at = np.flatnonzero(score >= max(threshold, np.partition(score, -k)[-k] if len(score) > k else -np.inf))
-            at = at[np.lexsort((targets[at], -score[at]))[:k]]
-            out.append((np.full(len(at), q), targets[at], score[at]))
-        found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "point_id", "score"), found, strict=True)))
-
+    best = lambda group: best_of_blocks(group, k, threshold)
     pairs = dealt.groupBy("a", "b", F.size("v").alias("width")).applyInArrow(best, "query_id long, point_id long, score double")
     whole = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     return pairs.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "score")

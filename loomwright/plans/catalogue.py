@@ -1,6 +1,6 @@
 """Every query of the library's core, by the inventory's ids, with the DuckDB SQL that checks it."""
 
-from loomwright.plans import assessment_queries, chunk_queries, governance_queries, metadata_queries, more_queries, profile_queries, register_queries, relational_queries, text_queries
+from loomwright.plans import assessment_queries, chunk_queries, document_queries, governance_queries, metadata_queries, more_queries, profile_queries, register_queries, relational_queries, text_queries
 
 
 def counted(sql: str) -> str:
@@ -16,6 +16,6 @@ def counted(sql: str) -> str:
     return out + sql[at:]
 
 
-MODULES = (profile_queries, text_queries, relational_queries, governance_queries, metadata_queries, more_queries, assessment_queries, chunk_queries, register_queries)
+MODULES = (profile_queries, text_queries, relational_queries, governance_queries, metadata_queries, more_queries, assessment_queries, chunk_queries, document_queries, register_queries)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE: dict = {name: counted(sql) for module in MODULES for name, sql in module.ORACLE.items()}

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.coherence import coherence_by_embeddings
+from loomwright.operators.selection import exact_percentiles
 from loomwright.functions import scores as sc
 from loomwright.functions import text as tx
 from loomwright.operators import lineage as ln
@@ -30,6 +32,13 @@ def context_quality(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", sc.context_quality(F.col("text")).alias("score"))
 
 
+@R.add("C21_embedding_coherence")
+def embedding_coherence(spark, sf_dir):
+    """By the hash encoder; every third document counts leniently. The tests hold a plain version against it."""
+    limit = F.when(F.col("doc_id") % 3 == 0, 0.5).otherwise(0.6)
+    return docs(spark, sf_dir).select("doc_id", coherence_by_embeddings(tx.sentences(F.col("text")), limit).alias("c")).select("doc_id", "c.*")
+
+
 @R.add("C22_coherence")
 def coherence(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.round(sc.coherence(tx.sentences(F.col("text")), F.col("text")), 4).alias("score"))
@@ -95,8 +104,7 @@ def trust_report(spark, sf_dir):
 @R.add("G06_quality_summary", "SELECT round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most, list_extract(list_sort(list(value)), CAST(count(*) // 2 + 1 AS BIGINT)) AS upper_median, count_if(value >= 80) AS high, count_if(value >= 60 AND value < 80) AS good, count_if(value >= 40 AND value < 60) AS fair, count_if(value < 40) AS poor FROM events")
 def quality_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    half = e.where("value is not null").count() // 2
-    upper = e.where("value is not null").select("value").orderBy("value").offset(half).limit(1).select(F.col("value").alias("upper_median"))
+    upper = exact_percentiles(e, [], "value", [0.5], upper=True).select(F.col("value").alias("upper_median"))
     band = lambda lo, hi: F.count_if((F.col("value") >= lo) & (F.col("value") < hi))
     out = e.agg(F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("value") >= 80).alias("high"), band(60, 80).alias("good"), band(40, 60).alias("fair"), F.count_if(F.col("value") < 40).alias("poor"))
     return out.join(F.broadcast(upper))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.operators import measures as ms
+from loomwright.operators import phik as pk
 from loomwright.operators import profile as pf
 from loomwright.operators import rules as rl
 from loomwright.plans.registry import Registry, table
@@ -349,4 +350,11 @@ def associated_pairs(spark, sf_dir):
     return ms.associated_pairs(table(spark, sf_dir, "part").selectExpr("p_size", "p_size * 2 + p_partkey % 2 AS doubled", "p_brand", "substr(p_brand, 1, 7) AS maker", "p_retailprice"))
 
 
+@R.add("P21_phi_k")
+def phi_k(spark, sf_dir):
+    """Inverting a normal distribution has no SQL; the tests integrate it by other means."""
+    part = table(spark, sf_dir, "part").selectExpr("p_size", "p_size * 2 + p_partkey % 2 AS doubled", "p_brand", "substr(p_brand, 1, 7) AS maker", "p_retailprice")
+    return pk.phi_k_pairs(part, 0.0)
+
+
 QUERIES, ORACLE = R.queries, R.oracle

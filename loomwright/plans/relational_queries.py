@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomwright.operators import vector_index as vi
+from loomwright.operators.selection import exact_percentiles
+from loomwright.sources.folders import shared_folder
 from loomwright.functions import scores as sc
 from loomwright.functions import text as tx
 from loomwright.operators import lineage as ln
@@ -172,6 +175,32 @@ def knn(spark, sf_dir):
     return searched(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+def indexed(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("v"), "label")
+    return vi.build_index(points, shared_folder(spark)), table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@R.add("K01_ann_search")
+def ann_search(spark, sf_dir):
+    """The ten nearest by a stored index, half of whose lists each query probes; recall is measured in the tests."""
+    index, queries = indexed(spark, sf_dir)
+    return vi.search(index, queries, 10, -(-len(index.centroids) // 2))
+
+
+@R.add("K01_all_lists", f"WITH {RANKED} SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, round(score, 6) AS score FROM ranked WHERE rank <= 10")
+def all_lists(spark, sf_dir):
+    """With all lists probed the index answers exactly."""
+    index, queries = indexed(spark, sf_dir)
+    return vi.search(index, queries, 10, len(index.centroids)).withColumn("score", F.round("score", 6))
+
+
+@R.add("K01_filtered", f"WITH {RANKED.replace('WHERE q.vec_id % 100 = 0', 'WHERE q.vec_id % 100 = 0 AND p.label < 5')} SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, round(score, 6) AS score FROM ranked WHERE rank <= 5 AND score >= 0.2")
+def filtered_search(spark, sf_dir):
+    """A filter on the points' labels inside the scan of the lists, and a threshold."""
+    index, queries = indexed(spark, sf_dir)
+    return vi.search(index, queries, 5, len(index.centroids), "label < 5", 0.2).withColumn("score", F.round("score", 6))
+
+
 @R.add("K10_self_retrieval", f"WITH {RANKED}, h AS (SELECT rank FROM ranked WHERE query_id = point_id) SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(1.0 / rank), 6) AS mrr, round(avg(1.0 / log2(1 + rank)), 6) AS ndcg FROM h")
 def self_retrieval(spark, sf_dir):
     expected = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("point_id"))
@@ -184,8 +213,9 @@ SELECT count(*) AS vectors, count_if(n > 0) AS nonzero, count_if(0.6745 * dev /
 def vector_quality(spark, sf_dir):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     n = table(spark, sf_dir, "embeddings").select(norm.alias("n"))
-    d = n.join(F.broadcast(n.agg(F.median("n").alias("med")))).withColumn("dev", F.abs(F.col("n") - F.col("med")))
-    out = d.join(F.broadcast(d.agg(F.median("dev").alias("mad"))))
+    median = lambda rows, name, as_: exact_percentiles(rows, [], name, [0.5]).select(F.col(name).alias(as_))
+    d = n.join(F.broadcast(median(n, "n", "med"))).withColumn("dev", F.abs(F.col("n") - F.col("med")))
+    out = d.join(F.broadcast(median(d, "dev", "mad")))
     return out.agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("n") > 0).alias("nonzero"), F.count_if(0.6745 * F.col("dev") / F.col("mad") > 3.5).alias("outliers"), F.round(F.stddev_pop("n") / F.avg("n"), 6).alias("variation"))
 
 
