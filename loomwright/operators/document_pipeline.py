@@ -133,7 +133,7 @@ def resolved_settings(docs: DataFrame, text: str = "text") -> DataFrame:
 def cleaned_pages(text: Column, enhance: Column, correct: Column) -> Column:
     """array<struct<page, body>> of a raw text: unwrapped, masked, normalised and put right; pages without content are left out."""
     bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-    tidy = lambda body: tx.respaced(tx.normalised(body, NORMALISERS))
+    tidy = lambda body: bound(tx.normalised(body, NORMALISERS), lambda t: tx.respaced(t))
     fenced = lambda pages: F.array_join(F.transform(pages, lambda p: F.concat(F.lit("\n=== PAGE "), p["page"].cast("string"), F.lit(" ===\n"), tidy(p["body"]))), "\n")
     right = lambda t: bound(F.when(enhance, tx.enhanced(t)).otherwise(t), lambda u: F.when(correct, tx.corrected(u)).otherwise(u))
     whole = bound(tx.pages(tx.redact_pii(tx.unwrapped(text))), fenced)
@@ -146,10 +146,12 @@ def sections_of(docs: DataFrame) -> DataFrame:
     A null text, or one that is blank after cleaning, has no rows.
     """
     flags = [F.coalesce(f, F.lit(False)) for f in ("enhance", "correct")]
-    pages = docs.where("text is not null").withColumn("__pages", cleaned_pages(F.col("text"), *flags)).where(F.size("__pages") > 0)
+    # Outer explodes: a filter on the arrays would be pushed below and compute them a second time.
+    pages = docs.where("text is not null").withColumn("__pages", cleaned_pages(F.col("text"), *flags))
     whole = F.array_join(F.transform("__pages", lambda p: p["body"]), "\n")
     known = resolved_settings(pages.withColumn("__whole", whole), "__whole")
-    paged = known.select("doc_id", "stem", "settings", F.explode("__pages").alias("p")).select("doc_id", "stem", "settings", "p.page", F.posexplode(tx.sections(F.col("p.body"))).alias("section_no", "s"))
+    paged = known.select("doc_id", "stem", "settings", F.explode_outer("__pages").alias("p")).where("p is not null")
+    paged = paged.select("doc_id", "stem", "settings", "p.page", F.posexplode_outer(tx.sections(F.col("p.body"))).alias("section_no", "s"))
     return paged.where(tx.stripped(F.col("s.body")) != "").select("doc_id", "stem", "settings", "page", "section_no", F.col("s.title").alias("title"), F.col("s.body").alias("body"))
 
 

@@ -150,7 +150,7 @@ def associated_pairs(df: DataFrame, threshold: float = ASSOCIATED) -> DataFrame:
 def associations(pairs: DataFrame, *key: str) -> DataFrame:
     """(*key, column_a, column_b, v) of pair_values: a pair's contingency table is one key of one shuffle, of few cells."""
     pair = [*key, "column_a", "column_b"]
-    cells = pairs.groupBy(*pair, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")).repartition(*pair)
+    cells = pairs.groupBy(*pair, "x", "y").agg(F.sum("n").cast("double").alias("n")).repartition(*pair)
     total = lambda *more: F.sum("n").over(Window.partitionBy(*pair, *more))
     met = cells.withColumns({"nx": total("x"), "ny": total("y"), "all": total()})
     stats = met.groupBy(*pair).agg((F.sum(F.col("n") * F.col("n") / (F.col("nx") * F.col("ny"))) - 1).alias("phi2"), F.size(F.collect_set("x")).alias("r"), F.size(F.collect_set("y")).alias("c"), F.max("all").alias("m"))
@@ -161,29 +161,33 @@ def associations(pairs: DataFrame, *key: str) -> DataFrame:
 
 
 def pair_values(df: DataFrame, bins: int = 10, most: int = 50) -> DataFrame:
-    """(column_a, column_b, x, y): the values of all pairs of columns in every row, as cells of contingency tables.
+    """(column_a, column_b, x, y, n): the cells of the contingency tables of all pairs of columns, a cell in several rows.
 
     Numbers with more than `bins` values fall into that many equal bins from their least to their largest; another column
     with more than `most` values takes no part, as all its cells would hold one row. Ranges and numbers of values are one
-    row, a scalar subquery of the scan.
+    row each, scalar subqueries of the scan.
     """
     kinds = {f.name: pf.dtype_of(f.dataType) for f in df.schema}
     names = [c for c, k in kinds.items() if k in ("int", "float", "string", "bool")]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     if not pairs:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, x string, y string")
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, x string, y string, n long")
     number = {c for c in names if kinds[c] in ("int", "float")}
-    about = [F.approx_count_distinct(F.col(f"`{c}`"), 0.01).alias(f"u{i}") for i, c in enumerate(names)]
-    about += [f(F.col(f"`{c}`").cast("double")).alias(f"{s}{i}") for i, c in enumerate(names) if c in number for s, f in (("lo", F.min), ("hi", F.max))]
-    row = df.agg(*about).select(F.struct("*").alias("about")).scalar()
+    counts = [F.coalesce(F.max(F.when(F.col("column_name") == c, F.col("unique_count"))), F.lit(0)).alias(f"u{i}") for i, c in enumerate(names)]
+    ends = [f(F.col(f"`{c}`").cast("double")).alias(f"{s}{i}") for i, c in enumerate(names) if c in number for s, f in (("lo", F.min), ("hi", F.max))]
+    known = pf.value_stats(df, names).agg(*counts).select(F.struct("*").alias("known")).scalar()
+    ranges = df.agg(*ends, F.count(F.lit(1)).alias("n")).select(F.struct("*").alias("ranges")).scalar()
     values = {}
     for i, c in enumerate(names):
-        v, u = F.col(f"`{c}`"), F.col("__about")[f"u{i}"]
+        v, u = F.col(f"`{c}`"), F.col("__known")[f"u{i}"]
         plain = F.when(u <= (bins if c in number else most), v.cast("string"))
         if c in number:
-            lo, hi = F.col("__about")[f"lo{i}"], F.col("__about")[f"hi{i}"]
+            lo, hi = F.col("__ranges")[f"lo{i}"], F.col("__ranges")[f"hi{i}"]
             width = (hi - lo) / bins
             plain = F.when(u > bins, F.least(F.floor((v.cast("double") - lo) / F.when(width > 0, width)), F.lit(bins - 1)).cast("string")).otherwise(plain)
         values[c] = plain
-    every = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), values[a].alias("x"), values[b].alias("y")) for a, b in pairs])
-    return df.withColumn("__about", row).select(F.inline(every)).where("x is not null and y is not null")
+    place = {c: f"v{i}" for i, c in enumerate(names)}
+    every = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(place[a]).alias("x"), F.col(place[b]).alias("y")) for a, b in pairs])
+    # Rows that agree in all binned values are counted first: pairs are made of few rows.
+    binned = df.withColumns({"__known": known, "__ranges": ranges}).select(*[values[c].alias(place[c]) for c in names]).groupBy(*place.values()).agg(F.count(F.lit(1)).alias("n"))
+    return binned.select("n", F.inline(every)).where("x is not null and y is not null").select("column_a", "column_b", "x", "y", "n")

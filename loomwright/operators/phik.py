@@ -73,7 +73,7 @@ def phi_k_pairs(df: DataFrame, threshold: float = 0.80, bins: int = 10, most: in
     Columns are binned as for Cramer's V; one with a single value has no correlation. A pair's group holds the cells of its
     contingency table, most * most at most.
     """
-    cells = pair_values(df, bins, most).groupBy("column_a", "column_b", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    cells = pair_values(df, bins, most).groupBy("column_a", "column_b", "x", "y").agg(F.sum("n").cast("double").alias("n"))
 
     def solve(group: pa.Table) -> pa.Table:
         ranks = [np.unique(np.array(group.column(c).to_pylist(), object).astype(str), return_inverse=True) for c in ("x", "y")]
