@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomwright.operators import version_store as vs
+from loomwright.sources.folders import shared_folder
 from loomwright.operators import quality_rules as qr
 from loomwright.plans.registry import Registry, table
 
@@ -59,6 +61,44 @@ def data_hash(spark, sf_dir):
     return qr.content_hash(table(spark, sf_dir, "documents"), "doc_id")
 
 
+#: Three batches over the orders of a customer, numbered by date: all are created; those of status F are archived, the first
+#: deprecated; every fifth customer goes back to the second, every seventh to one that is not there.
+NUMBERED = "SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders"
+
+
+def filled_store(spark, sf_dir):
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    numbered = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("entity_id"), "o_custkey", F.col("o_orderkey").alias("place"), "o_orderstatus", F.row_number().over(order).alias("version_number"))
+    rows = lambda df, action: df.select("place", "entity_id", F.lit(action).alias("action"), F.col("version_number").cast("long").alias("version_number"), F.concat_ws("/", "place", "o_orderstatus").alias("data"))
+    store = vs.VersionStore(spark, shared_folder(spark), buckets=8)
+    # places of a batch are numbered as the versions are to be
+    store.append(rows(numbered, "create").withColumn("place", F.col("version_number")))
+    store.append(rows(numbered.where("o_orderstatus = 'F'"), "archive").union(rows(numbered.where("version_number = 1"), "deprecate").withColumn("place", -F.col("place"))))
+    first = numbered.where("version_number = 1")
+    back = rows(first.where("o_custkey % 5 = 0"), "rollback").withColumn("version_number", F.lit(2).cast("long"))
+    return store, store.append(back.union(rows(first.where("o_custkey % 7 = 0"), "rollback").withColumns({"version_number": F.lit(999).cast("long"), "place": -F.col("place")})))
+
+
+STATES = f"""WITH n AS ({NUMBERED}), c AS (SELECT o_custkey, max(n) AS newest FROM n GROUP BY o_custkey),
+s AS (SELECT CAST(o_custkey AS VARCHAR) AS entity_id, n AS version_number, CASE WHEN o_custkey % 5 = 0 AND n = 2 THEN 'rolled_back' WHEN o_orderstatus = 'F' THEN 'archived' WHEN n = 1 THEN 'deprecated' ELSE 'active' END AS status, o_orderkey || '/' || o_orderstatus AS data, NULL::BIGINT AS rolled_back_from FROM n
+UNION ALL SELECT CAST(n.o_custkey AS VARCHAR), newest + 1, 'active', o_orderkey || '/' || o_orderstatus, 2 FROM n JOIN c USING (o_custkey) WHERE n.n = 2 AND n.o_custkey % 5 = 0)"""
+
+
+@R.add("V18_version_states", STATES + " SELECT entity_id, version_number, status, sha256(data) AS checksum, rolled_back_from FROM s")
+def version_states(spark, sf_dir):
+    return filled_store(spark, sf_dir)[0].snapshot().select("entity_id", "version_number", "status", "checksum", "rolled_back_from")
+
+
+@R.add("V18_refused", f"WITH n AS ({NUMBERED}), c AS (SELECT o_custkey, max(n) AS newest FROM n GROUP BY o_custkey) SELECT CAST(o_custkey AS VARCHAR) AS entity_id, unnest(CASE WHEN o_custkey % 5 = 0 AND newest < 2 AND o_custkey % 7 = 0 THEN [2, 999] WHEN o_custkey % 5 = 0 AND newest < 2 THEN [2] ELSE [999] END)::BIGINT AS version_number, 'no such version' AS reason FROM c WHERE o_custkey % 5 = 0 AND newest < 2 OR o_custkey % 7 = 0")
+def refused_transitions(spark, sf_dir):
+    return filled_store(spark, sf_dir)[1].select("entity_id", "version_number", "reason")
+
+
+@R.add("G25_version_counts", STATES + " SELECT entity_id, count(*) AS total, count_if(status = 'active') AS active, count_if(status = 'deprecated') AS deprecated, count_if(status = 'archived') AS archived, count_if(status = 'rolled_back') AS rolled_back, CAST(sum(strlen(data)) AS BIGINT) AS bytes, max(version_number) AS latest FROM s GROUP BY entity_id")
+def versions_by_entity(spark, sf_dir):
+    return vs.version_statistics(filled_store(spark, sf_dir)[0].states())
+
+
 @R.add("V18_latest_versions", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 def latest_versions(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
