@@ -278,16 +278,19 @@ def conflict_hints(spark, sf_dir):
     return conflicts(pieces, "source")
 
 
-RULES = "(VALUES (1, '2024-01-05', 'active', 'gdpr'), (2, '2024-02-01', 'draft', 'gdpr'), (3, '2023-02-01', 'active', 'sox'), (4, '2024-03-01', 'active', 'gdpr')) AS r(rule_id, created, status, tag)"
-BROKEN = "(VALUES (1, '2024-01-09'), (3, '2024-01-09'), (9, '2024-01-09'), (1, '2022-01-09'), (4, '2024-12-31')) AS v(rule_id, created)"
+#: Parts stand for rules, and the items shipped of a part for its violations.
+CREATED = "CASE WHEN p_partkey % 3 = 0 THEN '1997' ELSE '1998' END || '-' || lpad('' || (1 + p_partkey % 12), 2, '0') || '-05'"
+RULES = f"(SELECT p_partkey AS rule_id, {CREATED} AS created, CASE WHEN p_size > 20 THEN 'active' ELSE 'draft' END AS status, substr(p_brand, 1, 7) AS tag FROM part)"
+BROKEN = "(SELECT l_partkey AS rule_id, strftime(l_shipdate, '%Y-%m-%d') AS created FROM lineitem WHERE l_quantity > 45)"
 
 
 @R.add("G17_compliance_report", f"""
-SELECT count(*) AS total_rules, count_if(status = 'active') AS active_rules, (SELECT count(*) FROM {BROKEN} WHERE created BETWEEN '2024-01-01' AND '2024-12-31' AND rule_id IN (SELECT rule_id FROM {RULES})) AS violations,
-  round(100.0::DOUBLE * count_if(status = 'active') / count(*), 6) AS score FROM {RULES} WHERE tag = 'gdpr' AND created BETWEEN '2024-01-01' AND '2024-12-31'""")
+SELECT count(*) AS total_rules, count_if(status = 'active') AS active_rules, (SELECT count(*) FROM {BROKEN} WHERE created BETWEEN '1998-01-01' AND '1998-12-31' AND rule_id IN (SELECT rule_id FROM {RULES})) AS violations,
+  round(100.0::DOUBLE * count_if(status = 'active') / count(*), 6) AS score FROM {RULES} WHERE tag = 'Brand#1' AND created BETWEEN '1998-01-01' AND '1998-12-31'""")
 def compliance_report(spark, sf_dir):
-    rules, broken = spark.sql(f"SELECT rule_id, created, status, array(tag) AS tags FROM {RULES}"), spark.sql(f"SELECT * FROM {BROKEN}")
-    return compliance(rules, broken, "2024-01-01", "2024-12-31", "gdpr").withColumn("score", F.round("score", 6))
+    rules = table(spark, sf_dir, "part").selectExpr("p_partkey AS rule_id", f"{CREATED} AS created", "CASE WHEN p_size > 20 THEN 'active' ELSE 'draft' END AS status", "array(substr(p_brand, 1, 7)) AS tags")
+    broken = table(spark, sf_dir, "lineitem").where("l_quantity > 45").selectExpr("l_partkey AS rule_id", "date_format(l_shipdate, 'yyyy-MM-dd') AS created")
+    return compliance(rules, broken, "1998-01-01", "1998-12-31", "Brand#1").withColumn("score", F.round("score", 6))
 
 
 @R.add("X24_chunk_records", rf"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomwright.operators import dispatch as di
+from loomwright.operators import profile as pf
 from loomwright.operators import version_store as vs
 from loomwright.sources.folders import shared_folder
 from loomwright.operators import quality_rules as qr
@@ -61,6 +63,42 @@ def data_hash(spark, sf_dir):
     return qr.content_hash(table(spark, sf_dir, "documents"), "doc_id")
 
 
+#: Good rules, and three at fault: by their type, by a column that is not there, and by a value that is no number.
+RULES = [
+    di.Rule("has_type", "required_fields", "error", {"columns": ["event_type", "props"]}), di.Rule("fresh", "min_value", "warning", {"column": "value", "least": 5.0}, 0.2),
+    di.Rule("props_length", "content_length", "info", {"column": "props", "least": 1, "most": 12}), di.Rule("odd", "of_no_type"), di.Rule("gone", "min_value", "warning", {"column": "no_such", "least": 1}),
+    di.Rule("cast", "condition", "warning", {"broken": "CAST(event_type AS INT) > 1"}), di.Rule("blank", "bad_pattern", "warning", {"column": "event_type", "pattern": "^c"}, 0.9),
+]
+
+
+@R.add("V08_rule_dispatch", """WITH e AS (SELECT count(*) AS items, count_if(coalesce(event_type, '') = '' OR coalesce(props, '') = '') AS a, count_if(value < 5) AS b, count_if(length(props) NOT BETWEEN 1 AND 12) AS c, count_if(regexp_matches(event_type, '^c')) AS d FROM events)
+SELECT 'has_type' AS rule, 'error' AS severity, a AS affected, items, a > 0 AS violated, NULL AS error FROM e UNION ALL SELECT 'fresh', 'warning', b, items, b > 0.2 * items, NULL FROM e UNION ALL SELECT 'props_length', 'info', c, items, c > 0, NULL FROM e
+UNION ALL SELECT 'blank', 'warning', d, items, d > 0.9 * items, NULL FROM e UNION ALL SELECT 'odd', 'error', 1, items, true, 'unknown rule type of_no_type' FROM e UNION ALL SELECT 'gone', 'error', 1, items, true, 'UNRESOLVED_COLUMN.WITH_SUGGESTION' FROM e
+UNION ALL SELECT 'cast', 'error', 1, items, true, 'CAST_INVALID_INPUT' FROM e""")
+def rule_dispatch(spark, sf_dir):
+    return di.validated(table(spark, sf_dir, "events"), RULES).drop("rule_type")
+
+
+POLICIES = [
+    di.Policy("no_debt", di.Rule("balance", "min_value", "error", {"column": "c_acctbal", "least": 0}), blocking=True), di.Policy("segment", di.Rule("segment", "bad_pattern", "warning", {"column": "c_mktsegment", "pattern": "^[A-F]"})),
+    di.Policy("gone", di.Rule("gone", "required_fields", "error", {"columns": ["no_such"]}), blocking=True), di.Policy("off", di.Rule("all", "condition", "error", {"broken": "true"}), blocking=True, enabled=False),
+]
+
+
+@R.add("V11_policies", """SELECT c_custkey, CAST(3 AS BIGINT) AS policies, CAST((c_acctbal >= 0)::INTEGER + (NOT regexp_matches(c_mktsegment, '^[A-F]'))::INTEGER AS BIGINT) AS passed, CAST((c_acctbal < 0)::INTEGER + regexp_matches(c_mktsegment, '^[A-F]')::INTEGER AS BIGINT) AS failed,
+CAST(1 AS BIGINT) AS errors, c_acctbal < 0 AS blocked FROM customer""")
+def policies(spark, sf_dir):
+    return di.summarised(di.evaluated(table(spark, sf_dir, "customer"), "c_custkey", POLICIES), "c_custkey")
+
+
+@R.add("T09_profile_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count, NULL AS error FROM {t}" for t in ("nation", "region", "supplier")) + " UNION ALL SELECT 'no_such_table', NULL, 'PATH_NOT_FOUND'")
+def profile_tables(spark, sf_dir):
+    """The profiles of the tables that can be read, and a row with the fault of the one that cannot."""
+    found, faults = di.isolated({t: lambda t=t: table(spark, sf_dir, t) for t in ("nation", "region", "supplier", "no_such_table")})
+    rows = pf.table_profiles(found, only=set()).groupBy("table_name").agg(F.max("row_count").alias("row_count")).withColumn("error", F.lit(None).cast("string"))
+    return rows.union(spark.createDataFrame([(t, None, fault) for t, fault in faults.items()], "table_name string, row_count long, error string"))
+
+
 #: Three batches over the orders of a customer, numbered by date: all are created; those of status F are archived, the first
 #: deprecated; every fifth customer goes back to the second, every seventh to one that is not there.
 NUMBERED = "SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders"
