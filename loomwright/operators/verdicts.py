@@ -28,6 +28,15 @@ FLOORS = {
 }
 #: A rule's trigger, the fields that it raises, and to what.
 ESCALATIONS = {"ESC-1": ("B13", ["B17", "B21"], "HIGH"), "ESC-2": ("B7", ["O5"], "HIGH"), "ESC-3": ("O3", ["O3"], "MEDIUM"), "ESC-4": ("B14", ["B20"], "HIGH")}
+# What columns are named like.
+ANNOTATIONS = {
+    "direct": r"(?i)(^|_)(ssn|social_security|passport|national_id|mrn|patient_id|patientid|member_id|email|e_mail|phone|mobile|telephone|first_name|firstname|last_name|lastname|full_name|fullname|dob|date_of_birth|street|address_line)($|_)",
+    "quasi": r"(?i)(^|_)(age|sex|gender|zip|zip3|postal|postcode|region|county|city|state|province|ethnicity|race|marital|birth_year|nationality)($|_)",
+    "target": r"(?i)(^|_)(target|label|outcome|class|condition|diagnosis|response|churn|y)($|_)",
+    "event": r"(?i)(^|_)(admit|discharge|order|visit|event|txn|transaction|purchase|claim|encounter|service|start|end|date|time|_ts|timestamp|dt)($|_)",
+    "load": r"(?i)(^|_)(created|create_ts|inserted|ingest|load|etl|_loaded|updated_at|last_updated|sync)($|_)",
+    "leakage": r"(?i)(_outcome|_resolved|_followup|resolution|outcome_flag|_final|after_|post_)",
+}
 UNORDERED = ["array", "binary", "map", "struct", "variant", "null"]
 
 
@@ -142,12 +151,13 @@ def catalogued_count(df: DataFrame, table_name: str | None = None) -> int:
 
 
 def annotated(profile: DataFrame) -> DataFrame:
-    """(table_name, column_name, pii_class, pii_confidence, is_target, is_leak) from the columns' names alone."""
-    name = lambda pattern: F.col("column_name").rlike(rl.PATTERNS[pattern])
-    direct = name("pii")
+    """(table_name, column_name, semantic_type, pii_class, pii_confidence, temporal_role, is_target, is_leak) from names and dtypes alone."""
+    name = lambda pattern: F.col("column_name").rlike(ANNOTATIONS[pattern])
+    direct, quasi, dated = name("direct"), name("quasi"), F.col("dtype") == "datetime"
     return profile.select(
-        "table_name", "column_name", F.when(direct, "direct").otherwise("none").alias("pii_class"), F.when(direct, 0.85).otherwise(0.95).alias("pii_confidence"),
-        (name("target") & (F.col("dtype") != "datetime")).alias("is_target"), name("post_event").alias("is_leak"),
+        "table_name", "column_name", F.when(direct, "identifier").when(quasi, "quasi_identifier").otherwise(F.col("dtype")).alias("semantic_type"),
+        F.when(direct, "direct").when(quasi, "quasi").otherwise("none").alias("pii_class"), F.when(direct, 0.85).when(quasi, 0.70).otherwise(0.95).alias("pii_confidence"),
+        F.when(dated & name("load"), "load").when(dated & name("event"), "event").otherwise("none").alias("temporal_role"), (name("target") & ~dated).alias("is_target"), name("leakage").alias("is_leak"),
     )
 
 

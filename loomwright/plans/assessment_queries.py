@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomwright.operators import profile as pf
 from loomwright.operators import rules as rl
 from loomwright.operators import verdicts as vd
-from loomwright.plans.profile_queries import _CHECKS, _SCORES, ASSESSED, POINTS, REF, TIER, WEIGHT, facts, profile_sql, source_of
+from loomwright.plans.profile_queries import _CHECKS, _SCORES, ASSESSED, COLUMNS, POINTS, REF, TIER, WEIGHT, facts, profile_sql, source_of, VIEWS
 from loomwright.plans.registry import Registry, table
 
 R = Registry()
@@ -65,9 +65,27 @@ def approvals(spark, sf_dir):
     return vd.rescore(found(spark, sf_dir), ["labels_leakage", "privacy_values"], ["privacy_column_names"], ["features_cardinality", "schema_audit"])
 
 
-@R.add("R25_annotation", f"WITH p AS {PROFILES} SELECT table_name, column_name, CASE WHEN {named('pii')} THEN 'direct' ELSE 'none' END AS pii_class, CASE WHEN {named('pii')} THEN 0.85 ELSE 0.95 END::DOUBLE AS pii_confidence, {named('target')} AND dtype <> 'datetime' AS is_target, {named('post_event')} AS is_leak FROM p")
+#: Tables whose columns are named as such columns are.
+PEOPLE = {
+    "people": ("customer", {"patient_id": ("c_custkey", "int"), "First_Name": ("c_name", "string"), "birth_year": ("c_nationkey", "int"), "home_region": ("c_mktsegment", "string"), "y": ("c_acctbal", "float")}),
+    "visits": ("orders", {"visit_id": ("o_orderkey", "int"), "member_id": ("o_custkey", "int"), "visit_date": ("o_orderdate", "datetime"), "last_updated": ("o_orderdate", "datetime"), "label_date": ("o_orderdate", "datetime"), "price_final": ("o_totalprice", "float"), "outcome_flag": ("o_orderstatus", "string")}),
+}
+for _name, (_source, _columns) in PEOPLE.items():
+    COLUMNS[_name] = {c: kind for c, (_, kind) in _columns.items()}
+    VIEWS[_name] = "(SELECT " + ", ".join(f"{old} AS {new}" for new, (old, _) in _columns.items()) + f" FROM {_source})"
+
+
+def like(pattern: str) -> str:
+    return f"regexp_matches(column_name, '{vd.ANNOTATIONS[pattern]}')"
+
+
+@R.add("R25_annotation", f"""WITH p AS ({" UNION ALL ".join(profile_sql(t) for t in [*ASSESSED, *PEOPLE])}) SELECT table_name, column_name, CASE WHEN {like('direct')} THEN 'identifier' WHEN {like('quasi')} THEN 'quasi_identifier' ELSE dtype END AS semantic_type,
+CASE WHEN {like('direct')} THEN 'direct' WHEN {like('quasi')} THEN 'quasi' ELSE 'none' END AS pii_class, CASE WHEN {like('direct')} THEN 0.85 WHEN {like('quasi')} THEN 0.7 ELSE 0.95 END::DOUBLE AS pii_confidence,
+CASE WHEN dtype <> 'datetime' THEN 'none' WHEN {like('load')} THEN 'load' WHEN {like('event')} THEN 'event' ELSE 'none' END AS temporal_role, {like('target')} AND dtype <> 'datetime' AS is_target, {like('leakage')} AS is_leak FROM p""")
 def annotation(spark, sf_dir):
-    return vd.annotated(profiles(spark, sf_dir))
+    named = {t: table(spark, sf_dir, source).selectExpr(*[f"{old} AS {new}" for new, (old, _) in columns.items()]) for t, (source, columns) in PEOPLE.items()}
+    tables = {t: source_of(spark, sf_dir, t) for t in ASSESSED} | named
+    return vd.annotated(pf.table_profiles(tables, F.lit(REF).cast("timestamp"), set()))
 
 
 @R.add("R26_criticality", _CHECKS + " SELECT table_name, rule_id, CASE WHEN severity = 'blocker' THEN 'Critical' WHEN severity = 'info' THEN 'Low' WHEN status = 'fail' THEN 'High' WHEN status = 'warn' THEN 'Medium' ELSE 'Low' END AS criticality FROM checks")

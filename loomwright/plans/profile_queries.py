@@ -137,7 +137,11 @@ def near_constant(spark, sf_dir):
     return shares.select("column_name", F.round("top_share", 6).alias("top_share"))
 
 
-@R.add("P22_co_missing", "SELECT 'a,b' AS columns")
+@R.add("P22_co_missing", """
+WITH o AS (SELECT o_orderkey % 7 = 0 AS a, o_orderkey % 7 = 0 AS b, o_orderkey % 5 = 0 AS c FROM orders),
+n AS (SELECT count_if(a) AS a, count_if(b) AS b, count_if(c) AS c, count_if(a AND b) AS ab, count_if(a AND c) AS ac, count_if(b AND c) AS bc FROM o),
+g AS (SELECT 'a' || CASE WHEN ab > 0.8 * a THEN ',b' ELSE '' END || CASE WHEN ac > 0.8 * a THEN ',c' ELSE '' END AS columns FROM n UNION ALL SELECT CASE WHEN bc > 0.8 * b AND ab <= 0.8 * a AND ac <= 0.8 * a THEN 'b,c' END FROM n)
+SELECT columns FROM g WHERE columns LIKE '%,%'""")
 def co_missing(spark, sf_dir):
     base = table(spark, sf_dir, "orders").selectExpr("CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 1 END AS a", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 2 END AS b", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 3 END AS c")
     return spark.createDataFrame([(",".join(g),) for g in pf.co_missing_groups(base)], "columns string")
