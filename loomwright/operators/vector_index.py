@@ -136,6 +136,18 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, where: C
     return pairs.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "score")
 
 
+def scrolled(index: VectorIndex, spark: SparkSession, after: object | None, most: int, where: Column | str | None = None) -> DataFrame:
+    """The next `most` points after an id, in the order of their ids, each once: the last id is the cursor of the next page.
+
+    A page reads the ids beyond the cursor, pushed into the scan, and keeps the first of each task; a point that is added
+    later with a larger id is met by a later page, so that a scan can go on where another ended.
+    """
+    points = index.points(spark)
+    points = points.where(where) if where is not None else points
+    beyond = points if after is None else points.where(F.col("point_id") > F.lit(after))
+    return beyond.drop("list", "block").dropDuplicates(["point_id"]).orderBy("point_id").limit(most)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(queries, recall): the mean share of exact (query_id, point_id) that was found for each query."""
     hits = exact.select("query_id", "point_id").join(found.select("query_id", "point_id", F.lit(1).alias("hit")), ["query_id", "point_id"], "left")

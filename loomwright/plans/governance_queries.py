@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomwright.operators import history as hs
 from loomwright.operators import dispatch as di
 from loomwright.operators import profile as pf
 from loomwright.operators import version_store as vs
@@ -99,6 +100,28 @@ def profile_tables(spark, sf_dir):
     return rows.union(spark.createDataFrame([(t, None, fault) for t, fault in faults.items()], "table_name string, row_count long, error string"))
 
 
+def run_history(spark, sf_dir):
+    """Events stand for runs; every eleventh is deleted, and every thirteenth by a user whose it is not."""
+    e = table(spark, sf_dir, "events")
+    store = hs.HistoryStore(spark, shared_folder(spark) + "/runs")
+    store.record(e.selectExpr("CAST(event_id AS STRING) AS run_id", "CAST(user_id AS STRING) AS user_id", "event_type AS source", "value AS score", "CASE WHEN value >= 80 THEN 'green' ELSE 'red' END AS tier", "props AS detail", "ts AS at"))
+    store.delete(e.selectExpr("CAST(event_id AS STRING) AS run_id", "CAST(CASE WHEN event_id % 13 = 0 THEN user_id + 1 ELSE user_id END AS STRING) AS user_id").where("run_id % 11 = 0 OR run_id % 13 = 0"))
+    return store
+
+
+KEPT_RUNS = "SELECT * FROM events WHERE NOT (event_id % 11 = 0 AND event_id % 13 <> 0)"
+
+
+@R.add("R24_user_runs", f"SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS runs, round(avg(value), 6) AS mean_score, max(ts) AS last_at FROM ({KEPT_RUNS}) GROUP BY user_id")
+def user_runs(spark, sf_dir):
+    return run_history(spark, sf_dir).users().withColumn("mean_score", F.round("mean_score", 6))
+
+
+@R.add("R24_recent_runs", f"SELECT CAST(event_id AS VARCHAR) AS run_id, CAST(user_id AS VARCHAR) AS user_id, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS n FROM ({KEPT_RUNS})) WHERE n <= 3")
+def recent_runs(spark, sf_dir):
+    return run_history(spark, sf_dir).recent_of_all(3).select("run_id", "user_id", "place")
+
+
 #: Three batches over the orders of a customer, numbered by date: all are created; those of status F are archived, the first
 #: deprecated; every fifth customer goes back to the second, every seventh to one that is not there.
 NUMBERED = "SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders"

@@ -201,6 +201,14 @@ def filtered_search(spark, sf_dir):
     return vi.search(index, queries, 5, len(index.centroids), "label < 5", 0.2).withColumn("score", F.round("score", 6))
 
 
+@R.add("S18_scroll_page", "SELECT vec_id AS point_id, label FROM embeddings WHERE vec_id > (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 1 OFFSET 99) ORDER BY vec_id LIMIT 100")
+def scroll_page(spark, sf_dir):
+    """The second page of a hundred: the first one's last id is its cursor."""
+    index, _ = indexed(spark, sf_dir)
+    first = vi.scrolled(index, spark, None, 100).agg(F.max("point_id").alias("last")).first()["last"]
+    return vi.scrolled(index, spark, first, 100).select("point_id", "label")
+
+
 @R.add("K10_self_retrieval", f"WITH {RANKED}, h AS (SELECT rank FROM ranked WHERE query_id = point_id) SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(1.0 / rank), 6) AS mrr, round(avg(1.0 / log2(1 + rank)), 6) AS ndcg FROM h")
 def self_retrieval(spark, sf_dir):
     expected = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("point_id"))

@@ -51,6 +51,34 @@ def folder(spark: SparkSession, path: str, include: str | None = None, exclude:
     return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("checksum"))
 
 
+def new_files(spark: SparkSession, path: str, ledger: str, include: str | None = None) -> DataFrame:
+    """(path, length, modificationTime) of files below a folder that no scan with this ledger has told before; lazy.
+
+    A file counts again when it was modified. Contents are not read. Call remember() with what was taken, after it was
+    handled: a scan that fails before is repeated, and one after reads only what is new.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", include) if include else reader).load(path).select("path", "length", "modificationTime")
+    return files.join(told(spark, ledger), ["path", "modificationTime"], "left_anti").select("path", "length", "modificationTime")
+
+
+def told(spark: SparkSession, ledger: str) -> DataFrame:
+    """(path, modificationTime) of all files that were remembered; none for a ledger that is not there yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema("path string, modificationTime timestamp").parquet(ledger)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, modificationTime timestamp")
+
+
+def remember(files: DataFrame, ledger: str) -> None:
+    """Adds files to the ledger, by appending."""
+    files.select("path", "modificationTime").write.mode("append").parquet(ledger)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON lines; lines that do not parse are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
