@@ -44,9 +44,11 @@ def coherence(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.round(sc.coherence(tx.sentences(F.col("text")), F.col("text")), 4).alias("score"))
 
 
-@R.add("C28_hash_embedding", "SELECT doc_id, round((('0x' || substr(sha256(text), 3, 2))::INTEGER - 128) / 128.0, 6) AS second FROM documents")
+@R.add("C28_hash_embedding", "SELECT doc_id, round(least(length(text) / 1000.0, 1.0), 6)::DOUBLE AS v0, " + ", ".join(f"round((('0x' || substr(sha256(text), {2 * (i % 32) + 1}, 2))::INTEGER - 128) / 128.0, 6)::DOUBLE AS v{i}" for i in range(1, 40)) + " FROM documents")
 def hash_embedding(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.round(sc.hash_embedding(F.col("text"), 8)[1], 6).alias("second"))
+    """All of forty dimensions: the bytes of a digest begin again after 32."""
+    vector = docs(spark, sf_dir).select("doc_id", sc.hash_embedding(F.col("text"), 40).alias("v"))
+    return vector.select("doc_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(40)])
 
 
 @R.add("C29_dimension_fit", "SELECT vec_id, 100 AS n, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
