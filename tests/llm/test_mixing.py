@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -221,3 +223,35 @@ def test_repeated_words_share_one_probability(spark):
     again = scored[ids[0]]
     siblings = [scored[i] for i, p in zip(ids, probes) if p[1] != p[0] and p[1] in rare and mixing.shape(p[1]) == mixing.shape(p[0]) and learnt[p[1]] == learnt[p[0]]]
     assert siblings and again < max(siblings) + 1  # no more than the same name and path; the end after it differs little
+
+
+def test_counts_are_of_the_whole_corpus(spark, monkeypatch):
+    """With weights that stand still, scores follow from counts alone: they are equal however many lanes share the work."""
+    monkeypatch.setattr(mixing, "RATE", 0.0)
+    monkeypatch.setattr(mixing, "PRIOR", 1e15)
+    docs = documents()
+    counts = Counter(w for d, t in docs for w in tokens_of(t) if not held(d))
+    every = pa.table({"word": [w.decode() for w in counts], "seen": list(counts.values())})
+    words = mixing.stored(mixing.word_counts(spark.createDataFrame(docs, "doc_id long, text string"), 7))
+    ids, texts = zip(*docs, strict=True)
+    digests = np.array([xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts], np.uint64).view(np.int64)
+
+    def grouped(table, key):
+        return {k: table.filter(pc.equal(table.column(key), k)) for k in set(table.column(key).to_pylist())}
+
+    def scores(lane, tasks):
+        model = mixing.fit(words, lane=lane).prepare()
+        pieces = list(zip(*mixing.Reader(model).block(list(ids), digests, np.array([held(d) for d in ids]), list(texts)), strict=True))
+        lanes = grouped(pa.table(dict(zip(("lane", "kind", "docs", "data", "words"), map(list, pieces), strict=True))), "lane")
+        asked = pa.concat_tables(mixing.lane_requests(model, tasks, k, some) for k, some in lanes.items())
+        told = pa.concat_tables(mixing.whole_counts(model, some) for some in grouped(asked, "task").values())
+        others = pa.concat_tables([every, told.drop_columns("lane")], promote_options="default")
+        mine = lambda k: others.filter(pc.fill_null(pc.equal(pc.divide(others.column("who"), mixing.PARTS), k), True))
+        sums = pa.concat_tables(mixing.lane_sums(model, 1, tasks, some, mine(k)) for k, some in lanes.items())
+        found = mixing.document_sums(sums)
+        return model, lanes, dict(zip(found.column("doc_id").to_pylist(), found.column("mixed").to_pylist(), strict=True))
+
+    (_, one, whole), (model, many, parted) = scores(1_000_000, 1), scores(1500, 3)
+    assert len(one) == 1 and len(many) > 5 and (mixing.Reader(model).parts > 1).sum() > 3
+    assert whole.keys() == parted.keys() == set(ids)
+    assert all(parted[d] == pytest.approx(whole[d], rel=1e-5) for d in ids)
