@@ -9,10 +9,11 @@ verified on the fingerprints themselves.
 
 Three bits of 64 find nearly equal texts only: of pairs with a Jaccard similarity of 0.8 to 0.85 on five-word shingles
 they hold one in a hundred, and no bound on 64 bits is implied by a similarity of sets, since a fingerprint counts repeats.
-similar_groups() therefore filters by prefixes: under one order of all shingles, two sets of similarity t share one of the
-first n - ceil(t n) + 1 of n shingles of each. What shares one, and may reach t by its sizes and the place of the shingle,
-is compared by whole shingle sets. Shingles that a sample shows in many texts come last in the order, so that lines that
-many texts carry bring few texts together; the order decides the work only, never the result.
+similar_groups() therefore takes what meets in the grid within 3 bits first and verifies it by whole shingle sets. What the
+verified links leave apart goes through a filter by prefixes, an exact way for the rest: under one order of all shingles, two
+sets of similarity t share one of the first n - ceil(t n) + 1 of n shingles of each. What shares one, and may reach t by its
+sizes and the place of the shingle, is compared by whole shingle sets. Shingles that a sample shows in many texts come last in
+the order, so that lines that many texts carry bring few texts together; the order decides the work only, never the result.
 
 A cell passes on a spanning forest of its links, not all of them: that keeps
 every component and grows with the rows of the cell, however many copies meet there. A cell or a shingle with more rows
@@ -206,20 +207,21 @@ def may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, simil
     return np.minimum(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
 
-def close_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes with one key that may link: all of a small group; of a large one a forest, nearest pairs first."""
+def close_pairs(keys: np.ndarray, nodes: np.ndarray, component: np.ndarray, fps: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes with one key that may link and are apart: all of a small group; of a large one a forest, nearest pairs first."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     small = np.repeat(sizes <= CROWD, sizes)
-    k, v, c, p = keys[small], nodes[small], n[small], at[small]
+    k, v, g, c, p = keys[small], nodes[small], component[small], n[small], at[small]
     for gap in range(1, int(sizes[sizes <= CROWD].max(initial=1))):
-        near = (k[gap:] == k[:-gap]) & may_link(c[gap:], p[gap:], c[:-gap], p[:-gap], similarity)
+        near = (k[gap:] == k[:-gap]) & (g[gap:] != g[:-gap]) & may_link(c[gap:], p[gap:], c[:-gap], p[:-gap], similarity)
         if near.any():
             yield v[gap:][near], v[:-gap][near]
     for s in np.flatnonzero(sizes > CROWD):
         group = slice(starts[s], starts[s] + sizes[s])
         v, f, c, p = nodes[group], fps[group], n[group], at[group]
-        labels = np.arange(len(v))
+        first, of = np.unique(component[group], return_index=True, return_inverse=True)[1:]
+        labels = first[of]
         for radius in (*range(4, WIDE + 1, 4), 64):
             for x in range(0, len(v), 256):
                 y = slice(x, x + 256)
@@ -264,11 +266,24 @@ def joined_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes whose fingerprints are equal or meet in the grid within RADIUS bits.
+
+    A fingerprint stands for its smallest node: the others pair with that one, so that pairs grow with the nodes.
+    """
+    prints = kept_rows(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("nodes")))
+    equal = joined_groups(nodes.select("node", "fp"), prints.where("nodes > 1"), "fp", "nodes").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    left, right = (prints.select(F.col("fp").alias(c), F.col("least").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    near = grid_links(prints).join(left, "a").join(right, "b").select("x", "y")
+    return equal.union(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of the documents that have others as similar: component_id is the smallest doc_id linked.
 
     Two documents link if their sets of shingles have a Jaccard similarity of at least `similarity`, computed exactly on
-    pairs that share a shingle of their prefixes; texts with equal sets are one node, and texts without words are alike.
+    pairs that meet in the grid of fingerprints, and then on those that are still apart and share a shingle of their
+    prefixes; texts with equal sets are one node, and texts without words are alike.
     Groups of over 32 candidates under one key are compared along a forest of their nearest pairs first, and then in all
     pairs that the verified links have left in separate components. Rows without a doc_id take no part; rows that share
     one are one document.
@@ -294,20 +309,6 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     prints = stored(mapped(rows, over, "doc_id long, fp long, same binary, n long, bits binary, prefix array<long>"))
     nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min(x).alias(x) for x in ("fp", "n", "bits", "prefix")))
     nodes = stored(nodes)
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
-    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-    # most shingles are in one prefix only; what is shared is a small part
-    shared = joined_groups(entries, kept_rows(counts), "shingle", "rows")
-    shared = stored(shared.join(nodes.select("node", "fp"), "node"))
-    columns = ["place", "node", "fp", "n", "at"]
-
-    def meet(keys: np.ndarray, node: np.ndarray, fps: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[dict]:
-        for a, b in close_pairs(keys, node, fps.view(np.uint64), n, at, similarity):
-            yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
-
-    pairs = by_key(tiled(shared, "shingle", "node"), "place", columns, meet, "a long, b long").where("a <> b").distinct()
-    pairs = stored(pairs)
-
     def texts(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"doc_id": batch.column(0), "packed": [zstandard.compress((x or "").encode(), 3) for x in batch.column(1).to_pylist()]}
 
@@ -335,9 +336,27 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
         left, right = (found.select(F.col("doc_id").alias(x), F.col("packed").alias("p" + x)) for x in "ab")
         return kept_rows(mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb"), compared, "a long, b long", 256))
 
-    links = verified(pairs)
+    grid = stored(print_pairs(nodes))
+    found = verified(grid)
+    near = kept_rows(connected_components(found))
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    # most shingles are in one prefix only; what is shared is a small part
+    shared = joined_groups(entries, kept_rows(counts), "shingle", "rows")
+    shared = shared.join(nodes.select("node", "fp"), "node").join(near, "node", "left")
+    shared = stored(shared.withColumn("component", F.coalesce("component", "node")))
+    columns = ["place", "node", "component", "fp", "n", "at"]
+
+    def meet(keys: np.ndarray, node: np.ndarray, component: np.ndarray, fps: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[dict]:
+        for a, b in close_pairs(keys, node, component, fps.view(np.uint64), n, at, similarity):
+            yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+    pairs = by_key(tiled(shared, "shingle", "node"), "place", columns, meet, "a long, b long").where("a <> b").distinct()
+    pairs = stored(pairs.join(grid, ["a", "b"], "left_anti"))
+
+    links = kept_rows(found.union(verified(pairs)))
     member = kept_rows(connected_components(links))
-    crowded = shared.where(F.col("rows") > CROWD).join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crowded = shared.where(F.col("rows") > CROWD).drop("component").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     crowded = stored(crowded)
     apart = crowded.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     open_rows = crowded.join(apart, "shingle", "left_semi").join(nodes.select("node", "bits"), "node")
@@ -348,7 +367,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
             yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
     more = by_key(tiled(open_rows, "shingle", "node"), "place", ["place", "node", "component", "n", "at", "bits"], rest, "a long, b long").where("a <> b")
-    more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = stored(more.distinct().join(pairs.union(grid), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         member = connected_components(links.union(verified(more)))
     classes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))

@@ -74,3 +74,20 @@ def test_stages(spark):
 def test_whole_pipeline(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "sequence_id", "length"} <= set(rows[0].asDict())
+
+
+def test_groups_come_from_the_grid_of_fingerprints(spark, monkeypatch):
+    """Texts within 3 bits meet in the grid and are verified, whatever the prefixes find; equal bits alone are no link."""
+    monkeypatch.setattr(simhash, "prefix", lambda shingles, *_: shingles[:0])
+    rng = random.Random(3)
+    docs = []
+    for base in range(6):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(600)]
+        docs += [(base * 10 + i, " ".join([*words[: 600 - i], *(f"e{i}" for _ in range(i))])) for i in range(5)]
+    docs += [(100, "a b c d e f g h i " * 50), (101, "a b c d e f g h i " * 50 + "and one more line that only this text has got at its end")]
+    prints = {d: simhash.fingerprint(simhash.shingle_hashes(t, 5)) for d, t in docs}
+    near = [(a, b) for a, _ in docs for b, _ in docs if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    alike = [(a, b) for a, b in near if len(sets(dict(docs)[a]) & sets(dict(docs)[b])) >= 0.8 * len(sets(dict(docs)[a]) | sets(dict(docs)[b]))]
+    assert len(alike) > 10 and (100, 101) in near and (100, 101) not in alike
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got.keys() == {d for pair in alike for d in pair} and all(got[a] == got[b] for a, b in alike)
