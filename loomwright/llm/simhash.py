@@ -338,7 +338,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
 
     grid = stored(print_pairs(nodes))
     found = verified(grid)
-    near = kept_rows(connected_components(found))
+    near = kept_rows(found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")))  # one step: who has one neighbour is together
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
     counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
     # most shingles are in one prefix only; what is shared is a small part
