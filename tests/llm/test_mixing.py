@@ -255,3 +255,44 @@ def test_counts_are_of_the_whole_corpus(spark, monkeypatch):
     assert len(one) == 1 and len(many) > 5 and (mixing.Reader(model).parts > 1).sum() > 3
     assert whole.keys() == parted.keys() == set(ids)
     assert all(parted[d] == pytest.approx(whole[d], rel=1e-5) for d in ids)
+
+
+def test_words_are_what_lies_between_spaces():
+    texts = [" a  B\t", None, "", " \n\r\x0b\x0c ", "É x y z\x1cZ", "one", "x" * 40 + "\nÀ9 9 -"]
+    sizes, words = mixing.words_in(pa.chunked_array([pa.array(["left out", *texts])[1:]]).combine_chunks())
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == list(map(len, want)) and words.cast(pa.large_binary()).to_pylist() == sum(want, [])
+    kind = lambda w: 0 if w.isalpha() else 1 if not w.isascii() else 2 if any(48 <= b < 58 for b in w) else 3
+    assert mixing.shapes_of(words).tolist() == [kind(w) * 8 + min(7, len(w).bit_length()) for w in sum(want, [])]
+    assert mixing.strings_of(words) == sum(want, []) and mixing.strings_of(words[:0]) == []
+
+
+def test_what_is_shuffled_for_a_token_is_small():
+    """Words before an event go as ranks of the alphabet, and sums with ids alone: 7.1 and 1.1 bytes a token before that."""
+    rng = np.random.default_rng(3)
+    counts = np.sort(rng.zipf(1.3, 20_000).clip(2, 50_000))[::-1].astype(np.int64)
+    names, n = [b"w%x" % k for k in range(len(counts))], int(counts.sum())
+    model = mixing.Model(names, counts, np.zeros((2, 32)), mixing.spelling_table(np.zeros(mixing.SPELLED)), n, len(counts), 20, n).prepare()
+    model.repeated = np.zeros(1 << 20, bool)
+    texts = [" ".join(names[k].decode() for k in rng.choice(len(names), 300, p=counts / n)) for _ in range(600)]
+    digests = rng.integers(-(2**63), 2**63, len(texts))
+    lanes: dict[int, list] = {}
+    for piece in mixing.Reader(model).block(list(range(len(texts))), digests, np.zeros(len(texts), bool), texts):
+        lanes.setdefault(piece[0], []).append(piece)
+    tables = [pa.table(dict(zip(("lane", "kind", "docs", "data", "words"), map(list, zip(*p, strict=True)), strict=True))) for p in lanes.values()]
+    tokens, size = 301 * len(texts), lambda t, c: sum(len(x.as_py()) for x in t.column(c))
+    assert sum(size(t, "data") for t in tables) / tokens < 6.4
+    others = pa.table({"word": pa.array([], pa.string()), "seen": pa.array([], pa.int64())})
+    table = tables[0]
+    asked = mixing.lane_requests(model, 1, 0, table)
+    told = pa.concat_tables(mixing.whole_counts(model, asked.filter(pc.equal(asked.column("task"), k))) for k in set(asked.column("task").to_pylist()))
+    sums = mixing.lane_sums(model, 1, 1, table, pa.concat_tables([others, told.drop_columns("lane")], promote_options="default"))
+    events = sum(len(mixing.unpacked(d.as_py(), *mixing.EVENT)[0]) for k, d in zip(table.column("kind").to_pylist(), table.column("data")) if k == 0)
+    assert size(sums, "data") / events < 0.85
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(i, t) for i, t in documents() if t] + [(3, "quite another text"), (3, "and a third one of six words"), (3 + (1 << 20), "alone")]
+    scored = mixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), lane=1500).collect()
+    want = Counter((d, len(tokens_of(t))) for d, t in rows)
+    assert Counter((r.doc_id, r.n_tokens) for r in scored) == want and all(r.score < 0 for r in scored)
