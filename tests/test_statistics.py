@@ -60,6 +60,18 @@ def test_phi_k_inverts_the_normal(shape):
     assert pk.phi_k(pedestal, n, rows, columns) == 0 and pk.phi_k(largest, n, rows, columns) == 1
 
 
+def test_phi_k_near_full_correlation():
+    """A chi-square just below its largest value costs no more than any other, and the way up to it is steady."""
+    from time import monotonic
+
+    began, largest = monotonic(), 1_200_000 * 9.0
+    assert pk.phi_k(largest * (1 - 1e-12), 1_200_000, 10, 10) == pytest.approx(1, abs=1e-3)
+    assert monotonic() - began < 10  # a quadrature of nodes by the correlation took minutes
+    found = [pk.phi_k(largest * (1 - miss), 1_200_000, 10, 10) for miss in (0.1, 1e-2, 1e-3, 1e-4)]
+    assert found == sorted(found) and 0.99 < found[0] and found[-1] < 1
+    assert pk.independent(10, 10).sum() + pk.gained(1.0, 10, 10).sum() == pytest.approx(1 - 2 * 2.8665e-7, abs=1e-9)
+
+
 def test_phi_k_pairs(spark):
     rng = np.random.default_rng(3)
     a, noise = rng.standard_normal(4000), rng.standard_normal(4000)
