@@ -14,6 +14,8 @@ from loomwright.operators import quality_rules as qr
 from loomwright.plans.registry import Registry, table
 
 R = Registry()
+#: Fixed value: the separators of Unicode's category Zs.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def rule(name: str, source: str, rules: list[tuple[str, str, object, str]]):
@@ -36,7 +38,9 @@ def duplicate_rate(spark, sf_dir):
 
 @R.add("V03_chunk_coverage", "SELECT count_if(length(trim(text)) / n_chars < 0.99) AS low, count(*) AS items FROM documents")
 def chunk_coverage(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count_if(F.length(F.trim("text")) / F.col("n_chars") < 0.99).alias("low"), F.count(F.lit(1)).alias("items"))
+    """Blanks at the ends are those of any script, as SQL trims them; an item of no size covers nothing and is not low."""
+    kept = F.length(F.trim("text", F.lit(BLANKS)))
+    return table(spark, sf_dir, "documents").agg(F.count_if(F.try_divide(kept, F.col("n_chars")) < 0.99).alias("low"), F.count(F.lit(1)).alias("items"))
 
 
 @R.add("G18_dq_report", "SELECT round(greatest(0.0, 1 - (2 * count_if(n_chars < 100) + count_if(n_chars > 5000)) / (2 * count(*))), 6) AS score FROM documents")
