@@ -155,8 +155,9 @@ SELECT doc_id, round_even(100.0 * coalesce(list_sum(list_transform(list_concat(l
   list_concat(regexp_extract_all(t, '(?im)^\\s*(?:table of contents|index|appendix)\\s*$'), regexp_extract_all(t, '(?im)^\\s*(?:this document is confidential|not for distribution)'))), lambda x: length(x))), 0) / length(t), 2) AS noise
 FROM (SELECT doc_id, {NOISY} AS t FROM documents)""")
 def noise(spark, sf_dir):
-    """Of texts with a page number before or a line of a footer after them."""
-    return docs(spark, sf_dir).select("doc_id", sc.noise_percent(F.expr(NOISY)).alias("noise"))
+    """Of texts with a page number before or a line of a footer after them; a text that is null counts as empty."""
+    noisy = docs(spark, sf_dir).fillna("", ["text"]).select("doc_id", F.expr(NOISY).alias("t"))
+    return noisy.select("doc_id", sc.matched_percent(F.col("t")).alias("noise"))
 
 
 @R.add("C23_record_scores")
