@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +14,7 @@ EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 EMAIL_UPPER = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE = r"(?:\+?\d[\s-]?)?(?:\(\d{3}\)|\d{3})[\s-]?\d{3}[\s-]?\d{4}"
 SSN = r"\b\d{3}[-.\s]?\d{2}[-.\s]?\d{4}\b"
+FOUR_DIGITS = r"\d{4}"  # of both numbers
 ENHANCED = [
     (r"[\x00-\x08\x0B-\x0C\x0E-\x1F]", ""), (r"[ \t]+", " "), (r"\n[ \t]+", "\n"), (r"[ \t]+\n", "\n"), (r" +([,.!?;:])", "$1"), (r"([,.!?;:])([^\s])", "$1 $2"),
     (r"[\u2018\u2019\u2032]", "'"), (r"[\u201C\u201D\u2033]", '"'), (r"[\u2013\u2014\u2015]", "-"), (r"\.{4,}", "..."), (r"\n{4,}", "\n\n\n"),
@@ -24,14 +27,17 @@ SECTION_ALIASES = {
     "executive summary": "executive_summary", "table of contents": "table_of_contents", "conclusions": "conclusions", "conclusion": "conclusions",
     "abstract": "abstract", "introduction": "introduction", "background": "background",
 }
-TITLE_CASE, ALL_CAPS, NUMBERED = r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+$", r"^[A-Z0-9][A-Z0-9 &'\-]{6,}$", r"^(\d+)[\.\)]\s+(.+)$"
+ALL_CAPS, NUMBERED = r"^[A-Z0-9][A-Z0-9 &'\-]{6,}$", r"^(\d+)[\.\)]\s+(.+)$"
+# Repeated groups keep what they have taken (++), with the same matches: Java's matcher calls itself for each repeat of a group
+# that may give some back, and a long run of words or numbers would overflow the stack and end the executor.
+TITLE_CASE = r"^[A-Z][a-z]++(?:\s++[A-Z][a-z]++)++$"
 DATES = [
     (r"(?i)\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b", 1),
     (r"(?i)\b(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b", 1),
     (r"(?i)\b\d{4}-\d{2}-\d{2}\b", 0),
 ]
-AUTHOR = r"(?i)(?:By|Author|Written by|Created by):\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
-VERSION = r"(?i)\b(v|version|ver|v\.)\s*(\d+(?:\.\d+)+)\b"
+AUTHOR = r"(?i)(?:By|Author|Written by|Created by):\s*([A-Z][a-z]++(?:\s++[A-Z][a-z]++)++)"
+VERSION = r"(?i)\b(v|version|ver|v\.)\s*(\d++(?:\.\d++\b)++)"
 
 CONTENT = {
     "legal": [r"\b(whereas|hereby|herein|hereinafter|pursuant to|in accordance with)\b", r"\b(agreement|contract|terms|conditions|clause|section)\b", r"\b(party|parties|plaintiff|defendant|court|legal)\b"],
@@ -59,28 +65,43 @@ STOP_WORDS = [
     "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
     "will", "would", "could", "should", "may", "might", "shall", "this", "that", "these", "those", "it", "its", "as", "not",
 ]
+#: What a text must hold for a pattern of CONTENT that begins a line or spans brackets to match.
+HELD = {
+    "code": [None, r"[=(]", "#", "//", r"/\*"], "documentation": ["#", r"\*", r"\d\.\s", "```", r"\]\("], "conversation": [":", r"\]", ">", ":"], "academic": [None, None, r"\d\.\d", r"\]\s*\("], "technical": [None, None, None, "```"],
+}
 MARKS = r"^[.,;:!?\"'()\[\]{}]+|[.,;:!?\"'()\[\]{}]+$"
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used: an array of one gives it a name."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def redact_pii(text: Column) -> Column:
     """E-mail addresses, then telephone numbers, then social security numbers."""
-    text = F.regexp_replace(text, EMAIL, "[redacted_email]")
-    text = F.regexp_replace(text, PHONE, "[redacted_phone]")
-    return F.regexp_replace(text, SSN, "[SSN]")
+    text = bound(text, lambda t: F.when(t.contains("@"), F.regexp_replace(t, EMAIL, "[redacted_email]")).otherwise(t))
+    numbers = lambda t: F.regexp_replace(F.regexp_replace(t, PHONE, "[redacted_phone]"), SSN, "[SSN]")
+    return bound(text, lambda t: F.when(t.rlike(FOUR_DIGITS), numbers(t)).otherwise(t))
 
 
 def has_pii(text: Column, parity: bool = False) -> Column:
     """parity: addresses count only in upper case, as the original pattern is searched."""
-    return text.rlike(SSN) | text.rlike(PHONE) | text.rlike(EMAIL_UPPER if parity else EMAIL)
+    numbers = F.when(text.rlike(FOUR_DIGITS), text.rlike(SSN) | text.rlike(PHONE)).otherwise(F.when(text.isNotNull(), F.lit(False)))
+    return numbers | F.when(text.contains("@"), text.rlike(EMAIL_UPPER if parity else EMAIL)).otherwise(F.when(text.isNotNull(), F.lit(False)))
+
+
+def replaced(text: Column, held: str, pattern: str, new: str) -> Column:
+    """Matches replaced where the text holds what each of them does: a plain pattern spares most texts the search."""
+    return bound(text, lambda t: F.when(t.rlike(held), F.regexp_replace(t, pattern, new)).otherwise(t))
 
 
 def unwrapped(text: Column) -> Column:
     """Lines rejoined: LF only, no hyphenation across lines, a wrapped line joined to the next, one blank line at most."""
-    text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"(\w)-\n(\w)", "$1$2")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r"([^.!?:;\n])\n(?=[a-z])", "$1 ")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    text = replaced(text, "\r", r"\r\n?", "\n")
+    text = replaced(text, "-\n", r"(\w)-\n(\w)", "$1$2")
+    text = replaced(text, r"[ \t]{2}|\t", r"[ \t]+", " ")
+    text = replaced(text, r"\n[a-z]", r"([^.!?:;\n])\n(?=[a-z])", "$1 ")
+    return F.trim(replaced(text, "\n\n\n", r"\n{3,}", "\n\n"))
 
 
 def normalised(text: Column, steps: list[tuple[str, str]]) -> Column:
@@ -104,9 +125,15 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """The number of words between white space, without a list of them."""
+    edge = lambda w: F.when(w == "", 1).otherwise(0)
+    return bound(F.split(text, r"\s+"), lambda a: F.size(a) - edge(F.get(a, F.lit(0))) - F.when(F.size(a) > 1, edge(F.get(a, F.size(a) - 1))).otherwise(0))
+
+
 def token_estimate(text: Column) -> Column:
     """The larger of a quarter of the characters and the number of words."""
-    return F.greatest(F.floor(F.length(text) / 4), F.size(word_list(text)).cast("long"))
+    return F.greatest(F.floor(F.length(text) / 4), word_count(text).cast("long"))
 
 
 def char_chunks(text: Column, max_tokens: int, overlap: int) -> Column:
@@ -125,10 +152,14 @@ def sentences(text: Column) -> Column:
 
 def pages(text: Column) -> Column:
     """array<struct<page, body>> of a text with === PAGE n === marks; one page without."""
-    numbers = F.regexp_extract_all(text, F.lit(r"===\s*PAGE\s+(\d+)\s*==="), F.lit(1))
-    bodies = F.split(text, r"===\s*PAGE\s+\d+\s*===")
-    marked = F.transform(numbers, lambda n, i: F.struct(n.cast("int").alias("page"), F.trim(bodies[i + 1]).alias("body")))
-    return F.when(F.size(numbers) > 0, marked).otherwise(F.array(F.struct(F.lit(1).alias("page"), F.trim(text).alias("body"))))
+
+    def split(t: Column) -> Column:
+        found = F.struct(F.regexp_extract_all(t, F.lit(r"===\s*PAGE\s+(\d+)\s*==="), F.lit(1)).alias("numbers"), F.split(t, r"===\s*PAGE\s+\d+\s*===").alias("bodies"))
+        marked = lambda x: F.transform(x["numbers"], lambda n, i: F.struct(n.cast("int").alias("page"), F.trim(x["bodies"][i + 1]).alias("body")))
+        return F.when(t.contains("==="), bound(found, lambda x: F.when(F.size(x["numbers"]) > 0, marked(x))))
+
+    whole = lambda t: F.array(F.struct(F.lit(1).alias("page"), F.trim(t).alias("body")))
+    return bound(text, lambda t: F.coalesce(split(t), whole(t)))
 
 
 def slug(title: Column, length: int = 40) -> Column:
@@ -153,6 +184,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
+def similarity_of_sets(a: Column, b: Column) -> Column:
+    """jaccard of arrays without repeats, by one comparison."""
+    return bound(F.size(F.array_intersect(a, b)), lambda both: F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.when(both.isNotNull(), 0.0)))
+
+
 def keywords(text: Column, stop: list[str] = STOP_WORDS, most: int = 5) -> Column:
     """The longest distinct words over 4 letters, first ones first."""
     plain = F.filter(F.transform(word_list(F.lower(text)), lambda w: F.regexp_replace(w, MARKS, "")), lambda w: (F.length(w) > 4) & ~w.isin(stop))
@@ -196,7 +232,8 @@ def score_issues(starts_cut: Column, ends_cut: Column, confidence: Column, noise
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    # from the begin of a run only: a long run within the text is not tried from each of its places
+    return F.regexp_replace(text, r"^\s+|(?<!\s)\s+$", "")
 
 
 def spaced_out(text: Column) -> Column:
@@ -216,10 +253,9 @@ def corrected(text: Column) -> Column:
 
 def section_name(title: Column) -> Column:
     """The canonical name of a section's title: an alias, or at most 40 of a-z, 0-9 and _; `section` for an empty one."""
-    plain = F.lower(F.regexp_replace(stripped(F.coalesce(title, F.lit(""))), r"\s+", " "))
     aliases = F.create_map(*[F.lit(x) for pair in SECTION_ALIASES.items() for x in pair])
-    name = F.substring(F.regexp_replace(plain, r"[^a-z0-9]+", "_"), 1, 40)
-    return F.coalesce(F.try_element_at(aliases, plain), F.when(name != "", name), F.lit("section"))
+    name = lambda plain: F.nullif(F.substring(F.regexp_replace(plain, r"[^a-z0-9]+", "_"), 1, 40), F.lit(""))
+    return bound(F.lower(F.regexp_replace(stripped(F.coalesce(title, F.lit(""))), r"\s+", " ")), lambda plain: F.coalesce(F.try_element_at(aliases, plain), name(plain), F.lit("section")))
 
 
 def sections(text: Column, headers: list[str] = ()) -> Column:
@@ -234,18 +270,20 @@ def sections(text: Column, headers: list[str] = ()) -> Column:
         shape = line.rlike(NUMBERED) | line.rlike(TITLE_CASE) | (line.rlike(ALL_CAPS) & line.rlike(r"\S\s+\S"))
         return reduce(lambda a, p: a | line.rlike(f"^(?:{p})"), headers, shape)
 
-    def of(lines: Column) -> Column:
-        places = F.filter(F.transform(lines, lambda line, i: F.when(is_header(line), i + 1)), lambda i: i.isNotNull())
-        bounds = F.concat(F.array(F.lit(0)), places, F.array(F.size(lines) + 1))
+    def between(lines: Column, bounds: Column) -> Column:
         each = F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), lambda begin, k: F.struct(begin.alias("begin"), (F.get(bounds, k + 1) - begin - 1).alias("n")))
         return F.transform(
             F.filter(each, lambda x: x["n"] > 0),
             lambda x: F.struct(F.coalesce(F.get(lines, x["begin"] - 1), F.lit("Introduction")).alias("title"), F.array_join(F.slice(lines, x["begin"] + 1, x["n"]), "\n").alias("body")),
         )
 
-    found = F.transform(F.get(F.transform(F.array(lines), of), F.lit(0)), lambda x: F.struct(x["title"].alias("title"), section_name(x["title"]).alias("name"), x["body"].alias("body")))
+    def of(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda line, i: F.when(is_header(line), i + 1)), lambda i: i.isNotNull())
+        return bound(F.concat(F.array(F.lit(0)), places, F.array(F.size(lines) + 1)), lambda bounds: between(lines, bounds))
+
+    found = F.transform(bound(lines, of), lambda x: F.struct(x["title"].alias("title"), section_name(x["title"]).alias("name"), x["body"].alias("body")))
     whole = F.array(F.struct(F.lit("Introduction").alias("title"), F.lit("introduction").alias("name"), stripped(text).alias("body")))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+    return bound(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
 
 
 def representative(text: Column, chunk: int = 5000, most: int = 20000) -> Column:
@@ -262,12 +300,18 @@ def found_metadata(text: Column, tags: Column) -> Column:
 
     Of a date with the month's name only that name is taken. Three dates of each form, two versions.
     """
-    dates = F.concat(*[F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(g)), 1, 3) for p, g in DATES])
-    author = F.regexp_extract(text, AUTHOR, 1)
-    versions = F.slice(F.regexp_extract_all(text, F.lit(VERSION), F.lit(2)), 1, 2)
     listed = lambda label, values: F.when(F.size(values) > 0, F.concat(F.lit(label), F.array_join(values, ",")))
-    told = F.concat_ws("; ", F.when(tags != "", tags), listed("dates:", F.slice(dates, 1, 3)), F.when(author != "", F.concat(F.lit("author:"), author)), listed("versions:", versions))
-    return F.struct(F.get(dates, F.lit(0)).alias("doc_date"), told.alias("tags"))
+
+    def told(found: Column) -> Column:
+        dates, author = found["dates"], found["author"]
+        all_ = F.concat_ws("; ", F.when(tags != "", tags), listed("dates:", F.slice(dates, 1, 3)), F.when(author != "", F.concat(F.lit("author:"), author)), listed("versions:", found["versions"]))
+        return F.struct(F.get(dates, F.lit(0)).alias("doc_date"), all_.alias("tags"))
+
+    none = F.array().cast("array<string>")
+    few = lambda held, pattern, group, most: F.when(text.rlike(held), F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 1, most)).otherwise(none)
+    dates = F.concat(*[few(held, p, g, 3) for held, (p, g) in zip([r"\d[/-]\d", FOUR_DIGITS, r"\d{4}-\d"], DATES, strict=True)])
+    author = F.when(text.contains(":"), F.regexp_extract(text, AUTHOR, 1)).otherwise("")
+    return bound(F.struct(dates.alias("dates"), author.alias("author"), few(r"\d\.\d", VERSION, 2, 2).alias("versions")), told)
 
 
 def cleaned(text: Column, max_chars: int) -> Column:
@@ -275,9 +319,16 @@ def cleaned(text: Column, max_chars: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), r"\s+", " ")), 1, max_chars)
 
 
-def pattern_share(text: Column, patterns: list[str]) -> Column:
-    """The mean over patterns of the matches in a thousand characters, each at most 1."""
-    return reduce(lambda a, b: a + b, [F.least(F.regexp_count(text, F.lit(p)) / (F.greatest(F.length(text), F.lit(1)) / F.lit(1000.0)), F.lit(1.0)) for p in patterns]) / len(patterns)
+def leading(pattern: str) -> list[str]:
+    """The words of which a pattern of whole words, or of words that begin a line, needs one."""
+    inner = re.fullmatch(r"\\b\((.*)\)\\b|\^\\s\*\((.*)\)\\s\+", pattern)
+    return [re.match("[a-z0-9]+", w.lower())[0] for w in (inner[1] or inner[2]).split("|")] if inner else []
+
+
+def pattern_share(text: Column, patterns: list[str], possible: list[Column]) -> Column:
+    """The mean over patterns of the matches in a thousand characters, each at most 1; only a possible one is counted."""
+    counted = lambda p, held: F.when(F.coalesce(held, F.lit(True)), F.regexp_count(text, F.lit(p))).otherwise(0)
+    return reduce(lambda a, b: a + b, [F.least(counted(p, held) / (F.greatest(F.length(text), F.lit(1)) / F.lit(1000.0)), F.lit(1.0)) for p, held in zip(patterns, possible, strict=True)]) / len(patterns)
 
 
 def content_type(text: Column, extension: Column, hint: Column) -> Column:
@@ -287,9 +338,13 @@ def content_type(text: Column, extension: Column, hint: Column) -> Column:
     kind reaches 0.5, and adds 0.2 to its kind otherwise.
     """
     ext, wish = F.lower(F.coalesce(extension, F.lit(""))), F.lower(F.coalesce(hint, F.lit("")))
+    every = sorted({w for patterns in CONTENT.values() for p in patterns for w in leading(p)})
 
-    def entry(name: str, place: int) -> Column:
-        share = pattern_share(text, [f"(?imd){p}" for p in CONTENT[name]]) if name in CONTENT else F.lit(0.0)
+    def entry(name: str, place: int, text: Column, words: Column) -> Column:
+        share = F.lit(0.0)
+        if name in CONTENT:
+            held = [F.arrays_overlap(words, F.array(*map(F.lit, leading(p)))) if leading(p) else text.rlike(HELD[name][k]) for k, p in enumerate(CONTENT[name])]
+            share = pattern_share(text, [f"(?imd){p}" for p in CONTENT[name]], held)
         confidence, endings = EXTENSIONS.get(name, (0.0, ["-"]))
         return F.struct(share.alias("share"), F.when(ext.isin(endings), confidence).otherwise(0.0).alias("prior"), F.lit(-place).alias("place"), F.lit(name).alias("kind"))
 
@@ -306,24 +361,27 @@ def content_type(text: Column, extension: Column, hint: Column) -> Column:
         found = best["score"] > 0
         return F.struct(F.when(found, best["kind"]).otherwise("general").alias("kind"), F.when(found, best["score"]).otherwise(0.3).alias("confidence"))
 
-    # an array of one binds a value to a name, so that it is computed once
-    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-    kinds = F.array(*[entry(name, place) for place, name in enumerate([*CONTENT, "general"])])
+    # The words of the text that begin some match are found once; most texts hold few of them.
+    met = lambda t: F.filter(F.split(F.lower(t), "[^a-z0-9_]+"), lambda w: w.isin(every))
+    kinds = bound(text, lambda t: bound(met(t), lambda words: F.array(*[entry(name, place, t, words) for place, name in enumerate([*CONTENT, "general"])])))
     best = bound(F.transform(kinds, scored), lambda all_: bound(F.array_max(all_)["score"] < 0.5, lambda weak: F.array_max(F.transform(all_, lambda k: hinted(k, weak)))))
     return bound(best, named)
 
 
 def chunk_sizes(text: Column, size: int, overlap: int, least: int, most: int) -> Column:
     """struct<size, overlap> in tokens, adjusted to the length of sentences and of the text, between least and most."""
-    words = F.size(word_list(text))
     parts = F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(s, F.lit(" \n\t\r")) != "")
-    mean = F.when(F.size(parts) > 0, words / F.size(parts)).otherwise(0.0)
     scaled = lambda n, by: F.floor(n * F.lit(by)).cast("int")
-    by_sentence = lambda n: F.when(mean > 30, scaled(F.lit(n), 1.2)).when(mean < 15, scaled(F.lit(n), 0.8)).otherwise(n)
-    first = F.when(words < 100, F.least(by_sentence(size), words * 4)).when(words > 10000, scaled(by_sentence(size), 1.1)).otherwise(by_sentence(size))
-    lap = F.when(words < 100, F.least(by_sentence(overlap), F.floor(first / 4).cast("int"))).when(words > 10000, scaled(by_sentence(overlap), 1.1)).otherwise(by_sentence(overlap))
-    final = F.greatest(F.lit(least), F.least(first, F.lit(most)))
-    return F.struct(final.alias("size"), F.least(lap, final - 1).alias("overlap"))
+
+    def sized(known: Column) -> Column:
+        words, mean = known["words"], F.coalesce(F.try_divide(known["words"], known["parts"]), F.lit(0.0))
+        by_sentence = lambda n: F.when(mean > 30, scaled(F.lit(n), 1.2)).when(mean < 15, scaled(F.lit(n), 0.8)).otherwise(n)
+        first = F.when(words < 100, F.least(by_sentence(size), words * 4)).when(words > 10000, scaled(by_sentence(size), 1.1)).otherwise(by_sentence(size))
+        lap = F.when(words < 100, F.least(by_sentence(overlap), F.floor(first / 4).cast("int"))).when(words > 10000, scaled(by_sentence(overlap), 1.1)).otherwise(by_sentence(overlap))
+        final = F.greatest(F.lit(least), F.least(first, F.lit(most)))
+        return F.struct(final.alias("size"), F.least(lap, final - 1).alias("overlap"))
+
+    return bound(F.struct(word_count(text).alias("words"), F.size(parts).alias("parts")), sized)
 
 
 def synthetic_queries(text: Column, style: str, most: int, shortest: int = 10, longest: int = 50) -> Column:

@@ -163,12 +163,12 @@ def noise(spark, sf_dir):
 @R.add("C23_record_scores")
 def record_scores(spark, sf_dir):
     """Base scores with coherence, freedom from noise and freshness, and the trust in each document."""
-    text, words = F.col("text"), F.size(tx.word_list(F.col("text")))
+    text, words = F.col("text"), F.col("words")
     parts = {
-        "Accuracy": F.lit(85.0), "Secure": sc.secure(text), "Quality": sc.readability(text), "Completeness": sc.completeness(words), "Context_Quality": sc.context_quality(text), "KnowledgeBase_Ready": sc.knowledge_base_ready(text),
+        "Accuracy": F.lit(85.0), "Secure": sc.secure(text), "Quality": sc.readability(text, words), "Completeness": sc.completeness(words), "Context_Quality": sc.context_quality(text, words), "KnowledgeBase_Ready": sc.knowledge_base_ready(text, words),
         "Avg_Chunk_Coherence": sc.coherence(tx.sentences(text), text, single=1.0), "Avg_Noise_Free_Score": F.round(100 - sc.noise_percent(text), 2), "Context_Freshness_Score": sc.freshness(F.col("doc_id") % 400, F.expr(DOMAIN)),
     }
-    scored = docs(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in parts.items()])
+    scored = docs(spark, sf_dir).withColumn("words", tx.word_count(text)).select("doc_id", *[c.alias(k) for k, c in parts.items()])
     return scored.select("*", sc.trust({k: F.col(k) for k in parts}, sc.WEIGHTS).alias("trust"))
 
 
