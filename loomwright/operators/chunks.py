@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions import text as tx
+
 ENDS = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -63,6 +65,6 @@ def routed(text: Column, routes: list[tuple[str, list[str]]], default: str) -> C
 
 def audience(text: Column, patterns: list[tuple[str, str]], default: str = "general") -> Column:
     """The audience whose pattern matches most; the first of equals, the default without a match."""
-    counts = [F.struct(F.regexp_count(F.lower(text), F.lit(p)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, p) in enumerate(patterns)]
-    best = F.array_max(F.array(*counts))
-    return F.when(best["n"] > 0, best["name"]).otherwise(default)
+    counts = lambda low: F.array(*[F.struct(F.regexp_count(low, F.lit(p)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, p) in enumerate(patterns)])
+    best = tx.bound(F.lower(text), lambda low: F.array_max(counts(low)))
+    return tx.bound(best, lambda b: F.when(b["n"] > 0, b["name"]).otherwise(default))

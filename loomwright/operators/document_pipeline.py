@@ -44,6 +44,8 @@ KINDS = {
 STRATEGIES = {"fixed_size": "char", "semantic": "paragraph", "paragraph_boundary": "paragraph", "sentence": "sentence", "sentence_boundary": "sentence", "recursive": "sentence"}
 SIZE, OVERLAP, STRATEGY, CONFIDENCE, HEAD, MOST, CAPPED = 1000, 200, "fixed_size", 0.7, 20_000, 10_000, 4000
 NORMALISERS = [(r"­", ""), (r"(?m)([A-Za-z])-[ \t]*\r?\n[ \t]*([A-Za-z])", "$1$2"), (r"(?m)\r?\n(?=[a-z])", " ")]
+#: What a text must hold for a normaliser to match.
+HELD = ["\u00ad", r"-[ \t]*\r?\n", r"\n[a-z]"]
 
 #: What a document's row may say of its settings; each may be null.
 GIVEN = {
@@ -86,7 +88,7 @@ def detected_settings(text: Column, extension: Column, hint: Column) -> Column:
         sizes = tx.chunk_sizes(head, row(0), row(1), row(2), row(3))
         return F.struct(found["kind"].alias("kind"), found["confidence"].alias("confidence"), sizes["size"].alias("size"), sizes["overlap"].alias("overlap"), row(4).alias("strategy"))
 
-    return F.get(F.transform(F.array(tx.content_type(head, extension, hint)), sized), F.lit(0))
+    return tx.bound(tx.content_type(head, extension, hint), sized)
 
 
 def resolved_settings(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -132,12 +134,12 @@ def resolved_settings(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def cleaned_pages(text: Column, enhance: Column, correct: Column) -> Column:
     """array<struct<page, body>> of a raw text: unwrapped, masked, normalised and put right; pages without content are left out."""
-    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-    tidy = lambda body: bound(tx.normalised(body, NORMALISERS), lambda t: tx.respaced(t))
+    steps = [(held, *step) for held, step in zip(HELD, NORMALISERS, strict=True)]
+    tidy = lambda body: tx.bound(reduce(lambda t, step: tx.replaced(t, *step), steps, body), lambda t: tx.respaced(t))
     fenced = lambda pages: F.array_join(F.transform(pages, lambda p: F.concat(F.lit("\n=== PAGE "), p["page"].cast("string"), F.lit(" ===\n"), tidy(p["body"]))), "\n")
-    right = lambda t: bound(F.when(enhance, tx.enhanced(t)).otherwise(t), lambda u: F.when(correct, tx.corrected(u)).otherwise(u))
-    whole = bound(tx.pages(tx.redact_pii(tx.unwrapped(text))), fenced)
-    return F.filter(bound(bound(whole, right), tx.pages), lambda p: tx.stripped(p["body"]) != "")
+    right = lambda t: tx.bound(F.when(enhance, tx.enhanced(t)).otherwise(t), lambda u: F.when(correct, tx.corrected(u)).otherwise(u))
+    whole = tx.bound(tx.pages(tx.redact_pii(tx.unwrapped(text))), fenced)
+    return F.filter(tx.pages(tx.bound(whole, right)), lambda p: p["body"].rlike(r"\S"))
 
 
 def sections_of(docs: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def sections_of(docs: DataFrame) -> DataFrame:
     known = resolved_settings(pages.withColumn("__whole", whole), "__whole")
     paged = known.select("doc_id", "stem", "settings", F.explode_outer("__pages").alias("p")).where("p is not null")
     paged = paged.select("doc_id", "stem", "settings", "p.page", F.posexplode_outer(tx.sections(F.col("p.body"))).alias("section_no", "s"))
-    return paged.where(tx.stripped(F.col("s.body")) != "").select("doc_id", "stem", "settings", "page", "section_no", F.col("s.title").alias("title"), F.col("s.body").alias("body"))
+    return paged.where(F.col("s.body").rlike(r"\S")).select("doc_id", "stem", "settings", "page", "section_no", F.col("s.title").alias("title"), F.col("s.body").alias("body"))
 
 
 def chunk_records(docs: DataFrame, audiences: list[tuple[str, str]] = ()) -> DataFrame:
