@@ -186,11 +186,11 @@ def document_stats(records: DataFrame) -> DataFrame:
 
 def scored_chunks(records: DataFrame) -> DataFrame:
     """records with their base scores, coherence, freedom from noise and trust: the C scores over chunks."""
-    text, words = F.col("text"), F.size(tx.word_list(F.col("text")))
+    text, words = F.col("text"), F.col("__words")
     parts = {
-        "Accuracy": F.lit(85.0), "Secure": sc.secure(text), "Quality": sc.readability(text), "Completeness": sc.completeness(words), "Context_Quality": sc.context_quality(text), "KnowledgeBase_Ready": sc.knowledge_base_ready(text),
+        "Accuracy": F.lit(85.0), "Secure": sc.secure(text), "Quality": sc.readability(text, words), "Completeness": sc.completeness(words), "Context_Quality": sc.context_quality(text, words), "KnowledgeBase_Ready": sc.knowledge_base_ready(text, words),
         "Metadata_Presence": sc.metadata_presence(F.lit("internal"), F.col("section"), F.col("audience"), F.col("doc_date"), F.col("field_name"), F.col("document_id")),
         "Avg_Chunk_Coherence": sc.coherence(tx.sentences(text), text, single=1.0), "Avg_Noise_Free_Score": F.round(100 - F.col("noise_score"), 2),
     }
-    scored = records.withColumns(parts)
+    scored = records.withColumn("__words", tx.word_count(text)).withColumns(parts).drop("__words")
     return scored.withColumn("AI_Trust_Score", sc.trust({k: F.col(k) for k in parts}, sc.WEIGHTS))
