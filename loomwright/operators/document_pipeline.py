@@ -168,7 +168,8 @@ def chunk_records(docs: DataFrame, audiences: list[tuple[str, str]] = ()) -> Dat
     docs = docs.select("doc_id", "stem", "text", *[(F.col(n) if n in docs.columns else F.lit(None)).cast(k).alias(n) for n, k in GIVEN.items()])
     s = lambda name: F.col(f"settings.{name}")
     cut = sections_of(docs).withColumn("chunks", chunks(F.col("body"), s("strategy"), s("tokens"), s("sentences"), s("characters")))
-    rows = cut.select("doc_id", "stem", "settings", "page", "title", F.size("chunks").alias("n"), F.posexplode("chunks").alias("i", "chunk"))
+    # Outer, as above: no section is without a chunk, and a filter that says so would be pushed below and cut every text twice.
+    rows = cut.select("doc_id", "stem", "settings", "page", "title", F.size("chunks").alias("n"), F.posexplode_outer("chunks").alias("i", "chunk"))
     text = F.col("chunk")
     record = tx.chunk_record(F.col("stem"), F.col("page"), F.col("title"), text, F.col("i"), F.col("n"))
     told = audience(text, list(audiences)) if audiences else F.lit("general")

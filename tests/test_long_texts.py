@@ -27,6 +27,12 @@ def test_runs_of_capitalised_words(spark):
     assert dp.document_stats(dp.chunk_records(frame)).first().chunks >= 1
 
 
+def test_texts_are_cut_once(spark):
+    frame = spark.createDataFrame([(1, "a", "One. Two.")], "doc_id long, stem string, text string")
+    plan = dp.document_stats(dp.chunk_records(frame))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_runs_in_metadata(spark):
     found = one(spark, "Author: " + "abcd " * N + ". v1" + ".1" * N, lambda c: tx.found_metadata(c, F.lit("")))
     assert found.tags == "author:" + ("abcd " * N).strip() + "; versions:1" + ".1" * N
